@@ -52,13 +52,18 @@ def concurrency(series: DataFrame, grain: int) -> DataFrame:
                  F.count(F.lit(1)).alias("minutes_in_bucket")))
 
 
-def answer(buckets: DataFrame) -> DataFrame:
-    """One row: peak, minute-weighted average, active minutes; empty -> 0."""
-    return buckets.agg(
-        F.coalesce(F.max("peak_concurrency"), F.lit(0)).cast("bigint").alias("peak_concurrency"),
-        F.coalesce(F.sum(F.col("average_concurrency") * F.col("minutes_in_bucket")) / F.sum("minutes_in_bucket"),
+def answer(series: DataFrame) -> DataFrame:
+    """One row: peak, minute-weighted average, active minutes; empty -> 0.
+
+    Over buckets of any grain the peak is the peak of the minutes and the
+    minute-weighted mean of bucket means is the mean of the minutes, so the
+    answer is taken from the series directly, in exact integer sums.
+    """
+    return series.agg(
+        F.coalesce(F.max("concurrency"), F.lit(0)).cast("bigint").alias("peak_concurrency"),
+        F.coalesce(F.sum("concurrency").cast("double") / F.count(F.lit(1)).cast("double"),
                    F.lit(0.0)).alias("average_concurrency"),
-        F.coalesce(F.sum("minutes_in_bucket"), F.lit(0)).cast("bigint").alias("active_minutes"),
+        F.count(F.lit(1)).cast("bigint").alias("active_minutes"),
     )
 
 
@@ -70,7 +75,8 @@ def benchmark_one(rollup: DataFrame, label: str, th: C.Thresholds, catalogue=Non
     """One benchmark question as its own plan (what the bench times)."""
     spec = {lbl: (g, flt) for lbl, g, flt in benchmark_specs(th)}[label]
     series = occupancy_for(rollup, spec[1], catalogue=catalogue)
-    return answer(concurrency(series, spec[0])).select(F.lit(label).alias("query_label"), "*")
+    return answer(series).select(F.lit(label).alias("query_label"),
+                                 F.lit(spec[0]).cast("bigint").alias("grain_buckets"), "*")
 
 
 def benchmark_answers(rollup: DataFrame, th: C.Thresholds, catalogue: DataFrame | None = None) -> DataFrame:
@@ -104,3 +110,247 @@ def benchmark_answers(rollup: DataFrame, th: C.Thresholds, catalogue: DataFrame
                     F.coalesce("peak_concurrency", F.lit(0)).cast("bigint").alias("peak_concurrency"),
                     F.coalesce("average_concurrency", F.lit(0.0)).alias("average_concurrency"),
                     F.coalesce("active_minutes", F.lit(0)).cast("bigint").alias("active_minutes")))
+
+
+# --------------------------------------------------------------------------
+# catalogues and the data window
+# --------------------------------------------------------------------------
+
+def _day(minute: str, bucket_ms: int):
+    return X.floor_div(minute, max(1, C.DAY_MS // bucket_ms))
+
+
+def _days_of(buckets, bucket_ms: int):
+    return (buckets * F.lit(bucket_ms)).cast("double") / F.lit(float(C.DAY_MS))
+
+
+def data_window(rollup: DataFrame, bucket_ms: int) -> DataFrame:
+    """Extent and dense window of the data.
+
+    The dense window spans the days carrying at least min(1% of all
+    session-minutes, the busiest day's); strays outside it are counted, not
+    dropped. The per-day table is small and feeds scalar subqueries.
+    """
+    days = (rollup.groupBy(_day("minute", bucket_ms).alias("day"))
+            .agg(F.sum("sessions").cast("double").alias("sm"),
+                 F.min("minute").alias("day_min"), F.max("minute").alias("day_max")))
+    floor = F.coalesce(days.agg(F.least(F.lit(0.01) * F.sum("sm"), F.max("sm"))).scalar(), F.lit(0.0))
+    dense = days.filter(F.col("sm") >= floor)
+    lo = F.coalesce(dense.agg(F.min("day_min")).scalar(), F.lit(0)).cast("bigint")
+    hi = F.coalesce(dense.agg(F.max("day_max")).scalar(), F.lit(0)).cast("bigint")
+    n_dense = F.coalesce(dense.agg(F.count(F.lit(1))).scalar(), F.lit(0)).cast("bigint")
+    outside = (F.col("minute") < lo) | (F.col("minute") > hi)
+    return rollup.agg(
+        F.min("minute").alias("min_minute"),
+        F.max("minute").alias("max_minute"),
+        X.minute_utc_seconds(F.min("minute"), bucket_ms).alias("min_utc"),
+        X.minute_utc_seconds(F.max("minute"), bucket_ms).alias("max_utc"),
+        _days_of(F.max("minute") - F.min("minute"), bucket_ms).alias("span_days"),
+        F.count_distinct("minute").alias("minutes_with_sessions"),
+        F.count(F.lit(1)).alias("occupancy_rows"),
+        F.first(lo).alias("dense_min_minute"),
+        F.first(hi).alias("dense_max_minute"),
+        X.minute_utc_seconds(F.first(lo), bucket_ms).alias("dense_min_utc"),
+        X.minute_utc_seconds(F.first(hi), bucket_ms).alias("dense_max_utc"),
+        _days_of(F.first(hi) - F.first(lo), bucket_ms).alias("dense_span_days"),
+        F.first(n_dense).alias("dense_days"),
+        F.count_distinct(F.when(outside, F.col("minute"))).alias("outlier_minutes"),
+        F.count_if(outside).cast("bigint").alias("outlier_rows"),
+    )
+
+
+def dimension_values(rollup: DataFrame) -> DataFrame:
+    """Every non-empty value of every string dimension with minutes present (A10).
+
+    One unpivot pass; distinct (dimension, value, minute) first so the count
+    of minutes is a plain count after a partial aggregation.
+    """
+    stacked = rollup.select("minute", F.explode(F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
+        for d in C.STRING_DIMS])).alias("p")).select("p.dimension", "p.value", "minute")
+    return (stacked.filter(F.col("value") != "").distinct()
+            .groupBy("dimension", "value")
+            .agg(F.count(F.lit(1)).alias("minutes_present"),
+                 F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute")))
+
+
+def titles(rollup: DataFrame, content: DataFrame) -> DataFrame:
+    """Every content_id with sessions, its catalogue title and minutes present."""
+    from ..operators.occupancy import CONTENT_BROADCAST_MAX_ROWS, checked_broadcast, dedupe_content
+    seen = (rollup.select("content_id", "minute").distinct()
+            .groupBy("content_id")
+            .agg(F.count(F.lit(1)).alias("minutes_present"),
+                 F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute")))
+    cat = checked_broadcast(dedupe_content(content).select("content_id", "title", "video_type", "category"),
+                            CONTENT_BROADCAST_MAX_ROWS)
+    return (seen.join(cat, "content_id", "left")
+            .select("content_id",
+                    *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "video_type", "category")],
+                    "minutes_present", "first_minute", "last_minute"))
+
+
+def title_search(titles_df: DataFrame, text: str, limit: int = C.TITLE_MATCHES) -> DataFrame:
+    """Case-insensitive substring match on titles: exact first, then busiest.
+
+    The cap is the feature (a short pick list), applied after a total order.
+    """
+    needle = text.strip(" ").lower()
+    hit = titles_df.filter(F.instr(F.lower("title"), F.lit(needle)) > 0)
+    exact = (F.lower("title") == F.lit(needle)).cast("int")
+    return (hit.select("*", exact.alias("exact"))
+            .orderBy(F.desc("exact"), F.desc("minutes_present"), F.asc("content_id"))
+            .limit(limit))
+
+
+# --------------------------------------------------------------------------
+# slices, crossover, tools
+# --------------------------------------------------------------------------
+
+def top_slices(rollup: DataFrame, dimension: str, resolved: FL.Resolved | None = None,
+               minute_from=None, minute_to=None, limit: int | None = C.MAX_SLICES) -> DataFrame:
+    """Peak per value of one dimension, its minute (earliest on ties), minutes present."""
+    df = rollup if resolved is None else resolved.apply(rollup)
+    df = _minute_range(df, minute_from, minute_to)
+    per = df.groupBy(F.col(dimension).cast("string").alias("value"), "minute").agg(F.sum("sessions").alias("c"))
+    out = per.groupBy("value").agg(
+        F.max("c").cast("bigint").alias("peak"),
+        F.max_by("minute", F.struct(F.col("c"), -F.col("minute"))).alias("peak_minute"),
+        F.count(F.lit(1)).alias("minutes_present"))
+    out = out.select(F.lit(dimension).alias("dimension"), "*")
+    if limit is not None:
+        out = out.orderBy(F.desc("peak"), F.asc("value")).limit(limit)
+    return out
+
+
+def slice_peaks(rollup: DataFrame, slices: dict[str, dict], catalogue: DataFrame | None = None) -> DataFrame:
+    """Peak and peak minute of several slices from one scan.
+
+    Each rollup row is tagged with the labels of the slices it belongs to;
+    one explode, then per (label, minute) sums and per label maxima.
+    """
+    cat = catalogue if catalogue is not None else dimension_value(rollup)
+    tags = []
+    for label, flt in slices.items():
+        pred = FL.resolve(cat, flt).predicate()
+        tags.append(F.when(pred if pred is not None else F.lit(True), F.lit(label)))
+    tagged = rollup.select("minute", "sessions",
+                           F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("slice"))
+    per = tagged.groupBy("slice", "minute").agg(F.sum("sessions").alias("c"))
+    return per.groupBy("slice").agg(
+        F.max("c").cast("bigint").alias("peak"),
+        F.max_by("minute", F.struct(F.col("c"), -F.col("minute"))).alias("peak_minute"))
+
+
+def crossover(rollup: DataFrame, slices: dict[str, dict]) -> DataFrame:
+    """Slice peaks plus how many distinct minutes the peaks land on."""
+    peaks = slice_peaks(rollup, slices)
+    n = peaks.agg(F.count_distinct("peak_minute")).scalar()
+    return peaks.select("*", n.alias("distinct_peak_minutes"))
+
+
+def concurrency_tool(rollup: DataFrame, filters: dict, grain: int, minute_from=None, minute_to=None,
+                     limit: int = C.MAX_SERIES_POINTS) -> DataFrame:
+    """Buckets busiest first with the overall peak and weighted average beside them."""
+    series = occupancy_for(rollup, filters, minute_from, minute_to)
+    buckets = concurrency(series, grain)
+    overall = answer(series)
+    return (buckets.select("*",
+                           overall.select("peak_concurrency").scalar().alias("overall_peak"),
+                           overall.select("average_concurrency").scalar().alias("overall_average"))
+            .orderBy(F.desc("peak_concurrency"), F.asc("bucket_minute")).limit(limit))
+
+
+def busiest_day(rollup: DataFrame, bucket_ms: int) -> DataFrame:
+    """The UTC day with the highest per-minute peak; minutes present beside it."""
+    series = occupancy(rollup, FL.Resolved())
+    per_day = series.groupBy(_day("minute", bucket_ms).alias("day")).agg(
+        F.count(F.lit(1)).alias("minutes_present"), F.max("concurrency").alias("peak"))
+    return per_day.orderBy(F.desc("peak"), F.asc("day")).limit(1)
+
+
+def default_window(rollup: DataFrame, bucket_ms: int) -> DataFrame:
+    """Reporting window: the busiest day when the data spans over two days, else all."""
+    ext = rollup.agg(F.min("minute").alias("lo"), F.max("minute").alias("hi"))
+    per_day = max(1, C.DAY_MS // bucket_ms)
+    bd = busiest_day(rollup, bucket_ms)
+    day_lo = (bd.select("day").scalar() * F.lit(per_day))
+    long = (F.col("hi") - F.col("lo")) > F.lit(2 * per_day)
+    return ext.select(
+        F.when(long, day_lo).otherwise(F.col("lo")).cast("bigint").alias("minute_from"),
+        F.when(long, day_lo + per_day - 1).otherwise(F.col("hi")).cast("bigint").alias("minute_to"))
+
+
+def crossover_dimensions(values: DataFrame, max_dims: int = 2, max_slices: int = C.MAX_CROSSOVER_SLICES) -> DataFrame:
+    """Dimensions fit for a crossover: 2..12 values, platform and video_type first."""
+    counts = values.groupBy("dimension").agg(F.count(F.lit(1)).alias("n_values"))
+    pref = (F.when(F.col("dimension") == "platform", 0).when(F.col("dimension") == "video_type", 1).otherwise(2))
+    fit = counts.filter((F.col("n_values") >= 2) & (F.col("n_values") <= 12))
+    return fit.orderBy(pref, F.asc("n_values"), F.asc("dimension")).limit(max_dims)
+
+
+def dimensions_available(values: DataFrame, first: int = 5) -> DataFrame:
+    """Distinct value count and the first values in order per dimension."""
+    from ..functions.running import top_n
+    counts = values.groupBy("dimension").agg(F.count(F.lit(1)).alias("n_values"))
+    firsts = (top_n(values.select("dimension", "value"), ["dimension"], [F.col("value")], first)
+              .groupBy("dimension")
+              .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("first_values")))
+    return counts.join(firsts, "dimension", "inner")
+
+
+def top_values(values: DataFrame, n: int) -> DataFrame:
+    """The n values with most minutes per dimension, totals beside each."""
+    from ..functions.running import top_n
+    totals = values.groupBy("dimension").agg(F.count(F.lit(1)).alias("values_in_dimension"))
+    grand = values.agg(F.count(F.lit(1))).scalar()
+    top = top_n(values, ["dimension"], [F.desc("minutes_present"), F.asc("value")], n)
+    return (top.join(totals, "dimension", "inner")  # one row per dimension
+            .select("dimension", "value", "minutes_present", "rank", "values_in_dimension",
+                    grand.alias("values_total")))
+
+
+def total_and_platforms(rollup: DataFrame) -> DataFrame:
+    """Series for all platforms and per platform in one pass (A33, grouping sets)."""
+    return (rollup.groupBy("minute", "platform").agg(F.sum("sessions").alias("c"))
+            .rollup("minute", "platform").agg(F.sum("c").cast("bigint").alias("concurrency"))
+            .filter(F.col("minute").isNotNull())
+            .select("minute", F.coalesce("platform", F.lit("all platforms")).alias("series"), "concurrency"))
+
+
+def decline_alerts(series: DataFrame, bucket_ms: int, min_prior: int = 50, drop: float = 0.5) -> DataFrame:
+    """Minute-over-minute drops: prior >= min_prior and a fall of at least `drop`.
+
+    The prior row is the previous present minute, found two-level.
+    """
+    from ..functions.running import previous_row
+    with_prev = previous_row(series, "minute", ["minute", "concurrency"], _day("minute", bucket_ms))
+    return (with_prev.filter((F.col("prev_concurrency") >= min_prior)
+                             & (F.col("concurrency") <= F.col("prev_concurrency") * (1 - drop)))
+            .select("minute", F.col("prev_minute").alias("prior_minute"),
+                    F.col("prev_concurrency").alias("prior_concurrency"), "concurrency"))
+
+
+def downsample(series: DataFrame, bucket_ms: int, cap: int = C.MAX_SERIES_POINTS) -> DataFrame:
+    """At most `cap` points, each the peak of its stride, earliest on ties."""
+    from ..functions.running import row_index
+    n = series.agg(F.count(F.lit(1))).scalar()
+    stride = F.greatest(F.lit(1), F.ceil(n / F.lit(cap))).cast("bigint")
+    idx = row_index(series, ["minute"], _day("minute", bucket_ms))
+    return (idx.withColumn("stride", ((F.col("rn") - 1) / stride).cast("bigint"))
+            .groupBy("stride").agg(F.max_by(F.struct("minute", "concurrency"),
+                                             F.struct(F.col("concurrency"), -F.col("minute"))).alias("p"))
+            .select("p.minute", "p.concurrency"))
+
+
+def busiest_content_id(rollup: DataFrame) -> DataFrame:
+    """content_id with the most rollup rows."""
+    return (rollup.groupBy("content_id").agg(F.count(F.lit(1)).alias("rows"))
+            .orderBy(F.desc("rows"), F.asc("content_id")).limit(1))
+
+
+def naive_by_grain(nvf: DataFrame, grain: int) -> DataFrame:
+    """Naive series bucketed to a grain, only minutes with foreground > 0."""
+    return (nvf.filter(F.col("foreground_concurrency") > 0)
+            .groupBy(X.grain_bucket("minute", grain).alias("bucket_minute"))
+            .agg(F.max("naive_concurrency").alias("naive_peak"),
+                 F.max("foreground_concurrency").alias("foreground_peak")))
