@@ -21,37 +21,50 @@ from ..functions import exprs as X
 
 S = "video_session_id"
 
+# One ordering for every window over the points. Ordering by bucket first is
+# the same order as by `ord` (the bucket is monotone in time), and it lets the
+# per-bucket window share the sort of the per-chunk windows: one sort in all.
+def _in_bucket_order():
+    return (F.col("ord"), F.col("dims").desc())
+
+
+def _w():
+    return Window.partitionBy(S, "chunk").orderBy(F.col("minute"), *_in_bucket_order())
+
 
 def event_points(raw: DataFrame, th: C.Thresholds) -> DataFrame:
-    """One row per (session, t, kind) with its latest dimension tuple.
+    """Raw events as points (session, chunk, t, kind, ord, minute, dims).
 
-    Duplicates at the same millisecond and kind collapse; the largest tuple
-    wins, which is the tie rule of the per-minute tuple.
+    Hash-partitioned once on (session, chunk); everything downstream in the
+    sessionizer reuses this partitioning.
     """
-    pts = raw.select(
+    return (raw.select(
         F.col(S),
         F.col("t_ms").alias("t"),
         X.kind("event_type", "event").alias("kind"),
         X.dims_struct().alias("dims"),
     ).withColumn("chunk", X.floor_div("t", th.chunk_ms))
-    return (
-        pts.repartition(S, "chunk")
-        .groupBy(S, "chunk", "t", "kind")
-        .agg(F.max("dims").alias("dims"))
         .withColumn("ord", X.ord_key("t", "kind"))
         .withColumn("minute", X.floor_div("t", th.bucket_ms))
-    )
+        .repartition(S, "chunk"))
+
 
+def _chunk_carry(points: DataFrame) -> DataFrame:
+    """Per (session, chunk): the state handed over from the neighbouring chunks.
 
-def _chunk_carry(local: DataFrame) -> DataFrame:
-    """Per (session, chunk): the state handed over from the neighbouring chunks."""
-    summary = local.groupBy(S, "chunk").agg(
-        F.max_by("lp", "ord").alias("last_play"),
-        F.max_by("lf", "ord").alias("last_fg"),
+    Computed from the points with plain aggregates (no windows), so the
+    window pass over the points runs once. One row per session-chunk; the
+    window over it is per session and as long as the session's chunk count.
+    """
+    ps, fs = X.playing_signal("kind"), X.foreground_signal("kind")
+    summary = points.groupBy(S, "chunk").agg(
+        F.max(F.when(ps.isNotNull(), F.struct(F.col("ord"), ps.alias("v")))).getField("v").alias("last_play"),
+        F.max(F.when(fs.isNotNull(), F.struct(F.col("ord"), fs.alias("v")))).getField("v").alias("last_fg"),
         F.min("t").alias("first_t"),
         F.max("t").alias("last_t"),
         F.min("minute").alias("first_minute"),
-        F.min_by("mld", "ord").alias("first_mld"),
+        # last tuple of the chunk's first bucket: smallest bucket, then largest (ord, tuple)
+        F.max(F.struct(-F.col("minute"), F.col("ord"), F.col("dims"))).getField("dims").alias("first_mld"),
     )
     w = Window.partitionBy(S).orderBy("chunk")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -69,21 +82,26 @@ def _chunk_carry(local: DataFrame) -> DataFrame:
 
 
 def states(points: DataFrame, th: C.Thresholds) -> DataFrame:
-    """Every point with its on-state, segment opening and piece end.
+    """Every distinct point with its on-state, segment opening and piece end.
 
-    Columns added: is_on, opens, pe (end of the piece [t, pe) an on-point
-    contributes), mld (last tuple of the point's minute), next_minute,
-    next_mld, and prev_cov (last bucket already covered by earlier pieces).
+    Points repeated at one (session, t, kind) collapse to one, keeping the
+    largest tuple. Columns added: is_on, opens, pe (end of the piece [t, pe)
+    an on-point contributes), mld (last tuple of the point's bucket),
+    next_minute, next_mld, last_minute and prev_cov (last bucket already
+    covered by earlier pieces).
     """
-    w = Window.partitionBy(S, "chunk").orderBy("ord")
+    w = _w()
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_minute = (Window.partitionBy(S, "chunk", "minute").orderBy("ord")
-                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    local = points.select(
+    in_bucket = (Window.partitionBy(S, "chunk", "minute").orderBy(*_in_bucket_order())
+                 .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    distinct = (points.withColumn("_prev_ord", F.lag("ord").over(w))
+                .filter(F.col("_prev_ord").isNull() | (F.col("_prev_ord") != F.col("ord")))
+                .drop("_prev_ord"))
+    local = distinct.select(
         "*",
         F.last(X.playing_signal("kind"), ignorenulls=True).over(run).alias("lp"),
         F.last(X.foreground_signal("kind"), ignorenulls=True).over(run).alias("lf"),
-        F.last("dims").over(in_minute).alias("mld"),
+        F.last("dims").over(in_bucket).alias("mld"),
     ).select(
         "*",
         F.lag("t").over(w).alias("prev_t_local"),
@@ -91,11 +109,13 @@ def states(points: DataFrame, th: C.Thresholds) -> DataFrame:
         F.lead("minute").over(w).alias("next_minute_local"),
         F.lead("mld").over(w).alias("next_mld_local"),
     )
-    carry = _chunk_carry(local)
+    carry = _chunk_carry(points)
     gap, grace = F.lit(th.gap_ms), F.lit(th.grace_ms)
     in_on = (F.coalesce("in_play", F.lit(1)) == 1) & (F.coalesce("in_fg", F.lit(1)) == 1)
     last_in_chunk = F.col("next_t_local").isNull()
-    joined = local.join(carry, [S, "chunk"], "inner").select(
+    # shuffle-hash join: only the small carry side moves, and the points keep
+    # their sort order, so the windows below need no new sort
+    joined = local.join(carry.hint("shuffle_hash"), [S, "chunk"], "inner").select(
         S, "chunk", "t", "kind", "ord", "minute", "dims", "mld",
         ((F.coalesce("lp", "in_play", F.lit(1)) == 1)
          & (F.coalesce("lf", "in_fg", F.lit(1)) == 1)).alias("is_on"),
@@ -163,7 +183,7 @@ def active_intervals(st: DataFrame, th: C.Thresholds) -> DataFrame:
     before each on-point, carried across chunk edges by a second per-chunk
     summary.
     """
-    w = Window.partitionBy(S, "chunk").orderBy("ord")
+    w = _w()
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opens_t = F.when(F.col("opens"), F.col("t"))
     last_open = st.groupBy(S, "chunk").agg(F.max(opens_t).alias("last_open"))
@@ -171,7 +191,7 @@ def active_intervals(st: DataFrame, th: C.Thresholds) -> DataFrame:
     carry = last_open.select(
         S, "chunk",
         F.last("last_open", ignorenulls=True).over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("in_open"))
-    seg = (st.join(carry, [S, "chunk"], "inner")
+    seg = (st.join(carry.hint("shuffle_hash"), [S, "chunk"], "inner")
            .select("*", F.coalesce(F.last(opens_t, ignorenulls=True).over(run), F.col("in_open")).alias("seg_start"))
            .filter("is_on"))
     intervals = (seg.groupBy(S, "seg_start")
@@ -193,7 +213,7 @@ def number_segments(intervals: DataFrame, th: C.Thresholds) -> DataFrame:
     wc = Window.partitionBy(S).orderBy("c0").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(S, "c0", F.coalesce(F.sum("n").over(wc), F.lit(0)).alias("base"))
     inner = Window.partitionBy(S, "c0").orderBy("ts_start_ms")
-    return (iv.join(offsets, [S, "c0"], "inner")
+    return (iv.join(offsets.hint("shuffle_hash"), [S, "c0"], "inner")
             .select(S, (F.col("base") + F.row_number().over(inner)).cast("bigint").alias("segment_id"),
                     "ts_start_ms", "ts_end_ms"))
 

@@ -79,7 +79,8 @@ def benchmark_one(rollup: DataFrame, label: str, th: C.Thresholds, catalogue=Non
                                  F.lit(spec[0]).cast("bigint").alias("grain_buckets"), "*")
 
 
-def benchmark_answers(rollup: DataFrame, th: C.Thresholds, catalogue: DataFrame | None = None) -> DataFrame:
+def benchmark_answers(rollup: DataFrame, th: C.Thresholds, catalogue: DataFrame | None = None,
+                      resolver=None) -> DataFrame:
     """All eight benchmark answers from a single scan of the rollup (A17, A19 pattern).
 
     Each rollup row is tagged with every question whose filters it passes;
@@ -91,7 +92,7 @@ def benchmark_answers(rollup: DataFrame, th: C.Thresholds, catalogue: DataFrame
     specs = benchmark_specs(th)
     tags = []
     for label, grain, flt in specs:
-        res = FL.resolve(cat, flt)
+        res = resolver(flt) if resolver is not None else FL.resolve(cat, flt)
         pred = res.predicate()
         tags.append(F.when(pred if pred is not None else F.lit(True),
                            F.struct(F.lit(label).alias("label"), F.lit(grain).cast("bigint").alias("grain"))))
