@@ -355,3 +355,14 @@ def naive_by_grain(nvf: DataFrame, grain: int) -> DataFrame:
             .groupBy(X.grain_bucket("minute", grain).alias("bucket_minute"))
             .agg(F.max("naive_concurrency").alias("naive_peak"),
                  F.max("foreground_concurrency").alias("foreground_peak")))
+
+
+def tumbling(series: DataFrame, bucket_ms: int, duration: str = "1 day") -> DataFrame:
+    """Peak and mean per tumbling event-time window, as a stream would group."""
+    ts = F.timestamp_millis(F.col("minute") * F.lit(bucket_ms))
+    return (series.groupBy(F.window(ts, duration).alias("w"))
+            .agg(F.max("concurrency").alias("peak_concurrency"),
+                 (F.sum("concurrency").cast("double") / F.count(F.lit(1)).cast("double")).alias("average_concurrency"),
+                 F.count(F.lit(1)).alias("minutes_in_window"))
+            .select(F.unix_seconds(F.col("w.start")).alias("window_start_utc"), "peak_concurrency",
+                    "average_concurrency", "minutes_in_window"))
