@@ -65,14 +65,17 @@ active_intervals{sfx} AS (
   FROM iv0{sfx} WHERE ts_end_ms > ts_start_ms)"""
 
 
-def ctes(th: C.Thresholds = C.DRIVER) -> str:
-    """WITH-clause body defining raw, content, intervals, session_minutes, minute_occupancy."""
+def ctes(th: C.Thresholds = C.DRIVER, raw: str | None = None) -> str:
+    """WITH-clause body defining raw, content, intervals, session_minutes, minute_occupancy.
+
+    `raw` replaces the events subquery (e.g. one day of it, or copies of it).
+    """
     b = th.bucket_ms
     dims_out = ", ".join(f"d.{d} AS {d}" for d in C.EVENT_DIMS)
     cdims = ", ".join(f"coalesce(c.{d}, '') AS {d}" for d in C.CONTENT_DIMS)
     keys = ", ".join(C.ROLLUP_DIMS)
     return f"""
-raw AS {driver.raw_events_sql()},
+raw AS {raw or driver.raw_events_sql()},
 content_src AS {driver.content_sql()},
 content AS (
   SELECT content_id, r.title AS title, r.video_type AS video_type, r.category AS category, r.show_name AS show_name
@@ -106,7 +109,7 @@ minute_occupancy AS (
   FROM session_minutes GROUP BY {keys}, minute)"""
 
 
-def with_model(select: str, th: C.Thresholds = C.DRIVER, extra: str = "") -> str:
+def with_model(select: str, th: C.Thresholds = C.DRIVER, extra: str = "", raw: str | None = None) -> str:
     """A full statement: the model CTEs, optional extra CTEs, then `select`."""
     more = f",\n{extra}" if extra else ""
-    return f"WITH {ctes(th)}{more}\n{select}"
+    return f"WITH {ctes(th, raw)}{more}\n{select}"

@@ -36,7 +36,7 @@ def write_store(build: P.Build, path: str) -> None:
     rollup = spark.read.parquet(f"{path}/minute_occupancy")
     (rollup.groupBy("day", "minute", *PROJECTION_DIMS)
      .agg(F.sum("sessions").cast("bigint").alias("sessions"))
-     .repartition("day").sortWithinPartitions("minute")
+     .repartitionByRange("day", "minute").sortWithinPartitions("minute")
      .write.mode("overwrite").partitionBy("day").parquet(f"{path}/occupancy_cpv"))
     SV.dimension_value(rollup).coalesce(1).write.mode("overwrite").parquet(f"{path}/dimension_value")
 
