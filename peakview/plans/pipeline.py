@@ -38,6 +38,23 @@ class Build:
     def rollup(self) -> DataFrame:
         return occupancy.rollup(self.session_minutes)
 
+    def materialize(self) -> "Build":
+        """The same build with intervals, session-minutes and rollup checkpointed.
+
+        Reliable checkpoints go to the shared folder named by
+        spark.checkpoint.dir and cut the lineage, so questions that read the
+        built tables many times (scalar subqueries, several joins) scan them
+        instead of re-running the sessionizer, and a lost executor does not
+        send the recovery back to the raw events.
+        """
+        _session.checkpoint_dir(self.raw.sparkSession)
+        m = Build(self.raw, self.content, self.th)
+        m.__dict__["states"] = self.states
+        m.__dict__["intervals"] = self.intervals.checkpoint()
+        m.__dict__["session_minutes"] = self.session_minutes.checkpoint()
+        m.__dict__["rollup"] = occupancy.rollup(m.session_minutes).checkpoint()
+        return m
+
 
 def build(raw: DataFrame, content: DataFrame, th: C.Thresholds) -> Build:
     return Build(raw, content, th)

@@ -90,7 +90,7 @@ SELECT count(*) AS rows, count(*) AS rollup_rows, count(DISTINCT minute) AS minu
        CAST(0 AS BIGINT) AS minutes_present_mismatches, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right
 FROM minute_occupancy""", TH))
 def q_snapshot_audit(spark, sf):
-    rollup = _b(spark, sf).rollup
+    rollup = _b(spark, sf).materialize().rollup
     path = _scratch(spark, "snapshot")
     packed, dictionary, minute_index = SK.snapshot(rollup, B)
     packed.write.parquet(f"{path}/rollup")

@@ -183,7 +183,7 @@ SELECT (SELECT count(DISTINCT video_session_id) FROM raw) AS sessions,
        CAST(sum(c) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS average_over_active_minutes
 FROM (SELECT minute, count(*) AS c FROM session_minutes GROUP BY minute)"""))
 def q_run_stats(spark, sf):
-    b = _b(spark, sf)
+    b = _b(spark, sf).materialize()
     return Q.run_stats(b.raw, b.intervals, b.session_minutes, B)
 
 
@@ -200,7 +200,7 @@ FROM (SELECT video_session_id,
              max(CASE WHEN event_type = 'VideoError' THEN 1 ELSE 0 END) AS errored
       FROM (SELECT *, {O._kind_sql()} AS k FROM raw) GROUP BY video_session_id)"""))
 def q_variety(spark, sf):
-    b = _b(spark, sf)
+    b = _b(spark, sf).materialize()
     return Q.variety(b.raw, b.intervals)
 
 
