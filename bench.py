@@ -7,6 +7,9 @@ Timed: the build (driver tables -> sessionize -> rollup written as
 day-partitioned parquet, plus the value catalogue), then each of the eight
 questions answered from the written rollup, `BENCH_REPS` times; the median
 per question is reported, and `value` is the sum of the eight medians.
+The store prepares each question once (plan built and optimized on the first
+ask, re-executed afterwards, files re-read every time), so the first run of
+each question is reported separately as the cold figure.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from peakview import session as _session  # noqa: E402
 from peakview.plans import pipeline as P  # noqa: E402
 from peakview.plans import serving as SV  # noqa: E402
 from peakview.plans import store as ST  # noqa: E402
+from peakview.plans import telemetry as TL  # noqa: E402
 
 
 def main() -> None:
@@ -51,13 +55,17 @@ def main() -> None:
     projection_rows = store.projection.count()
 
     answers = {}
+    every_run = []
+    first_run = {}
     for label, _, _ in C.BENCHMARKS:
         runs = []
-        for _ in range(reps):
+        for rep in range(reps):
             t = time.perf_counter()
             row = store.benchmark(label).collect()[0]
             runs.append(time.perf_counter() - t)
-        timings[label] = statistics.median(runs)
+            every_run.append((rep, label, int(runs[-1] * 1000)))
+        first_run[label] = round(runs[0], 4)  # cold: resolve filters, build and plan, execute
+        timings[label] = statistics.median(runs)  # warm: the prepared plan re-executed
         answers[label] = [row["peak_concurrency"], round(row["average_concurrency"], 4), row["active_minutes"]]
 
     runs = []
@@ -67,6 +75,10 @@ def main() -> None:
         runs.append(time.perf_counter() - t)
     timings["all_eight_one_scan"] = statistics.median(runs)
 
+    # serving SLO over every timed run, with the same latency operator as A31
+    metrics = spark.createDataFrame(every_run, "repetition int, query_label string, query_duration_ms bigint")
+    slo = TL.latency_report(metrics, "query_duration_ms", 100).first().asDict()
+
     eight = sum(timings[label] for label, _, _ in C.BENCHMARKS)
     print(json.dumps({
         "metric": "eight_benchmark_queries_median_sum",
@@ -76,6 +88,9 @@ def main() -> None:
         "sf": sf_dir.rstrip("/").split("sf")[-1],
         "rollup_rows": rollup_rows,
         "projection_rows": projection_rows,
+        "serving_slo_ms": slo,
+        "first_run_sec": first_run,
+        "first_run_total_sec": round(sum(first_run.values()), 4),
         "answers": answers,
         "reps": reps,
         "cpus": cpus,
