@@ -30,17 +30,35 @@ def clipped(intervals: DataFrame, session_minutes: DataFrame, bucket_ms: int) ->
             .drop("ts_start_ms", "ts_end_ms"))
 
 
-def merge_touching(pieces: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Merge pieces of one session that touch or overlap into continuous spans."""
+def merge_touching(pieces: DataFrame, keys: list[str] | None = None, chunk_ms: int = C.DAY_MS) -> DataFrame:
+    """Merge pieces of one session that touch or overlap into continuous spans.
+
+    Pieces are cut into time chunks by start. Inside a chunk, a piece opens a
+    span unless an earlier piece reaches its start; the reach of earlier
+    chunks and the start of the span still open at a chunk edge are carried
+    in from per-chunk tables, so no window spans a whole session.
+    """
     part = [S, *(keys or [])]
-    w = Window.partitionBy(*part).orderBy("clip_start", "clip_end")
-    prior_end = F.max("clip_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(prior_end >= F.col("clip_start"), 0).otherwise(1)
-    return (pieces.select(*part, "clip_start", "clip_end", opens.alias("opens"))
-            .withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy(*part, "run")
+    p = (pieces.select(*part, "clip_start", "clip_end")
+         .withColumn("chunk", X.floor_div("clip_start", chunk_ms)))
+    wc = Window.partitionBy(*part).orderBy("chunk")
+    before = wc.rowsBetween(Window.unboundedPreceding, -1)
+    reach = (p.groupBy(*part, "chunk").agg(F.max("clip_end").alias("e"))
+             .select(*part, "chunk", F.max("e").over(before).alias("in_end")))
+    w = Window.partitionBy(*part, "chunk").orderBy("clip_start", "clip_end")
+    prior = F.greatest(F.max("clip_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("in_end"))
+    s1 = (p.join(reach.hint("shuffle_hash"), [*part, "chunk"], "inner")
+          .withColumn("opens", F.when(prior >= F.col("clip_start"), 0).otherwise(1)))
+    open_start = F.when(F.col("opens") == 1, F.col("clip_start"))
+    last_open = (s1.groupBy(*part, "chunk").agg(F.max(open_start).alias("lo"))
+                 .select(*part, "chunk", F.last("lo", ignorenulls=True).over(before).alias("in_open")))
+    island = F.coalesce(F.last(open_start, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                        F.col("in_open"))
+    return (s1.join(last_open.hint("shuffle_hash"), [*part, "chunk"], "inner")
+            .withColumn("island", island)
+            .groupBy(*part, "island")
             .agg(F.min("clip_start").alias("clip_start"), F.max("clip_end").alias("clip_end"))
-            .drop("run"))
+            .drop("island"))
 
 
 def sweep_peak(spans: DataFrame, start: str, end: str, closed: bool, keys: list[str] | None = None) -> DataFrame:

@@ -158,3 +158,23 @@ def q_replicated(spark, sf):
     return built.rollup.agg(F.lit(_REP).cast("bigint").alias("copies"),
                             F.count(F.lit(1)).alias("rollup_rows")).select(
         "copies", rep.agg(F.count(F.lit(1))).scalar().alias("raw_rows"), "rollup_rows", peak.cast("bigint").alias("peak"))
+
+
+def _describe_sql(raw: str | None, name: str) -> str:
+    return O.with_model(
+        f"SELECT '{name}' AS dataset, min(minute) AS min_minute, max(minute) AS max_minute, count(*) AS occupancy_rows,"
+        " count(DISTINCT minute) AS minutes_with_sessions,"
+        " (SELECT max(c) FROM (SELECT minute, sum(sessions) AS c FROM minute_occupancy GROUP BY minute)) AS peak"
+        " FROM minute_occupancy", TH, raw=raw)
+
+
+@register("A43_dataset_list", f"""
+SELECT min(dataset) AS dataset, min_minute, max_minute, occupancy_rows, minutes_with_sessions, CAST(peak AS BIGINT) AS peak
+FROM (SELECT * FROM ({_describe_sql(None, 'full')}) UNION ALL SELECT * FROM ({_describe_sql(None, 'full_copy')})
+      UNION ALL SELECT * FROM ({_describe_sql(_LAST_DAY, 'last_day')}))
+GROUP BY min_minute, max_minute, occupancy_rows, minutes_with_sessions, peak""")
+def q_datasets(spark, sf):
+    b = _b(spark, sf).materialize()
+    day = P.build(SK.held_out_day(b.raw), b.content, TH).materialize()
+    return SV.dataset_list([SV.describe_dataset(b.rollup, "full"), SV.describe_dataset(b.rollup, "full_copy"),
+                            SV.describe_dataset(day.rollup, "last_day")])

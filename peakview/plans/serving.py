@@ -366,3 +366,19 @@ def tumbling(series: DataFrame, bucket_ms: int, duration: str = "1 day") -> Data
                  F.count(F.lit(1)).alias("minutes_in_window"))
             .select(F.unix_seconds(F.col("w.start")).alias("window_start_utc"), "peak_concurrency",
                     "average_concurrency", "minutes_in_window"))
+
+
+def describe_dataset(rollup: DataFrame, name: str) -> DataFrame:
+    """Extent of one built dataset: first/last minute, rows, minutes, peak."""
+    peak = rollup.groupBy("minute").agg(F.sum("sessions").alias("c")).agg(F.max("c")).scalar()
+    return rollup.agg(F.lit(name).alias("dataset"), F.min("minute").alias("min_minute"),
+                      F.max("minute").alias("max_minute"), F.count(F.lit(1)).alias("occupancy_rows"),
+                      F.count_distinct("minute").alias("minutes_with_sessions"),
+                      F.first(peak).cast("bigint").alias("peak"))
+
+
+def dataset_list(described: list[DataFrame]) -> DataFrame:
+    """All datasets, one row per distinct extent; a duplicate keeps the smallest name."""
+    allx = reduce(DataFrame.unionByName, described)
+    extent = ["min_minute", "max_minute", "occupancy_rows", "minutes_with_sessions", "peak"]
+    return allx.groupBy(*extent).agg(F.min("dataset").alias("dataset")).select("dataset", *extent)

@@ -91,7 +91,14 @@ class RollupStore:
 
     def series(self, filters: dict, minute_from=None, minute_to=None) -> DataFrame:
         res = self.resolve(filters)
-        return SV.occupancy(self.table_for(res), res, minute_from, minute_to)
+        table = self.table_for(res)
+        # a minute range also bounds the day partitions, so whole days are pruned
+        per_day = max(1, C.DAY_MS // self.th.bucket_ms)
+        if minute_from is not None:
+            table = table.filter(F.col("day") >= F.lit(minute_from // per_day))
+        if minute_to is not None:
+            table = table.filter(F.col("day") <= F.lit(minute_to // per_day))
+        return SV.occupancy(table, res, minute_from, minute_to)
 
     def concurrency(self, filters: dict, grain: int, minute_from=None, minute_to=None) -> DataFrame:
         return SV.concurrency(self.series(filters, minute_from, minute_to), grain)
