@@ -46,6 +46,9 @@ def event_points(raw: DataFrame, th: C.Thresholds) -> DataFrame:
     ).withColumn("chunk", X.floor_div("t", th.chunk_ms))
         .withColumn("ord", X.ord_key("t", "kind"))
         .withColumn("minute", X.floor_div("t", th.bucket_ms))
+        # keys are required; stating it here keeps the points' plan identical in
+        # every branch that reads them, so their one shuffle is reused, not repeated
+        .filter(F.col(S).isNotNull() & F.col("chunk").isNotNull())
         .repartition(S, "chunk"))
 
 
