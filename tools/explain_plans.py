@@ -49,7 +49,7 @@ def main(argv):
                "(one row per session-chunk) hashed by session for its window and by (session, chunk) "
                "for the shuffle-hash join; the catalogue; the rollup aggregation.\n")
     out.append("```\n" + simple.strip() + "\n```\n")
-    b.rollup.write.format("noop").mode("overwrite").save()
+    b.rollup.collect()  # runs this DataFrame's own execution, whose final plan is read next
     final = b.rollup._jdf.queryExecution().executedPlan().toString()
     out.append(f"The static plan lists the raw-events exchange under both the window branch and the "
                f"carry branch; they are identical, and the final adaptive plan after running holds "
