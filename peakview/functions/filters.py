@@ -42,13 +42,8 @@ class Resolved:
         return df if p is None else df.filter(p)
 
 
-def resolve(catalogue: DataFrame, filters: dict[str, object]) -> Resolved:
-    """Resolve user filters against the (dimension, value) catalogue.
-
-    Exact value wins; otherwise a case-insensitive match counts only when it
-    lands on exactly one real value; otherwise the filter matches nothing.
-    content_id 0 means no filter.
-    """
+def _asked(filters: dict[str, object]) -> tuple[dict[str, object], dict[str, str]]:
+    """Split user filters into ready equalities (content_id) and string values to look up."""
     equal: dict[str, object] = {}
     asked: dict[str, str] = {}
     for dim, raw in filters.items():
@@ -61,17 +56,13 @@ def resolve(catalogue: DataFrame, filters: dict[str, object]) -> Resolved:
         if is_sentinel(raw):
             continue
         asked[dim] = str(raw).strip(" ")
-    if not asked:
-        return Resolved(equal)
-    cond = reduce(lambda a, b: a | b, [
-        (F.col("dimension") == d) & (F.lower(F.col("value")) == F.lit(v.lower())) for d, v in asked.items()])
-    # bounded: only spellings that fold onto the asked values come back
-    found: dict[str, set[str]] = {}
-    for r in catalogue.filter(cond).select("dimension", "value").distinct().collect():
-        found.setdefault(r["dimension"], set()).add(r["value"])
+    return equal, asked
+
+
+def _decide(equal: dict, asked: dict, found: dict[str, set[str]]) -> Resolved:
     unknown: dict[str, str] = {}
     for dim, v in asked.items():
-        cands = found.get(dim, set())
+        cands = {x for x in found.get(dim, set()) if x.lower() == v.lower()}
         if v in cands:
             equal[dim] = v
         elif len(cands) == 1:
@@ -81,6 +72,30 @@ def resolve(catalogue: DataFrame, filters: dict[str, object]) -> Resolved:
     return Resolved(equal, impossible=bool(unknown), unknown=unknown)
 
 
+def resolve_many(catalogue: DataFrame, many: list[dict[str, object]]) -> list[Resolved]:
+    """Resolve several questions' filters with one catalogue lookup.
+
+    Exact value wins; otherwise a case-insensitive match counts only when it
+    lands on exactly one real value; otherwise the filter matches nothing.
+    content_id 0 means no filter. Only catalogue spellings that fold onto an
+    asked value reach the driver, so the lookup stays bounded.
+    """
+    split = [_asked(f) for f in many]
+    pairs = {(d, v.lower()) for _, asked in split for d, v in asked.items()}
+    found: dict[str, set[str]] = {}
+    if pairs:
+        cond = reduce(lambda a, b: a | b, [
+            (F.col("dimension") == d) & (F.lower(F.col("value")) == F.lit(v)) for d, v in sorted(pairs)])
+        for r in catalogue.filter(cond).select("dimension", "value").distinct().collect():
+            found.setdefault(r["dimension"], set()).add(r["value"])
+    return [_decide(dict(eq), asked, found) for eq, asked in split]
+
+
+def resolve(catalogue: DataFrame, filters: dict[str, object]) -> Resolved:
+    """Resolve one question's filters against the (dimension, value) catalogue."""
+    return resolve_many(catalogue, [filters])[0]
+
+
 def resolve_strict(catalogue: DataFrame, filters: dict[str, object]) -> Resolved:
     """As `resolve`, but an unknown or ambiguous value raises, naming real ones."""
     res = resolve(catalogue, filters)

@@ -90,9 +90,10 @@ def benchmark_answers(rollup: DataFrame, th: C.Thresholds, catalogue: DataFrame
     spark = rollup.sparkSession
     cat = catalogue if catalogue is not None else dimension_value(rollup)
     specs = benchmark_specs(th)
+    resolved = ([resolver(flt) for _, _, flt in specs] if resolver is not None
+                else FL.resolve_many(cat, [flt for _, _, flt in specs]))
     tags = []
-    for label, grain, flt in specs:
-        res = resolver(flt) if resolver is not None else FL.resolve(cat, flt)
+    for (label, grain, flt), res in zip(specs, resolved):
         pred = res.predicate()
         tags.append(F.when(pred if pred is not None else F.lit(True),
                            F.struct(F.lit(label).alias("label"), F.lit(grain).cast("bigint").alias("grain"))))
@@ -230,9 +231,10 @@ def slice_peaks(rollup: DataFrame, slices: dict[str, dict], catalogue: DataFrame
     one explode, then per (label, minute) sums and per label maxima.
     """
     cat = catalogue if catalogue is not None else dimension_value(rollup)
+    resolved = FL.resolve_many(cat, list(slices.values()))
     tags = []
-    for label, flt in slices.items():
-        pred = FL.resolve(cat, flt).predicate()
+    for (label, flt), res in zip(slices.items(), resolved):
+        pred = res.predicate()
         tags.append(F.when(pred if pred is not None else F.lit(True), F.lit(label)))
     tagged = rollup.select("minute", "sessions",
                            F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("slice"))

@@ -182,14 +182,29 @@ def write_replay_source(raw: DataFrame, folder: str, th: C.Thresholds, slices: i
         part.coalesce(1).write.mode("overwrite").parquet(f"{folder}/in/{i:04d}")
 
 
-def replay(spark: SparkSession, raw: DataFrame, th: C.Thresholds, folder: str) -> DataFrame:
+def streaming_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for a live query; its shuffle partitions fix the state store's partition count.
+
+    The count is fixed when the query first starts, so it is set on purpose
+    (default: the cluster's parallelism) rather than inherited.
+    """
+    s = spark.newSession()
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    s.conf.set("spark.sql.shuffle.partitions", str(n))
+    s.conf.set("spark.sql.session.timeZone", "UTC")
+    return s
+
+
+def replay(spark: SparkSession, raw: DataFrame, th: C.Thresholds, folder: str,
+           state_partitions: int | None = None) -> DataFrame:
     """Stream the events through the live path in time order; return the records (T4)."""
     write_replay_source(raw.select(*[c.split()[0] for c in RAW_STREAM_SCHEMA.split(", ")]), folder, th)
-    stream = (spark.readStream.schema(RAW_STREAM_SCHEMA).option("maxFilesPerTrigger", 1)
+    live = streaming_session(spark, state_partitions)
+    stream = (live.readStream.schema(RAW_STREAM_SCHEMA).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(f"{folder}/in"))
     run_to_completion(live_records(stream, th), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
 
 
 __all__ = ["live_records", "read_stream", "run_to_completion", "current_state", "intervals_with_predictions",
-           "open_session_seed", "replay", "sessionize"]
+           "open_session_seed", "replay", "streaming_session", "sessionize"]
