@@ -294,3 +294,53 @@ def presence_vs_active(raw: DataFrame, session_minutes: DataFrame, bucket_ms: in
         F.first(per_minute_p).alias("presence_peak"),
         F.first(per_minute_a).alias("active_peak"),
     )
+
+
+# --------------------------------------------------------------------------
+# preflight verdicts
+# --------------------------------------------------------------------------
+
+def preflight_checks(raw: DataFrame, content: DataFrame, th: C.Thresholds) -> DataFrame:
+    """Problems and warnings knowable before a build: (check, severity, detail).
+
+    problem: cadence too slow for grace or gap; timestamps outside epoch ms;
+    events naming unknown content ids; none of the recognised event types.
+    warning: too few gaps to judge cadence; grace far above the cadence;
+    recognised tokens partly absent; benchmark filter values never present.
+    """
+    spark = raw.sparkSession
+    prof = preflight_profile(raw, content).first()
+    cad = cadence(raw, th).first()
+    expected_types = [t.lower() for t in C.EXPECTED_EVENT_TYPES]
+    seen_types = {r[0] for r in raw.select(F.lower("event_type").alias("t")).filter(F.col("t").isin(*expected_types))
+                  .distinct().collect()}  # bounded: at most the expected tokens
+    absent = [(r["column"], r["token"]) for r in vocabulary_absent(raw).collect()]  # bounded: expected tokens
+    out: list[tuple[str, str, str]] = []
+    if prof["out_of_range_rows"]:
+        out.append(("timestamps", "problem", f"{prof['out_of_range_rows']} rows outside epoch milliseconds"))
+    if prof["orphan_rows"]:
+        out.append(("content_ids", "problem", f"{prof['orphan_rows']} rows name content ids missing from the catalogue"))
+    if not seen_types:
+        out.append(("vocabulary", "problem", "none of the recognised event types occurs"))
+    elif absent:
+        out.append(("vocabulary", "warning", "absent: " + ", ".join(f"{c}={t}" for c, t in sorted(absent))))
+    grace_s, gap_s = th.grace_ms / 1000.0, th.gap_ms / 1000.0
+    if cad["gaps"] is None or cad["gaps"] < 100:
+        out.append(("cadence", "warning", f"only {cad['gaps'] or 0} gaps, too few to judge the cadence"))
+    else:
+        p90 = cad["p90_s"]
+        if p90 > grace_s + 1:
+            out.append(("cadence", "problem", f"p90 gap {p90:.3f}s exceeds grace {grace_s:g}s"))
+        elif grace_s > 1.5 * p90 + 1:
+            out.append(("cadence", "warning", f"grace {grace_s:g}s far above p90 gap {p90:.3f}s"))
+        if gap_s <= p90:
+            out.append(("cadence", "problem", f"gap {gap_s:g}s at or below p90 gap {p90:.3f}s"))
+    asked = {(d, v) for _, _, flt in C.BENCHMARKS for d, v in flt.items() if d in ("platform", "country")}
+    present: set[tuple[str, str]] = set()
+    for dim in sorted({d for d, _ in asked}):
+        values = [v for d, v in asked if d == dim]
+        present |= {(dim, r[0]) for r in raw.select(dim).filter(F.col(dim).isin(*values)).distinct().collect()}
+    missing = sorted(asked - present)
+    if missing:
+        out.append(("benchmark_slices", "warning", "never present: " + ", ".join(f"{d}={v}" for d, v in missing)))
+    return spark.createDataFrame(out, "check string, severity string, detail string")

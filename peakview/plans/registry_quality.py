@@ -292,3 +292,9 @@ per{sfx} AS (SELECT minute, count(*) AS c FROM cov{sfx} GROUP BY minute)""")
 @register("A24_threshold_sweep", _sweep_sql())
 def q_sweep(spark, sf):
     return SW.sweep(_b(spark, sf).raw, TH)
+
+
+@register("A29_preflight_checks")
+def q_preflight_checks(spark, sf):
+    b = _b(spark, sf)
+    return Q.preflight_checks(b.raw, b.content, TH)
