@@ -7,8 +7,9 @@ across chunk edges. The result equals running the windows over whole
 sessions, which is what the SQL oracle does.
 
 Shuffles: the raw events are hash-partitioned once on (session, chunk); the
-dedupe, every window and the chunk summary reuse that partitioning. Only the
-summary (one row per session-chunk) moves again.
+dedupe and every window reuse that partitioning. The per-chunk summary is
+aggregated from the scan with a map-side partial aggregation, so it moves
+one row per session-chunk and task, never the events.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ def _w():
 def event_points(raw: DataFrame, th: C.Thresholds) -> DataFrame:
     """Raw events as points (session, chunk, t, kind, ord, minute, dims).
 
-    Hash-partitioned once on (session, chunk); everything downstream in the
-    sessionizer reuses this partitioning.
+    Not yet partitioned: `states` hash-partitions the points once on
+    (session, chunk) for the windows, and aggregates the per-chunk carry
+    summary straight from the scan, partially on the map side.
     """
     return (raw.select(
         F.col(S),
@@ -46,29 +48,30 @@ def event_points(raw: DataFrame, th: C.Thresholds) -> DataFrame:
     ).withColumn("chunk", X.floor_div("t", th.chunk_ms))
         .withColumn("ord", X.ord_key("t", "kind"))
         .withColumn("minute", X.floor_div("t", th.bucket_ms))
-        # keys are required; stating it here keeps the points' plan identical in
-        # every branch that reads them, so their one shuffle is reused, not repeated
-        .filter(F.col(S).isNotNull() & F.col("chunk").isNotNull())
-        .repartition(S, "chunk"))
+        # keys are required (the carry join would drop rows without them anyway)
+        .filter(F.col(S).isNotNull() & F.col("chunk").isNotNull()))
 
 
 def _chunk_carry(points: DataFrame) -> DataFrame:
     """Per (session, chunk): the state handed over from the neighbouring chunks.
 
-    Computed from the points with plain aggregates (no windows), so the
-    window pass over the points runs once. One row per session-chunk; the
-    window over it is per session and as long as the session's chunk count.
+    Plain long min/max aggregates over the points (the last play and
+    foreground signals are encoded as ord * 2 + signal): a hash aggregation,
+    partial on the map side, over a scan of the few narrow columns it needs,
+    so what it shuffles is one partial row per session-chunk and task, not
+    the events, and the window pass over the points runs once. One row per
+    session-chunk; the window over it is per session and as long as the
+    session's chunk count.
     """
     ps, fs = X.playing_signal("kind"), X.foreground_signal("kind")
     summary = points.groupBy(S, "chunk").agg(
-        F.max(F.when(ps.isNotNull(), F.struct(F.col("ord"), ps.alias("v")))).getField("v").alias("last_play"),
-        F.max(F.when(fs.isNotNull(), F.struct(F.col("ord"), fs.alias("v")))).getField("v").alias("last_fg"),
+        F.max(F.when(ps.isNotNull(), F.col("ord") * 2 + ps)).alias("lp_code"),
+        F.max(F.when(fs.isNotNull(), F.col("ord") * 2 + fs)).alias("lf_code"),
         F.min("t").alias("first_t"),
         F.max("t").alias("last_t"),
         F.min("minute").alias("first_minute"),
-        # last tuple of the chunk's first bucket: smallest bucket, then largest (ord, tuple)
-        F.max(F.struct(-F.col("minute"), F.col("ord"), F.col("dims"))).getField("dims").alias("first_mld"),
-    )
+    ).select(S, "chunk", "first_t", "last_t", "first_minute",
+             F.pmod("lp_code", F.lit(2)).alias("last_play"), F.pmod("lf_code", F.lit(2)).alias("last_fg"))
     w = Window.partitionBy(S).orderBy("chunk")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return summary.select(
@@ -79,7 +82,6 @@ def _chunk_carry(points: DataFrame) -> DataFrame:
         F.lag("last_t").over(w).alias("prev_last_t"),
         F.lead("first_t").over(w).alias("next_first_t"),
         F.lead("first_minute").over(w).alias("next_first_minute"),
-        F.lead("first_mld").over(w).alias("next_first_mld"),
         F.col("first_t").alias("chunk_first_t"),
     )
 
@@ -90,14 +92,19 @@ def states(points: DataFrame, th: C.Thresholds) -> DataFrame:
     Points repeated at one (session, t, kind) collapse to one, keeping the
     largest tuple. Columns added: is_on, opens, pe (end of the piece [t, pe)
     an on-point contributes), mld (last tuple of the point's bucket),
-    next_minute, next_mld, last_minute and prev_cov (last bucket already
-    covered by earlier pieces).
+    next_minute, next_mld, last_minute, hi (last bucket the piece emits),
+    is_piece, owed and prev_cov (last bucket already emitted before the row).
+
+    A piece of a chunk's last point may end in the next chunk's first bucket;
+    that bucket's tuple is only known there, so the next chunk emits it
+    (`owed` on its first point) and this chunk stops one bucket short.
     """
     w = _w()
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_bucket = (Window.partitionBy(S, "chunk", "minute").orderBy(*_in_bucket_order())
                  .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    distinct = (points.withColumn("_prev_ord", F.lag("ord").over(w))
+    # the one shuffle of the events: hash on (session, chunk), shared by every window below
+    distinct = (points.repartition(S, "chunk").withColumn("_prev_ord", F.lag("ord").over(w))
                 .filter(F.col("_prev_ord").isNull() | (F.col("_prev_ord") != F.col("ord")))
                 .drop("_prev_ord"))
     local = distinct.select(
@@ -126,7 +133,9 @@ def states(points: DataFrame, th: C.Thresholds) -> DataFrame:
         F.coalesce("prev_t_local", "prev_last_t").alias("prev_t"),
         F.when(last_in_chunk, F.col("next_first_t")).otherwise(F.col("next_t_local")).alias("next_t"),
         F.when(last_in_chunk, F.col("next_first_minute")).otherwise(F.col("next_minute_local")).alias("next_minute"),
-        F.when(last_in_chunk, F.col("next_first_mld")).otherwise(F.col("next_mld_local")).alias("next_mld"),
+        F.col("next_mld_local").alias("next_mld"),
+        last_in_chunk.alias("last_in_chunk"),
+        F.col("prev_t_local").isNull().alias("first_in_chunk"),
         "prev_last_t", "chunk_first_t",
     )
     pe = (F.when(F.col("next_t").isNull() | (F.col("next_t") - F.col("t") > gap), F.col("t") + grace)
@@ -144,31 +153,47 @@ def states(points: DataFrame, th: C.Thresholds) -> DataFrame:
                           | (F.col("prev_t").isNotNull() & (F.col("t") - F.col("prev_t") > gap))),
     ).withColumn(
         "last_minute", X.floor_div(F.col("pe") - 1, th.bucket_ms),
+    ).withColumn(
+        # the carried piece ends in this chunk's first bucket: this chunk emits that bucket
+        "owed",
+        F.col("first_in_chunk") & F.col("carry_on")
+        & (X.floor_div(carried_pe - 1, th.bucket_ms) == F.col("minute")),
     ).withColumn(
         "carry_cov",
-        F.when(F.col("carry_on"), X.floor_div(carried_pe - 1, th.bucket_ms)),
+        F.when(F.col("carry_on"), F.when(F.col("owed"), F.col("minute") - 1)
+               .otherwise(X.floor_div(carried_pe - 1, th.bucket_ms))),
+    ).withColumn(
+        "is_piece", F.col("is_on") & (F.col("pe") > F.col("t")),
+    ).withColumn(
+        # a chunk's last piece whose final bucket holds the next chunk's first point stops short
+        "hi",
+        F.when(F.col("last_in_chunk") & (F.col("last_minute") == F.col("next_minute")), F.col("last_minute") - 1)
+        .otherwise(F.col("last_minute")),
     )
-    piece_last = F.when(F.col("is_on") & (F.col("pe") > F.col("t")), F.col("last_minute"))
+    covers = F.when(F.col("is_piece"), F.col("hi")).when(F.col("owed"), F.col("minute"))
     return staged.withColumn(
         "prev_cov",
-        F.greatest(F.max(piece_last).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry_cov")),
-    ).drop("carry_cov", "prev_last_t", "chunk_first_t", "carry_on")
+        F.greatest(F.max(covers).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry_cov")),
+    ).drop("carry_cov", "prev_last_t", "chunk_first_t", "carry_on", "last_in_chunk", "first_in_chunk")
 
 
 def session_minutes_events(st: DataFrame) -> DataFrame:
     """(session, minute, event dims): every bucket an active piece covers, once.
 
     A piece [t, pe) covers buckets m(t)..m(pe-1). Its first bucket is skipped
-    when an earlier piece already covered it, so no (session, minute) is
+    when an earlier row already emitted it, so no (session, minute) is
     produced twice and no distinct (and no extra shuffle) is needed. The
     tuple of a covered bucket is the last tuple observed at or before it:
     the point's own bucket uses the last tuple of that bucket; a piece's
     final bucket uses the next point's bucket when that point lies inside it.
+    A chunk's first point also emits its bucket when the previous chunk's
+    last piece ends there (`owed`).
     """
-    pieces = st.filter(F.col("is_on") & (F.col("pe") > F.col("t")))
-    lo = F.when(F.col("prev_cov") >= F.col("minute"), F.col("minute") + 1).otherwise(F.col("minute"))
-    hi = F.col("last_minute")
-    spans = pieces.select(
+    rows = st.filter(F.col("is_piece") | F.col("owed"))
+    lo = (F.when(F.col("is_piece") & (F.col("prev_cov") >= F.col("minute")), F.col("minute") + 1)
+          .otherwise(F.col("minute")))
+    hi = F.when(F.col("is_piece"), F.col("hi")).otherwise(F.col("minute"))
+    spans = rows.select(
         S, "minute", "last_minute", "mld", "next_minute", "next_mld",
         F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))).alias("m"),
     )
