@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -12,20 +12,20 @@ from ..functions import running as R
 S = "video_session_id"
 
 
-def runs(session_minutes: DataFrame) -> DataFrame:
+def runs(session_minutes: DataFrame, chunk_buckets: int = 1440) -> DataFrame:
     """Runs of consecutive minutes in which a session keeps one tuple.
 
-    Runs are islands of consecutive minutes inside (session, tuple), so the
-    window is partitioned by the whole tuple, not by the session alone.
+    A run is a maximal chain of touching one-bucket pieces [m, m + 1) of one
+    (session, tuple), so it is built by the chunked merge of touching pieces:
+    no window spans a whole session or a whole run.
     """
-    keys = [S, *C.ROLLUP_DIMS]
-    w = Window.partitionBy(*keys).orderBy("minute")
-    is_new = F.coalesce(F.lag("minute").over(w) != F.col("minute") - 1, F.lit(True)).cast("int")
-    return (session_minutes.select(*keys, "minute", is_new.alias("is_new"))
-            .withColumn("run_id", F.sum("is_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy(*keys, "run_id")
-            .agg(F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"))
-            .drop("run_id"))
+    from .instant import merge_touching
+    keys = list(C.ROLLUP_DIMS)
+    pieces = session_minutes.select(S, *keys, F.col("minute").alias("clip_start"),
+                                    (F.col("minute") + 1).alias("clip_end"))
+    merged = merge_touching(pieces, keys, chunk_ms=chunk_buckets)
+    return merged.select(S, *keys, F.col("clip_start").alias("first_minute"),
+                         (F.col("clip_end") - 1).alias("last_minute"))
 
 
 def minute_deltas(session_minutes: DataFrame) -> DataFrame:
