@@ -4,6 +4,7 @@ Layout under one folder:
   minute_occupancy/      the 11-dimension rollup, partitioned by UTC day
   occupancy_cpv/         projection on (minute, country, platform, video_type)
   dimension_value/       (dimension, value) catalogue for filter resolution
+  naive_vs_foreground/   per-minute foreground and naive counts (overcount questions)
 
 The projection is a plain sum of the rollup over the other dimensions, so a
 question whose filters touch only its dimensions gets the same answer from
@@ -45,6 +46,9 @@ def write_store(build: P.Build, path: str) -> None:
      .repartitionByRange("day", "minute").sortWithinPartitions("minute")
      .write.mode("overwrite").partitionBy("day").parquet(f"{path}/occupancy_cpv"))
     SV.dimension_value(rollup).coalesce(1).write.mode("overwrite").parquet(f"{path}/dimension_value")
+    from ..operators import naive as N
+    N.naive_vs_foreground(rollup, build.raw, th.bucket_ms).write.mode("overwrite").parquet(
+        f"{path}/naive_vs_foreground")
 
 
 class RollupStore:
@@ -115,7 +119,44 @@ class RollupStore:
             F.lit(label).alias("query_label"), F.lit(spec[0]).cast("bigint").alias("grain_buckets"), "*"))
 
     def benchmarks_one_scan(self) -> DataFrame:
-        specs = SV.benchmark_specs(self.th)
-        dims = {d for _, _, flt in specs for d in flt}
-        table = self.projection if dims <= set(PROJECTION_DIMS) else self.rollup
-        return SV.benchmark_answers(table, self.th, catalogue=self.catalogue, resolver=self.resolve)
+        def make():
+            specs = SV.benchmark_specs(self.th)
+            dims = {d for _, _, flt in specs for d in flt}
+            table = self.projection if dims <= set(PROJECTION_DIMS) else self.rollup
+            return SV.benchmark_answers(table, self.th, catalogue=self.catalogue, resolver=self.resolve)
+        return self._remember(self._prepared, ("benchmarks_one_scan",), make)
+
+    # the five questions of the question surface, as DataFrames
+
+    def concurrency_peak(self, filters: dict, grain_minutes: int = 1, minute_from=None, minute_to=None,
+                         limit: int = C.MAX_SERIES_POINTS) -> DataFrame:
+        """Buckets busiest first, with the overall peak and average beside them."""
+        grain = self.th.grain_buckets(grain_minutes)
+        series = self.series(filters, minute_from, minute_to)
+        overall = SV.answer(series)
+        return (SV.concurrency(series, grain)
+                .select("*", overall.select("peak_concurrency").scalar().alias("overall_peak"),
+                        overall.select("average_concurrency").scalar().alias("overall_average"))
+                .orderBy(F.desc("peak_concurrency"), F.asc("bucket_minute")).limit(limit))
+
+    def concurrency_series(self, filters: dict, minute_from=None, minute_to=None,
+                           points: int = C.MAX_SERIES_POINTS) -> DataFrame:
+        """The series downsampled to at most `points`, keeping each stride's peak."""
+        return SV.downsample(self.series(filters, minute_from, minute_to), self.th.bucket_ms, points)
+
+    def top_slices(self, dimension: str, filters: dict | None = None, minute_from=None, minute_to=None,
+                   limit: int = C.MAX_SLICES) -> DataFrame:
+        """Peak per value of one dimension under the other filters."""
+        res = self.resolve(filters or {})
+        table = self.projection if set(res.equal) | {dimension} <= set(PROJECTION_DIMS) else self.rollup
+        return SV.top_slices(table, dimension, res, minute_from, minute_to, limit)
+
+    def overcount(self) -> DataFrame:
+        """Foreground against naive peaks and dense-window averages."""
+        from ..operators import naive as N
+        nvf = self.spark.read.parquet(f"{self.path}/naive_vs_foreground")
+        return N.overcount(nvf, SV.data_window(self.rollup, self.th.bucket_ms))
+
+    def list_dimensions(self) -> DataFrame:
+        """Every filterable value with minutes present and first/last minute (A10)."""
+        return SV.dimension_values(self.rollup)

@@ -130,3 +130,23 @@ def test_salted_top_n_equals_plain(spark):
     plain = (df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), F.asc("id"))))
              .filter("rank <= 5"))
     assert top.exceptAll(plain).count() == 0 and plain.exceptAll(top).count() == 0
+
+
+def test_store_question_surface(spark):
+    b = P.driver_build(spark, SF0001, C.DRIVER)
+    path = _session.scratch_path(spark, f"store-tools-{uuid.uuid4().hex}")
+    ST.write_store(b, path)
+    store = ST.RollupStore(spark, path, C.DRIVER)
+    peak = store.concurrency_peak({"platform": "iphone"}, grain_minutes=1440)
+    expect = SV.answer(SV.occupancy_for(b.rollup, {"platform": "IPHONE"})).first()
+    top = peak.first()
+    assert top["overall_peak"] == expect["peak_concurrency"] == top["peak_concurrency"]
+    series = store.concurrency_series({}).collect()
+    assert 0 < len(series) <= C.MAX_SERIES_POINTS
+    assert max(r["concurrency"] for r in series) == SV.occupancy(b.rollup, FL.Resolved()).agg(F.max("concurrency")).first()[0]
+    slices = {r["value"]: r["peak"] for r in store.top_slices("platform").collect()}
+    assert slices == {r["value"]: r["peak"] for r in SV.top_slices(b.rollup, "platform").collect()}
+    over = store.overcount().first()
+    assert over["foreground_peak"] == SV.occupancy(b.rollup, FL.Resolved()).agg(F.max("concurrency")).first()[0]
+    assert over["naive_peak"] >= 0
+    assert store.list_dimensions().filter("dimension = 'platform'").count() == 4
