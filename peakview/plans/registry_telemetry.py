@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import naive as N
 from ..sources import driver
 from ..sources import sinks as SK
@@ -147,3 +148,14 @@ def q_compare(spark, sf):
     return TL.compare_runs(new, old, "query_label", _METRICS)
 
 
+
+
+@register("P15_minute_labels", O.with_model(
+    f"SELECT minute, minute_utc, strftime(epoch_ms(minute * {B}), '%Y-%m-%d %H:%M') AS minute_label,"
+    " foreground_concurrency FROM nvf WHERE foreground_concurrency > 0", TH, NAIVE_CTE))
+def q_labels(spark, sf):
+    b = _b(spark, sf)
+    nvf = N.naive_vs_foreground(b.rollup, b.raw, B)
+    return (nvf.filter(F.col("foreground_concurrency") > 0)
+            .select("minute", "minute_utc", X.minute_label("minute", B).alias("minute_label"),
+                    "foreground_concurrency"))
