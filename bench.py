@@ -26,7 +26,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from peakview import config as C  # noqa: E402
 from peakview import session as _session  # noqa: E402
 from peakview.plans import pipeline as P  # noqa: E402
-from peakview.plans import serving as SV  # noqa: E402
 from peakview.plans import store as ST  # noqa: E402
 from peakview.plans import telemetry as TL  # noqa: E402
 

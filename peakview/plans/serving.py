@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -107,6 +107,7 @@ def benchmark_answers(rollup: DataFrame, th: C.Thresholds, catalogue: DataFrame
         (F.sum("concurrency").cast("double") / F.count(F.lit(1)).cast("double")).alias("average_concurrency"),
         F.count(F.lit(1)).cast("bigint").alias("active_minutes"))
     labels = spark.createDataFrame([(lbl, g) for lbl, g, _ in specs], "query_label string, grain_buckets bigint")
+    # per_label has one row per question (eight), so broadcasting it is bounded by construction
     return (labels.join(F.broadcast(per_label).withColumnRenamed("label", "query_label"), "query_label", "left")
             .select("query_label", "grain_buckets",
                     F.coalesce("peak_concurrency", F.lit(0)).cast("bigint").alias("peak_concurrency"),

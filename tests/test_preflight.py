@@ -1,5 +1,3 @@
-import pytest
-
 from peakview import config as C
 from peakview.operators import quality as Q
 from tests.fixtures import BASE_MS, content_df, raw_df, row
