@@ -7,8 +7,9 @@ fragment's task counts in how many different sets each of its shingles
 occurs and keeps those in two or more. What the fragments report is summed per
 document: a set that shares fewer than t% of its shingles with any other set
 cannot link and is done. The survivors' shingles are ordered by (frequency,
-hash); two linked sets share one within their prefixes. Candidate pairs
-are counted fragment by fragment and the partial overlaps summed per pair.
+hash); two linked sets share one within their prefixes, and length and
+positional filters drop most other pairs that do. What remains is counted
+fragment by fragment and the partial overlaps summed per pair.
 
 Equal sets are one class from the start, so copies cost nothing but their
 scan. Because the result is the linked groups, pairs inside a group that is
@@ -27,6 +28,7 @@ of whole sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import U64, WordHashes, components, cut, shingle_set
 
 FLUSH = 2_000_000  # shingles gathered in a task before its segments are sent on
+FRAGMENT = 4_000_000  # shingles that one fragment's task counts
 BANDS = 8  # fragments are counted for a pair in so many groups of fragments
 
 
@@ -140,39 +143,44 @@ def _overlaps(pairs: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
     return total.filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _fit(percent: int):
-    """Length filter: sets of these sizes can reach the threshold."""
-    return F.col("na") * 100 >= F.col("nb") * percent, F.col("nb") * 100 >= F.col("na") * percent
+def _can_reach(na, nb, left_a, left_b, percent: int):
+    """Length and positional filters: sets of these sizes that first meet with so many shingles left may link.
 
+    The row of a pair's first common shingle has the largest bound, so a pair that may link keeps that row.
+    """
+    return ((na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+            & (F.least(left_a, left_b) * (100 + percent) >= (na + nb) * percent))
 
-def _leader_pairs(posts: DataFrame, percent: int, leader) -> DataFrame:
-    """Each prefix shingle pairs its sets with one leader of another group; a, b, na, nb distinct."""
-    tops = (posts.groupBy("tok").agg(F.min_by(F.struct("cls", "n", "grp"), leader).alias("top"), F.min("grp").alias("g0"),
+
+def _leader_pairs(posts: DataFrame, percent: int, leader, shift: float) -> DataFrame:
+    """Each prefix shingle pairs its sets with one leader of about their size and of another group."""
+    posts = posts.withColumn("size", F.floor(F.log("n") / math.log(100 / percent) * 2 + shift))
+    tops = (posts.groupBy("tok", "size").agg(F.min_by(F.struct("cls", "n", "grp", "left"), leader).alias("top"), F.min("grp").alias("g0"),
                                      F.max("grp").alias("g1"))
-            .filter("g0 <> g1").select(F.expr("tok ^ 0").alias("ltok"), "top.*")
-            .withColumnsRenamed({"cls": "lcls", "n": "ln", "grp": "lgrp"}))
-    p = posts.join(tops, F.col("tok") == F.col("ltok")).filter("grp <> lgrp")
+            .filter("g0 <> g1").select(F.expr("tok ^ 0").alias("ltok"), F.expr("size ^ 0").alias("lsize"), "top.*")
+            .withColumnsRenamed({"cls": "lcls", "n": "ln", "grp": "lgrp", "left": "lleft"}))
+    may = _can_reach(F.col("n"), F.col("ln"), F.col("left"), F.col("lleft"), percent)
+    p = posts.join(tops, F.expr("tok = ltok and size = lsize")).filter(F.expr("grp <> lgrp") & may)
     p = p.select(F.least("cls", "lcls").alias("a"), F.greatest("cls", "lcls").alias("b"),
                  F.when(F.col("cls") < F.col("lcls"), F.col("n")).otherwise(F.col("ln")).alias("na"),
                  F.when(F.col("cls") < F.col("lcls"), F.col("ln")).otherwise(F.col("n")).alias("nb"))
-    f, g = _fit(percent)
-    return p.filter(f & g).distinct()
+    return p.distinct()
 
 
 def _cross_pairs(posts: DataFrame, percent: int) -> DataFrame:
     """All pairs of different groups that share a prefix shingle and pass the length filter."""
     mixed = posts.groupBy("tok").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1")
     p = cut(posts.join(mixed.select(F.expr("tok ^ 0").alias("mtok")), F.col("tok") == F.col("mtok"), "left_semi"), "cross")
-    x = p.select("tok", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("grp").alias("ga"))
-    y = p.select("tok", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("gb"))
-    f, g = _fit(percent)
-    return x.join(y, "tok").filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & f & g).select("a", "b", "na", "nb").distinct()
+    x = p.select("tok", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("grp").alias("ga"), F.col("left").alias("la"))
+    y = p.select("tok", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("gb"), F.col("left").alias("lb"))
+    may = _can_reach(F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), percent)
+    return x.join(y, "tok").filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & may).select("a", "b", "na", "nb").distinct()
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int, text_col: str = "text") -> DataFrame:
-    """(node, label) over class ids: the groups of sets that links connect."""
+def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, percent: int, text_col: str = "text") -> DataFrame:
+    """(node, label) over class ids: the groups of sets that links connect. total: shingles of all rows."""
     spark = docs.sparkSession
-    fragments = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fragments = max(16, -(-total // FRAGMENT))
     schema = "cls long, frag int, toks array<long>, df array<int>"
     shared = cut(_segments(docs, k, fragments, text_col).groupBy("frag").applyInArrow(_count_fragment, schema), "shared")
 
@@ -186,18 +194,18 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int, te
     seg = cut(mine.groupBy("cls", band.alias("band")).agg(F.flatten(F.collect_list("toks")).alias("toks")), "seg")
     ordered = mine.groupBy("cls", "n", "s").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("df", "toks")))).alias("ts"))
     # shingles of one set only come first in the order; what is left of the prefix is among the shared ones
-    prefix = ordered.select("cls", "n", F.explode(F.slice("ts", F.lit(1), (F.col("s") - need + 1).cast("int"))).alias("t"))
-    prefix = cut(prefix.select("cls", "n", F.col("t.toks").alias("tok")), "prefix")
+    prefix = ordered.select("cls", "n", "s", F.posexplode(F.slice("ts", F.lit(1), (F.col("s") - need + 1).cast("int"))).alias("pos", "t"))
+    prefix = cut(prefix.select("cls", "n", F.col("t.toks").alias("tok"), (F.col("s") - F.col("pos")).alias("left")), "prefix")
 
     links, groups = None, None
-    leaders = [F.col("cls"), F.xxhash64("cls", F.pmod("tok", F.lit(4))), F.xxhash64("cls", F.pmod("tok", F.lit(5)))]
+    leaders = [(F.col("cls"), 0.0), (F.xxhash64("cls", "tok"), 0.5), (F.xxhash64("tok", "cls"), 0.0)]
     for leader in [*leaders, None]:
         if groups is None:
             posts = prefix.withColumn("grp", F.col("cls"))
         else:
             names = groups.select(F.col("node").alias("cls"), F.col("label").alias("grp"))
             posts = prefix.join(names, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
-        pairs = _cross_pairs(posts, percent) if leader is None else _leader_pairs(posts, percent, leader)
+        pairs = _cross_pairs(posts, percent) if leader is None else _leader_pairs(posts, percent, *leader)
         pairs, told = cut(pairs, "pairs", n=F.count(F.lit(1)))
         if not told["n"]:
             break
@@ -212,8 +220,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int, te
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, cls, component_id (smallest id reachable by links)."""
-    classes = cut(document_classes(docs, k, id_col, text_col), "classes")
-    groups = linked_classes(docs, classes, k, percent, text_col)
+    classes, told = cut(document_classes(docs, k, id_col, text_col), "classes", n=F.sum("n_shingles"))
+    groups = linked_classes(docs, classes, told["n"] or 0, k, percent, text_col)
     own = classes.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"))
     known = own.join(groups, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("label", "cls"))
     known = cut(known.select("cls", "least_id", "root"), "known")
