@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import bpe, ngram_join
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary file is on this machine; it is installed on every worker."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op6_bpe")
+def op6(spark, sf):
+    return bpe.digests(read_table(spark, sf, "documents"), public_vocabulary())
+
+
 @register("op9_ngram_join")
 def op9(spark, sf):
     return ngram_join.near_duplicates(read_table(spark, sf, "documents"), k=4, percent=85).drop("cls")
