@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -44,10 +45,36 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return ensure(spark)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in tasks are pickled by reference, so a worker must be
+    able to import the package even where it is installed on the driver only.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="peakview-ship-"), "peakview_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("peakview", os.path.relpath(full, top)))
+    context.addPyFile(path)  # the driver serves it; executors fetch their own copy
+    _shipped.add(context.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    Only when none is configured (local tests) is a scratch folder made.
+    Only on a local master may it be unset (tests, bench): then a scratch
+    folder is made. Elsewhere a driver-local folder would be lost to the
+    executors, so this raises.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -57,6 +84,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="peakview-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
