@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 U64 = np.uint64
 
@@ -35,6 +35,12 @@ def cut(df: DataFrame, name: str, **metrics) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
+def map_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """mapInArrow, with this package on the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

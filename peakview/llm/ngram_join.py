@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, components, cut, shingle_set
+from .common import U64, WordHashes, components, cut, map_arrow, shingle_set
 
 FLUSH = 2_000_000  # shingles gathered in a task before its segments are sent on
 FRAGMENT = 4_000_000  # shingles that one fragment's task counts
@@ -61,7 +61,7 @@ def document_classes(docs: DataFrame, k: int, id_col: str = "doc_id", text_col:
                 pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "cls"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(work, "doc_id long, n_shingles long, cls long")
+    return map_arrow(slim, work, "doc_id long, n_shingles long, cls long")
 
 
 def _segments(docs: DataFrame, k: int, fragments: int, text_col: str) -> DataFrame:
@@ -104,7 +104,7 @@ def _segments(docs: DataFrame, k: int, fragments: int, text_col: str) -> DataFra
             yield pack(sets)
 
     slim = docs.select(F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(work, "frag int, cls binary, lens binary, toks binary")
+    return map_arrow(slim, work, "frag int, cls binary, lens binary, toks binary")
 
 
 def _count_fragment(table: pa.Table) -> pa.Table:

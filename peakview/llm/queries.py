@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join
+from . import bpe, langid, license_scan, ngram_join, pii
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,16 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op2_license_scan")
+def op2(spark, sf):
+    return license_scan.scan(read_table(spark, sf, "documents"))
+
+
+@register("op3_pii")
+def op3(spark, sf):
+    return pii.find(read_table(spark, sf, "documents")).drop("key", "span_list")
+
+
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary file is on this machine; it is installed on every worker."""
     import public_tokenizers
@@ -33,6 +43,11 @@ def op6(spark, sf):
     return bpe.digests(read_table(spark, sf, "documents"), public_vocabulary())
 
 
+@register("op7_language_id")
+def op7(spark, sf):
+    return langid.held_out_predictions(read_table(spark, sf, "documents"))
+
+
 @register("op9_ngram_join")
 def op9(spark, sf):
     return ngram_join.near_duplicates(read_table(spark, sf, "documents"), k=4, percent=85).drop("cls")
