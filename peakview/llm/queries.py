@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, license_scan, ngram_join, pii
+from . import bpe, chat_format, langid, license_scan, mixing, ngram_join, pii, quality_ledger, url_rules
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_url_rules")
+def op1(spark, sf):
+    return url_rules.judge(read_table(spark, sf, "pages"), read_table(spark, sf, "labels"))
+
+
 @register("op2_license_scan")
 def op2(spark, sf):
     return license_scan.scan(read_table(spark, sf, "documents"))
@@ -32,6 +37,16 @@ def op3(spark, sf):
     return pii.find(read_table(spark, sf, "documents")).drop("key", "span_list")
 
 
+@register("op4_chat_format")
+def op4(spark, sf):
+    return chat_format.rotate(read_table(spark, sf, "conversations"))
+
+
+@register("op5_quality_rules")
+def op5(spark, sf):
+    return quality_ledger.judged(read_table(spark, sf, "documents"))
+
+
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary file is on this machine; it is installed on every worker."""
     import public_tokenizers
@@ -48,6 +63,11 @@ def op7(spark, sf):
     return langid.held_out_predictions(read_table(spark, sf, "documents"))
 
 
+@register("op8_mixing")
+def op8(spark, sf):
+    return mixing.schedule(read_table(spark, sf, "documents"))
+
+
 @register("op9_ngram_join")
 def op9(spark, sf):
     return ngram_join.near_duplicates(read_table(spark, sf, "documents"), k=4, percent=85).drop("cls")
