@@ -1,4 +1,9 @@
-"""Corpus pipeline over `documents`: the stages, in order, each written as Parquet and reread."""
+"""Corpus pipeline over `documents`: five stages, each written as Parquet and reread by the next.
+
+Every stage but the last returns the columns of `documents`. Rows with null
+columns, blank texts and repeated rows pass by the rules in each stage's docstring; an
+empty table gives an empty result; further columns are carried along.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +12,72 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakview.llm import ngram_join
+from peakview.llm import bpe, langid, mixing, ngram_join, pii
+from peakview.llm.queries import public_vocabulary
 from peakview.session import scratch_path
 
+#: a document goes if its language can't be told at least so surely
+LEAST_SCORE = 0.5
+MIX_BLOCK = 64
+MIX_PERIOD = 1000
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID trained on the labelled documents: texts without a letter and those of no clear language go."""
+    model = langid.train(docs)
+    told = langid.predict(docs, model, lang_out="_pred", score_out="_score")
+    return told.filter((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates (five words, Jaccard 0.8): of each linked group the smallest doc_id stays."""
-    found = ngram_join.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Near duplicates (five words, Jaccard 0.8): of each linked group the document with the smallest doc_id stays.
+
+    Rows of equal doc_id and equal set of shingles are copies of one document, of which one row stays. A row without
+    an id has no rank in its group and goes if the group has one with an id.
+    """
+    told = ngram_join.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
+    gone = told.filter("doc_id is null and component_id is not null or doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    twice = told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
+    rest = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    once = rest.join(twice, F.col("doc_id") == F.col("_id"), "left_anti")
+    # ids that came more than once (copies of a row): one row of each id and text
+    again = rest.join(twice, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(*docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data becomes its kind's name in angle brackets; n_chars follows the text."""
+    masked = pii.mask(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the Pfair mix: the files, and the rows in each, follow the schedule."""
+    plan = mixing.schedule(docs.select("doc_id", "source"), block=MIX_BLOCK, period=MIX_PERIOD)
+    # equal rows of one id take their places in turn
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.min("position").alias("_position"))
+    placed = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return placed.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, and the digests of the ids and of the text decoded from them."""
+    return bpe.digests(docs, public_vocabulary(), keep=("lang", "source"))
 
 
 STAGES = [
+    ("language_id", known_language),
     ("ngram_join", one_of_each_group),
+    ("pii", without_personal_data),
+    ("mixing", mixed_sources),
+    ("bpe", encoded),
 ]
 
-#: the stages train a model and link groups of any depth, which SQL can't state
+#: the first stage trains a model, the second links groups of any depth: SQL can't state them (tests hold them
+#: against brute force)
 ORACLE_SQL = None
 
 

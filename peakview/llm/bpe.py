@@ -256,8 +256,8 @@ def decode(docs: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str
     return docs.withColumn(out_col, text_of(F.coalesce(ids_col, F.array().cast("array<int>"))))
 
 
-def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode and hash in one pass over the texts.
+def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, `keep`, n_tokens, ids_sha256, decoded_sha256): encode, decode and hash in one pass over the texts.
 
     The ids and the decoded text of a document are joined from its words', which equals
     joining token by token since both put one space between tokens.
@@ -267,11 +267,13 @@ def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
         codec = codec_of(vocab_path)
         for b in batches:
             n, ids, texts = [], [], []
-            for p in codec.pieces([t or "" for t in b.column(1).to_pylist()]):
+            for p in codec.pieces([t or "" for t in b.column(b.num_columns - 1).to_pylist()]):
                 n.append(sum(x[0] for x in p))
                 ids.append(hashlib.sha256(b" ".join([x[1] for x in p])).hexdigest())
                 texts.append(hashlib.sha256(" ".join([x[2] for x in p]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
-                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
+                                             [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).cast("string").alias("_text"))
+    schema = slim.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    return map_arrow(slim, work, schema)

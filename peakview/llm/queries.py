@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, langid, license_scan, mixing, ngram_join, pii, quality_ledger, url_rules
+from . import bpe, chat_format, langid, license_scan, mixing, ngram_join, pii, quality_ledger, url_rules, vector_graph
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op8(spark, sf):
 @register("op9_ngram_join")
 def op9(spark, sf):
     return ngram_join.near_duplicates(read_table(spark, sf, "documents"), k=4, percent=85).drop("cls")
+
+
+@register("op10_vector_graph")
+def op10(spark, sf):
+    return vector_graph.near_duplicates(read_table(spark, sf, "embeddings"))
