@@ -40,25 +40,36 @@ POLICIES: dict[str, list[str]] = {
 }
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words that lie in a window of eight that occurs twice or more."""
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    windows = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _wider(hashes: Column, width: int) -> Column:
+    """Hashes of windows twice as wide: each with the one `width` words on."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + width)))
+
+
+def _covered(windows: Column) -> Column:
+    """Words that lie in a window whose hash occurs twice or more."""
     # (hash, start) sorted: a window is repeated if a neighbour has its hash
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     same = lambda a, i, j: F.coalesce(F.get(a, i)["h"] == F.get(a, j)["h"], F.lit(False))
+    twice = _let(placed, lambda a: F.filter(a, lambda x, i: same(a, i, i - 1) | same(a, i, i + 1)))
+    at = F.array_sort(F.transform(twice, lambda x: x["i"]))
+    return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
+                       lambda acc, i: F.struct((acc["n"] + F.least(i - acc["last"], F.lit(WINDOW))).alias("n"), i.alias("last")),
+                       lambda acc: acc["n"].cast("long"))
+
 
-    def covered(a: Column) -> Column:
-        twice = F.filter(a, lambda x, i: same(a, i, i - 1) | same(a, i, i + 1))
-        at = F.array_sort(F.transform(twice, lambda x: x["i"]))
-        return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
-                           lambda acc, i: F.struct((acc["n"] + F.least(i - acc["last"], F.lit(WINDOW))).alias("n"), i.alias("last")),
-                           lambda acc: acc["n"].cast("long"))
-
-    # bound once through a one-element array, so that the sorted windows aren't computed for each use
-    once = F.element_at(F.transform(F.array(placed), covered), 1)
-    return F.when(F.size(words) < WINDOW + 1, F.lit(0).cast("long")).when(
-        F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(once)
+def _repeat_words(words: Column) -> Column:
+    """Words that lie in a window of eight that occurs twice or more."""
+    n = F.size(words) - (WINDOW - 1)
+    eight = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h1: _let(
+        _wider(h1, 1), lambda h2: _let(_wider(h2, 2), lambda h4: _wider(h4, 4))))
+    none = F.lit(0).cast("long")
+    return F.when(n < 2, none).otherwise(_let(F.slice(eight, F.lit(1), F.greatest(n, F.lit(0))), lambda w: F.when(
+        F.size(F.array_distinct(w)) == F.size(w), none).otherwise(_covered(w))))
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
