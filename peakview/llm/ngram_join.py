@@ -195,10 +195,13 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
     ordered = mine.groupBy("cls", "n", "s").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("df", "toks")))).alias("ts"))
     # shingles of one set only come first in the order; what is left of the prefix is among the shared ones
     prefix = ordered.select("cls", "n", "s", F.posexplode(F.slice("ts", F.lit(1), (F.col("s") - need + 1).cast("int"))).alias("pos", "t"))
-    prefix = cut(prefix.select("cls", "n", F.col("t.toks").alias("tok"), (F.col("s") - F.col("pos")).alias("left")), "prefix")
+    prefix = cut(prefix.select("cls", "n", (F.col("n") - F.col("s")).alias("own"), F.col("t.toks").alias("tok"),
+                               (F.col("s") - F.col("pos")).alias("left")), "prefix")
 
     links, groups = None, None
-    leaders = [(F.col("cls"), 0.0), (F.xxhash64("cls", "tok"), 0.5), (F.xxhash64("tok", "cls"), 0.0)]
+    # a set with few shingles of its own is the likeliest to link with many: it leads first
+    leaders = [(F.struct("own", "cls"), 0.0), (F.struct(F.floor(F.col("own") / 8), F.xxhash64("cls", "tok")), 0.5),
+               (F.xxhash64("tok", "cls"), 0.0), (F.xxhash64("cls", "tok", F.lit(1)), 0.5)]
     for leader in [*leaders, None]:
         if groups is None:
             posts = prefix.withColumn("grp", F.col("cls"))
