@@ -101,7 +101,7 @@ def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 64, period: int = 1000,
-             id_col: str = "doc_id", source_col: str = "source", named: int = 1000) -> DataFrame:
+             id_col: str = "doc_id", source_col: str = "source", named: int = 256) -> DataFrame:
     """Per row: doc_id, source, stream, block_no, release_slot, deadline_slot, slot, position.
 
     Without weights, the `named` largest sources get weights tempered from their sizes and the rest is one stream.
