@@ -57,7 +57,7 @@ def _byte_symbols() -> list[str]:
 class Codec:
     """Encoder and decoder of one vocabulary file, with its memory of words and pairs."""
 
-    WORDS = 250_000  # words in a generation of the memory; the one before it is kept too
+    WORDS = 100_000  # words in a generation of the memory; the one before it is kept too
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -167,7 +167,7 @@ class Codec:
             again = [w for w in words if w in self.older]
             self.words.update((w, self.older[w]) for w in again)
             words = [w for w in words if w not in self.words]
-        if len(self.pairs) > 4 * self.WORDS:
+        if len(self.pairs) > 2 * self.WORDS:
             self.pairs.clear()
         shown = ["".join(map(self.symbols.__getitem__, w.encode())) for w in words]
         proposed = [self._propose(w) for w in shown]

@@ -53,7 +53,7 @@ def ascii_lower(col):
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered for the words met so far (bounded)."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

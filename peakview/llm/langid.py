@@ -66,15 +66,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Bounded tables: word -> scores, n-gram -> scores, one score per language."""
+    """Bounded tables: word -> row, n-gram -> row by length; `rows` has a score per language."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
-        self.langs, self.tables = langs, tables
+    def __init__(self, langs: list[str], tables: list[dict[str, int]], rows: np.ndarray):
+        self.langs, self.tables, self.rows = langs, tables, rows
         self.floor = np.full(len(langs), -14.0)
 
     def word_score(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
-        return known if known is not None else self._back_off(word[:256], MAX_ORDER)
+        return self.rows[known] if known is not None else self._back_off(word[:256], MAX_ORDER)
 
     def _back_off(self, text: str, order: int) -> np.ndarray:
         """Mean over the n-grams of `text`; one that isn't known is scored by its own shorter n-grams."""
@@ -84,7 +84,7 @@ class Model:
         if not parts:
             return self._back_off(f"^{text}$", order - 1)
         table = self.tables[order]
-        found = [s if (s := table.get(p)) is not None else self._back_off(p, order - 1) - 0.5 for p in parts]
+        found = [self.rows[s] if (s := table.get(p)) is not None else self._back_off(p, order - 1) - 0.5 for p in parts]
         return np.mean(found, axis=0)
 
 
@@ -102,28 +102,33 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     langs = sorted({lang for _, lang in totals})
     picked = [counts.filter((F.col("lang") == lang) & (F.col("kind") == kind)).orderBy(F.desc("n"), "item").limit(max_grams if kind else max_words)
               for lang in langs for kind in range(MAX_ORDER + 1)]
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_ORDER + 1)]
+    tables: list[dict[str, int]] = [{} for _ in range(MAX_ORDER + 1)]
     raw: list[dict[str, dict[str, int]]] = [defaultdict(dict) for _ in tables]
     for kind, item, lang, n in reduce(DataFrame.unionAll, picked).collect() if picked else []:
         raw[kind][item][lang] = n
     at = {lang: i for i, lang in enumerate(langs)}
+    scores = np.empty((sum(map(len, raw)), len(langs)))
+    n_rows = 0
     for kind, items in enumerate(raw):
         floors = np.array([np.log(0.2 / (1 + totals.get((kind, lang), 0))) for lang in langs])
         for item, by_lang in items.items():
-            row = floors.copy()
+            scores[n_rows] = floors
             for lang, n in by_lang.items():
-                row[at[lang]] = np.log(n / totals[kind, lang])
-            tables[kind][item] = row
-    return Model(langs, tables)
+                scores[n_rows, at[lang]] = np.log(n / totals[kind, lang])
+            tables[kind][item] = n_rows
+            n_rows += 1
+    return Model(langs, tables, scores)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None,
             lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """`keep` columns of docs with the predicted language and its posterior (0 to 1)."""
     keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.rows))
     schema = docs.select(*keep).schema.add(lang_out, "string").add(score_out, "double")
-    limit = 200_000
+    limit = 100_000
+    extra = [] if text_col in keep else [F.col(text_col).cast("string").alias("_text")]
+    at_text = len(keep) if extra else keep.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
@@ -131,7 +136,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         rows = np.empty((1024, len(m.langs)))
         for b in batches:
             found, scores = [], []
-            for t in b.column(b.num_columns - 1):
+            for t in b.column(at_text):
                 words = WORD.findall(t.as_py().lower()) if t.is_valid else ()
                 if not words or not m.langs:
                     found.append(UNKNOWN)
@@ -151,10 +156,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 best = int(mean.argmax())
                 found.append(m.langs[best])
                 scores.append(float(p[best] / p.sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
                                              [*keep, lang_out, score_out])
 
-    return map_arrow(docs.select(*keep, F.col(text_col).cast("string").alias("_text")), work, schema)
+    return map_arrow(docs.select(*keep, *extra), work, schema)
 
 
 def remainder(id_col: str = "doc_id"):

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, components, cut, map_arrow, shingle_set
 
-FLUSH = 2_000_000  # shingles gathered in a task before its segments are sent on
+FLUSH = 1_000_000  # shingles gathered in a task before its segments are sent on
 FRAGMENT = 4_000_000  # shingles that one fragment's task counts
 BANDS = 8  # fragments are counted for a pair in so many groups of fragments
 
@@ -107,23 +107,32 @@ def _segments(docs: DataFrame, k: int, fragments: int, text_col: str) -> DataFra
     return map_arrow(slim, work, "frag int, cls binary, lens binary, toks binary")
 
 
+def _packed(table: pa.Table, name: str, kind) -> np.ndarray:
+    """The numbers in a binary column's values, one after the other, without copies of the single values."""
+    parts = []
+    for chunk in table.column(name).chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0]:ends[-1]])
+    return np.frombuffer(np.concatenate(parts), kind)
+
+
 def _count_fragment(table: pa.Table) -> pa.Table:
     """Shingles of one fragment that two or more different sets hold, by set: cls, frag, toks, df."""
-    join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    cls, lens, toks = join("cls", np.int64), join("lens", np.uint32), join("toks", U64)
+    cls, lens, toks = _packed(table, "cls", np.int64), _packed(table, "lens", np.uint32), _packed(table, "toks", U64)
     first = np.zeros(len(cls), bool)
     first[np.unique(cls, return_index=True)[1]] = True  # the segment of an equal set counts once
-    owner = np.repeat(np.arange(len(cls)), lens)
+    owner = np.repeat(np.arange(len(cls), dtype=np.uint32), lens)
     keep = first[owner]
     owner, toks = owner[keep], toks[keep]
-    order = np.argsort(toks, kind="stable")
-    s = toks[order]
+    s = np.sort(toks)
     starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    runs = np.diff(np.r_[starts, len(s)])
-    df = np.empty(len(s), np.int32)
-    df[order] = np.repeat(runs, runs)
-    shared = df >= 2
-    owner, toks, df = owner[shared], toks[shared], df[shared]
+    runs = np.diff(np.r_[starts, len(s)]).astype(np.int32)
+    values, runs = s[starts[runs >= 2]], runs[runs >= 2]
+    del s, starts, keep
+    at = np.searchsorted(values, toks).astype(np.uint32)
+    at[at == len(values)] = 0
+    shared = values[at] == toks if len(values) else np.zeros(len(toks), bool)
+    owner, toks, df = owner[shared], toks[shared], runs[at[shared]] if len(values) else runs
     held, counts = np.unique(owner, return_counts=True)
     offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
     frag = table.column("frag")[0].as_py()
