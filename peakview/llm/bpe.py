@@ -267,10 +267,12 @@ def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
         codec = codec_of(vocab_path)
         for b in batches:
             n, ids, texts = [], [], []
-            for p in codec.pieces([t or "" for t in b.column(b.num_columns - 1).to_pylist()]):
-                n.append(sum(x[0] for x in p))
-                ids.append(hashlib.sha256(b" ".join([x[1] for x in p])).hexdigest())
-                texts.append(hashlib.sha256(" ".join([x[2] for x in p]).encode()).hexdigest())
+            column = b.column(b.num_columns - 1)
+            for at in range(0, len(column), 128):  # words of so many texts are held at once
+                for p in codec.pieces([t or "" for t in column[at:at + 128].to_pylist()]):
+                    n.append(sum(x[0] for x in p))
+                    ids.append(hashlib.sha256(b" ".join([x[1] for x in p])).hexdigest())
+                    texts.append(hashlib.sha256(" ".join([x[2] for x in p]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
                                              [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
 

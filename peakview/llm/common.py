@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,24 @@ def cut(df: DataFrame, name: str, **metrics) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_arrow(df: DataFrame, work, schema) -> DataFrame:
-    """mapInArrow, with this package on the workers."""
+    """mapInArrow, with this package on the workers.
+
+    Texts are long rows: unless the session names another size, a batch holds
+    at most 1,000 of them, which bounds what a worker has in memory.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, "1000")
+
+    def bounded(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()  # else the worker keeps the largest task's buffers
+
+    return df.mapInArrow(bounded, schema)
 
 
 def ascii_lower(col):
