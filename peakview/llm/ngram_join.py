@@ -11,6 +11,10 @@ hash); two linked sets share one within their prefixes, and length and
 positional filters drop most other pairs that do. What remains is counted
 fragment by fragment and the partial overlaps summed per pair.
 
+Set sizes are counted on 64-bit hashes, overlaps on their upper 48 bits: two
+different shingles of one pair fall together in about one of 10^8 pairs of
+thousand-word texts, which moves that pair's overlap by one.
+
 Equal sets are one class from the start, so copies cost nothing but their
 scan. Because the result is the linked groups, pairs inside a group that is
 already connected are never formed: first every shingle of a prefix pairs its
@@ -64,6 +68,17 @@ def document_classes(docs: DataFrame, k: int, id_col: str = "doc_id", text_col:
     return map_arrow(slim, work, "doc_id long, n_shingles long, cls long")
 
 
+def _narrow(toks: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, six bytes each: what the fragments are sent."""
+    return (toks >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _widen(packed: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, :6] = packed.reshape(-1, 6)
+    return wide.view(U64).ravel()
+
+
 def _segments(docs: DataFrame, k: int, fragments: int, text_col: str) -> DataFrame:
     """(frag, cls, lens, toks): per task and fragment, the segments of its documents, packed."""
 
@@ -84,7 +99,7 @@ def _segments(docs: DataFrame, k: int, fragments: int, text_col: str) -> DataFra
             pa.array(seg_frag[heads].astype(np.int32)),
             pa.array([seg_cls[i:j].tobytes() for i, j in zip(heads, ends)], pa.binary()),
             pa.array([lens[i:j].tobytes() for i, j in zip(heads, ends)], pa.binary()),
-            pa.array([toks[tok_at[i]:tok_at[j]].tobytes() for i, j in zip(heads, ends)], pa.binary()),
+            pa.array([_narrow(toks[tok_at[i]:tok_at[j]]) for i, j in zip(heads, ends)], pa.binary()),
         ], ["frag", "cls", "lens", "toks"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +133,7 @@ def _packed(table: pa.Table, name: str, kind) -> np.ndarray:
 
 def _count_fragment(table: pa.Table) -> pa.Table:
     """Shingles of one fragment that two or more different sets hold, by set: cls, frag, toks, df."""
-    cls, lens, toks = _packed(table, "cls", np.int64), _packed(table, "lens", np.uint32), _packed(table, "toks", U64)
+    cls, lens, toks = _packed(table, "cls", np.int64), _packed(table, "lens", np.uint32), _widen(_packed(table, "toks", np.uint8))
     first = np.zeros(len(cls), bool)
     first[np.unique(cls, return_index=True)[1]] = True  # the segment of an equal set counts once
     owner = np.repeat(np.arange(len(cls), dtype=np.uint32), lens)
@@ -197,7 +212,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
     sizes = classes.filter("cls is not null").groupBy("cls").agg(F.max("n_shingles").alias("n"))
     held = shared.groupBy("cls").agg(F.sum(F.size("toks")).cast("long").alias("s"))
     alive = cut(held.join(sizes, "cls").filter(F.col("s") >= need), "alive")
-    mine = cut(shared.join(alive, "cls"), "mine")
+    mine = cut(shared.join(alive.select("cls"), "cls", "left_semi").join(alive, "cls"), "mine")
 
     band = F.floor(F.col("frag") * BANDS / fragments).cast("int")
     seg = cut(mine.groupBy("cls", band.alias("band")).agg(F.flatten(F.collect_list("toks")).alias("toks")), "seg")
@@ -219,8 +234,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
             posts = prefix.join(names, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
         pairs = _cross_pairs(posts, percent) if leader is None else _leader_pairs(posts, percent, *leader)
         pairs, told = cut(pairs, "pairs", n=F.count(F.lit(1)))
-        if not told["n"]:
-            break
+        if not told["n"]:  # leaders may pair with nobody where other sets still do; only the last round is about all
+            continue
         found, told = cut(_overlaps(pairs, seg, percent), "links", n=F.count(F.lit(1)))
         if told["n"] or groups is None:
             links = found if links is None else links.union(found)
