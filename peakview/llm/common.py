@@ -36,6 +36,17 @@ def cut(df: DataFrame, name: str, **metrics) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables written by cut() once everything made from them is written too."""
+    for df in tables:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
+        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = hadoop.Path(folder)
+            if path.getName().startswith("llm-"):
+                path.getFileSystem(conf).delete(path, True)
+
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, components, cut, map_arrow, shingle_set
+from .common import U64, WordHashes, components, cut, map_arrow, release, shingle_set
 
 FLUSH = 1_000_000  # shingles gathered in a task before its segments are sent on
 FRAGMENT = 4_000_000  # shingles that one fragment's task counts
@@ -222,6 +222,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
     prefix = cut(prefix.select("cls", "n", (F.col("n") - F.col("s")).alias("own"), F.col("t.toks").alias("tok"),
                                (F.col("s") - F.col("pos")).alias("left")), "prefix")
 
+    release(shared, mine)
+
     links, groups = None, None
     # a set with few shingles of its own is the likeliest to link with many: it leads first
     leaders = [(F.struct("own", "cls"), 0.0), (F.struct(F.floor(F.col("own") / 8), F.xxhash64("cls", "tok")), 0.5),
