@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -47,6 +48,17 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are written.
+
+    Its cleaner drops a shuffle once the driver has collected the objects that
+    name it; a driver with memory to spare may not do so for a long time, while
+    the executors' disks fill. Shuffles still in use stay.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -150,7 +162,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not last["n"]:
             break
-        e, now = cut(_small_star(_large_star(e)), "cc", **prints)
+        before = e
+        e, now = cut(_small_star(_large_star(before)), "cc", **prints)
+        release(before)
         if now == last:
             break
         last = now

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, components, cut, map_arrow, release, shingle_set
+from .common import U64, WordHashes, components, cut, forget_shuffles, map_arrow, release, shingle_set
 
 FLUSH = 1_000_000  # shingles gathered in a task before its segments are sent on
 FRAGMENT = 4_000_000  # shingles that one fragment's task counts
@@ -207,6 +207,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
     fragments = max(16, -(-total // FRAGMENT))
     schema = "cls long, frag int, toks array<long>, df array<int>"
     shared = cut(_segments(docs, k, fragments, text_col).groupBy("frag").applyInArrow(_count_fragment, schema), "shared")
+    forget_shuffles(spark)
 
     need = F.floor((F.col("n") * percent + 99) / 100)
     sizes = classes.filter("cls is not null").groupBy("cls").agg(F.max("n_shingles").alias("n"))
@@ -223,6 +224,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
                                (F.col("s") - F.col("pos")).alias("left")), "prefix")
 
     release(shared, mine)
+    forget_shuffles(spark)
 
     links, groups = None, None
     # a set with few shingles of its own is the likeliest to link with many: it leads first
@@ -237,11 +239,14 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
         pairs = _cross_pairs(posts, percent) if leader is None else _leader_pairs(posts, percent, *leader)
         pairs, told = cut(pairs, "pairs", n=F.count(F.lit(1)))
         if not told["n"]:  # leaders may pair with nobody where other sets still do; only the last round is about all
+            release(pairs)
             continue
         found, told = cut(_overlaps(pairs, seg, percent), "links", n=F.count(F.lit(1)))
         if told["n"] or groups is None:
             links = found if links is None else links.union(found)
             groups = cut(components(links), "groups")
+        release(pairs)
+        forget_shuffles(spark)
     if groups is None:
         return spark.createDataFrame([], "node long, label long")
     return groups
