@@ -81,10 +81,6 @@ CSV_DELIMITERS = (",", "\t", ";", "|")
 
 # result caps of the question surface
 MAX_SERIES_POINTS = 40
-MAX_SLICES = 40
-MAX_DIMENSION_VALUES = 2500
-MAX_TITLES = 2000
-MAX_CROSSOVER_SLICES = 20
 TITLE_MATCHES = 10
 
 # the eight benchmark questions: label, grain in minutes, filters

@@ -189,11 +189,10 @@ def cadence(raw: DataFrame, th: C.Thresholds) -> DataFrame:
     mode = hist.agg(F.max_by(F.struct("gap_ms", "n"), F.struct(F.col("n"), -F.col("gap_ms"))).alias("m"))
     out = cum.agg(
         F.lit(basis).alias("basis"),
-        F.first(total).cast("bigint").alias("gaps"),
         (q(0.5) / 1000.0).alias("p50_s"),
         (q(0.9) / 1000.0).alias("p90_s"),
         (q(0.99) / 1000.0).alias("p99_s"),
-    ).select("*", mode.select("m.gap_ms").scalar().alias("mode_ms"), mode.select("m.n").scalar().alias("mode_count"))
+    ).select("*", F.coalesce(total, F.lit(0)).cast("bigint").alias("gaps"), mode.select("m.gap_ms").scalar().alias("mode_ms"), mode.select("m.n").scalar().alias("mode_count"))
     grace_s, gap_s = th.grace_ms / 1000.0, th.gap_ms / 1000.0
     fail = (F.col("p90_s") > grace_s + 1) | (F.lit(gap_s) <= F.col("p90_s"))
     warn = (F.col("gaps") < 100) | (F.lit(grace_s) > F.col("p90_s") * 1.5 + 1)
@@ -213,18 +212,21 @@ def run_stats(raw: DataFrame, intervals: DataFrame, session_minutes: DataFrame,
     span = raw.agg((X.floor_div(F.max("t_ms"), bucket_ms) - X.floor_div(F.min("t_ms"), bucket_ms) + 1)).scalar()
     sessions = raw.agg(F.count_distinct(S)).scalar()
     active = intervals.agg(F.count_distinct(S)).scalar()
-    return totals.agg(
-        F.first(sessions).alias("sessions"),
-        F.first(intervals.agg(F.count(F.lit(1))).scalar()).alias("segments"),
-        (F.first(sessions) - F.first(active)).alias("sessions_with_no_active_time"),
-        F.sum("c").cast("bigint").alias("session_minutes"),
-        F.first(without.agg(F.count(F.lit(1))).scalar()).alias("covered_minutes_without_events"),
-        F.first(span).alias("minutes_in_span"),
+    counted = totals.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("session_minutes"),
         F.count(F.lit(1)).alias("minutes_with_activity"),
-        F.max("c").alias("peak_concurrency"),
+        F.coalesce(F.max("c"), F.lit(0)).alias("peak_concurrency"),
         F.max_by("minute", F.struct(F.col("c"), -F.col("minute"))).alias("peak_minute"),
-        (F.sum("c").cast("double") / F.first(span).cast("double")).alias("average_over_span"),
-        (F.sum("c").cast("double") / F.count(F.lit(1)).cast("double")).alias("average_over_active_minutes"),
+        F.coalesce(F.try_divide(F.sum("c").cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0))
+        .alias("average_over_active_minutes"),
+    )
+    # facts of the raw events stand beside the one counted row, also when nobody was active
+    return counted.select(
+        "*", sessions.alias("sessions"), (sessions - active).alias("sessions_with_no_active_time"),
+        intervals.agg(F.count(F.lit(1))).scalar().alias("segments"),
+        without.agg(F.count(F.lit(1))).scalar().alias("covered_minutes_without_events"),
+        span.alias("minutes_in_span"),
+        (F.col("session_minutes").cast("double") / span.cast("double")).alias("average_over_span"),
     )
 
 
@@ -291,9 +293,7 @@ def presence_vs_active(raw: DataFrame, session_minutes: DataFrame, bucket_ms: in
         F.count_if(F.col("p").isNotNull() & F.col("a").isNotNull()).alias("both"),
         F.count_if(F.col("a").isNull()).alias("presence_only"),
         F.count_if(F.col("p").isNull()).alias("active_only"),
-        F.first(per_minute_p).alias("presence_peak"),
-        F.first(per_minute_a).alias("active_peak"),
-    )
+    ).select("*", per_minute_p.alias("presence_peak"), per_minute_a.alias("active_peak"))
 
 
 # --------------------------------------------------------------------------

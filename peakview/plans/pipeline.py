@@ -66,22 +66,22 @@ def driver_build(spark: SparkSession, sf_dir: str, th: C.Thresholds = C.DRIVER)
     return Build(driver.raw_events(spark, sf_dir), driver.content(spark, sf_dir), th)
 
 
-def write_rollup(rollup: DataFrame, path: str, th: C.Thresholds) -> None:
+def write_rollup(rollup: DataFrame, path: str, th: C.Thresholds, replace_days: bool = False) -> None:
     """Persist the rollup partitioned by UTC day, sorted by minute inside files.
 
     Day partitions prune a minute range; min/max statistics on `minute` prune
-    row groups inside a day. Dynamic overwrite replaces only the days written.
+    row groups inside a day. The table becomes what `rollup` holds; with
+    `replace_days` only the days that `rollup` holds are replaced.
     Range partitioning on (day, minute) spreads one day over as many tasks as
     its size needs while keeping the files of a day few and minute-ordered.
     """
-    spark = rollup.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     per_day = C.DAY_MS // th.bucket_ms
     (rollup.withColumn("day", (F.col("minute") - F.pmod("minute", F.lit(per_day))) / F.lit(per_day))
      .withColumn("day", F.col("day").cast("bigint"))
      .repartitionByRange("day", "minute")
      .sortWithinPartitions("minute")
-     .write.mode("overwrite").partitionBy("day").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if replace_days else "static")
+     .partitionBy("day").parquet(path))
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:

@@ -151,14 +151,14 @@ def data_window(rollup: DataFrame, bucket_ms: int) -> DataFrame:
         _days_of(F.max("minute") - F.min("minute"), bucket_ms).alias("span_days"),
         F.count_distinct("minute").alias("minutes_with_sessions"),
         F.count(F.lit(1)).alias("occupancy_rows"),
-        F.first(lo).alias("dense_min_minute"),
-        F.first(hi).alias("dense_max_minute"),
-        X.minute_utc_seconds(F.first(lo), bucket_ms).alias("dense_min_utc"),
-        X.minute_utc_seconds(F.first(hi), bucket_ms).alias("dense_max_utc"),
-        _days_of(F.first(hi) - F.first(lo), bucket_ms).alias("dense_span_days"),
-        F.first(n_dense).alias("dense_days"),
         F.count_distinct(F.when(outside, F.col("minute"))).alias("outlier_minutes"),
         F.count_if(outside).cast("bigint").alias("outlier_rows"),
+    ).select(
+        "*", lo.alias("dense_min_minute"), hi.alias("dense_max_minute"),
+        X.minute_utc_seconds(lo, bucket_ms).alias("dense_min_utc"),
+        X.minute_utc_seconds(hi, bucket_ms).alias("dense_max_utc"),
+        _days_of(hi - lo, bucket_ms).alias("dense_span_days"),
+        n_dense.alias("dense_days"),
     )
 
 
@@ -210,7 +210,7 @@ def title_search(titles_df: DataFrame, text: str, limit: int = C.TITLE_MATCHES)
 # --------------------------------------------------------------------------
 
 def top_slices(rollup: DataFrame, dimension: str, resolved: FL.Resolved | None = None,
-               minute_from=None, minute_to=None, limit: int | None = C.MAX_SLICES) -> DataFrame:
+               minute_from=None, minute_to=None, limit: int | None = None) -> DataFrame:
     """Peak per value of one dimension, its minute (earliest on ties), minutes present."""
     df = rollup if resolved is None else resolved.apply(rollup)
     df = _minute_range(df, minute_from, minute_to)
@@ -284,7 +284,7 @@ def default_window(rollup: DataFrame, bucket_ms: int) -> DataFrame:
         F.when(long, day_lo + per_day - 1).otherwise(F.col("hi")).cast("bigint").alias("minute_to"))
 
 
-def crossover_dimensions(values: DataFrame, max_dims: int = 2, max_slices: int = C.MAX_CROSSOVER_SLICES) -> DataFrame:
+def crossover_dimensions(values: DataFrame, max_dims: int = 2) -> DataFrame:
     """Dimensions fit for a crossover: 2..12 values, platform and video_type first."""
     counts = values.groupBy("dimension").agg(F.count(F.lit(1)).alias("n_values"))
     pref = (F.when(F.col("dimension") == "platform", 0).when(F.col("dimension") == "video_type", 1).otherwise(2))

@@ -1,10 +1,14 @@
 """A built rollup on storage, opened for serving questions.
 
 Layout under one folder:
-  minute_occupancy/      the 11-dimension rollup, partitioned by UTC day
-  occupancy_cpv/         projection on (minute, country, platform, video_type)
-  dimension_value/       (dimension, value) catalogue for filter resolution
-  naive_vs_foreground/   per-minute foreground and naive counts (overcount questions)
+  versions/<name>               an empty marker: this build is complete; the last name is served
+  data/<name>/minute_occupancy  the 11-dimension rollup, partitioned by UTC day
+  data/<name>/occupancy_cpv     projection on (minute, country, platform, video_type)
+  data/<name>/dimension_value   (dimension, value) catalogue for filter resolution
+  data/<name>/naive_vs_foreground  per-minute foreground and naive counts (overcount questions)
+
+A build goes into a new folder and its marker is made last, so a reader sees
+the previous build or the new one, whole, and no day of an older build stays.
 
 The projection is a plain sum of the rollup over the other dimensions, so a
 question whose filters touch only its dimensions gets the same answer from
@@ -13,82 +17,97 @@ dimension. Serving runs in its own session (isolated SQL conf): a question's
 intermediate result has one row per minute, so adaptive re-planning and
 many shuffle partitions only add latency there, while the build keeps AQE.
 
-A store is an immutable snapshot of one build. Each distinct question keeps
-its planned DataFrame (a prepared statement): asking it again re-executes
-the plan, re-reading the files, but skips building and optimizing the plan,
-which costs several times the execution at this size. `refresh()` drops the
-prepared plans and re-lists the files after a rebuild in place.
+Every ask looks up the version to serve, builds a new plan and reads the
+files. Only what a filter's values resolve to is remembered, for as long as
+the version is served.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import filters as FL
+from ..operators import naive as N
 from . import pipeline as P
 from . import serving as SV
 
 PROJECTION_DIMS = ("country", "platform", "video_type")
+RESOLVED_MOST = 4096  # resolved filter sets remembered per version
+
+
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), folder
+
+
+def served_version(spark: SparkSession, path: str) -> str:
+    """Folder of the last complete build under `path`."""
+    fs, markers = _folder(spark, f"{path}/versions")
+    names = [f.getPath().getName() for f in fs.listStatus(markers)] if fs.exists(markers) else []
+    if not names:
+        raise FileNotFoundError(f"no complete build under {path}")
+    return f"{path}/data/{max(names)}"
 
 
-def write_store(build: P.Build, path: str) -> None:
-    """Write rollup, projection and catalogue of one build under `path`."""
+def write_store(build: P.Build, path: str) -> str:
+    """Write rollup, projection, catalogue and naive table of one build as a new version; return its folder."""
     th = build.th
-    P.write_rollup(build.rollup, f"{path}/minute_occupancy", th)
     spark = build.raw.sparkSession
-    rollup = spark.read.parquet(f"{path}/minute_occupancy")
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    to = f"{path}/data/{name}"
+    P.write_rollup(build.rollup, f"{to}/minute_occupancy", th)
+    rollup = spark.read.parquet(f"{to}/minute_occupancy")
     (rollup.groupBy("day", "minute", *PROJECTION_DIMS)
      .agg(F.sum("sessions").cast("bigint").alias("sessions"))
      .repartitionByRange("day", "minute").sortWithinPartitions("minute")
-     .write.mode("overwrite").partitionBy("day").parquet(f"{path}/occupancy_cpv"))
-    SV.dimension_value(rollup).coalesce(1).write.mode("overwrite").parquet(f"{path}/dimension_value")
-    from ..operators import naive as N
-    N.naive_vs_foreground(rollup, build.raw, th.bucket_ms).write.mode("overwrite").parquet(
-        f"{path}/naive_vs_foreground")
+     .write.partitionBy("day").parquet(f"{to}/occupancy_cpv"))
+    SV.dimension_value(rollup).write.parquet(f"{to}/dimension_value")
+    N.naive_vs_foreground(rollup, build.raw, th.bucket_ms).write.parquet(f"{to}/naive_vs_foreground")
+    fs, marker = _folder(spark, f"{path}/versions/{name}")
+    fs.create(marker).close()
+    return to
 
 
 class RollupStore:
     """Questions over a written store, answered in a serving session."""
 
-    def __init__(self, spark: SparkSession, path: str, th: C.Thresholds,
-                 shuffle_partitions: int = 4, cache_size: int = 4096) -> None:
+    def __init__(self, spark: SparkSession, path: str, th: C.Thresholds, shuffle_partitions: int = 4) -> None:
         self.spark = spark.newSession()
         self.spark.conf.set("spark.sql.adaptive.enabled", "false")
         self.spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.th = th
         self.path = path
-        self._cache_size = cache_size
+        self.version = None
         self.refresh()
 
     def refresh(self) -> None:
-        """(Re)open the tables and forget resolved filters and prepared questions."""
-        if getattr(self, "catalogue", None) is not None:
+        """Open the last complete build if it is not the one already open."""
+        last = served_version(self.spark, self.path)
+        if last == self.version:
+            return
+        if self.version is not None:
             self.catalogue.unpersist()
-        self.rollup = self.spark.read.parquet(f"{self.path}/minute_occupancy")
-        self.projection = self.spark.read.parquet(f"{self.path}/occupancy_cpv")
-        self.catalogue = self.spark.read.parquet(f"{self.path}/dimension_value").cache()
-        self._resolved: OrderedDict = OrderedDict()
-        self._prepared: OrderedDict = OrderedDict()
-
-    def _remember(self, cache: OrderedDict, key, make):
-        hit = cache.get(key)
-        if hit is None:
-            hit = make()
-            cache[key] = hit
-            if len(cache) > self._cache_size:
-                cache.popitem(last=False)
-        else:
-            cache.move_to_end(key)
-        return hit
+        self.rollup = self.spark.read.parquet(f"{last}/minute_occupancy")
+        self.projection = self.spark.read.parquet(f"{last}/occupancy_cpv")
+        self.catalogue = self.spark.read.parquet(f"{last}/dimension_value").cache()
+        self._resolved: dict = {}
+        self.version = last
 
     def resolve(self, filters: dict) -> FL.Resolved:
+        self.refresh()
         key = tuple(sorted((k, str(v)) for k, v in filters.items()))
-        return self._remember(self._resolved, key, lambda: FL.resolve(self.catalogue, filters))
+        if key not in self._resolved:
+            if len(self._resolved) >= RESOLVED_MOST:
+                self._resolved.clear()
+            self._resolved[key] = FL.resolve(self.catalogue, filters)
+        return self._resolved[key]
 
     def table_for(self, resolved: FL.Resolved) -> DataFrame:
         return self.projection if set(resolved.equal) <= set(PROJECTION_DIMS) else self.rollup
@@ -108,23 +127,20 @@ class RollupStore:
         return SV.concurrency(self.series(filters, minute_from, minute_to), grain)
 
     def answer(self, filters: dict, grain: int, minute_from=None, minute_to=None) -> DataFrame:
-        """Peak, average and active minutes of one question, prepared once per distinct question."""
-        key = (tuple(sorted((k, str(v)) for k, v in filters.items())), grain, minute_from, minute_to)
-        return self._remember(self._prepared, key, lambda: SV.answer(self.series(filters, minute_from, minute_to)))
+        """Peak, average and active minutes of one question (the same at every grain, see serving.answer)."""
+        return SV.answer(self.series(filters, minute_from, minute_to))
 
     def benchmark(self, label: str) -> DataFrame:
-        spec = {lbl: (g, flt) for lbl, g, flt in SV.benchmark_specs(self.th)}[label]
-        key = ("benchmark", label)
-        return self._remember(self._prepared, key, lambda: self.answer(spec[1], spec[0]).select(
-            F.lit(label).alias("query_label"), F.lit(spec[0]).cast("bigint").alias("grain_buckets"), "*"))
+        grain, flt = {lbl: (g, f) for lbl, g, f in SV.benchmark_specs(self.th)}[label]
+        return self.answer(flt, grain).select(
+            F.lit(label).alias("query_label"), F.lit(grain).cast("bigint").alias("grain_buckets"), "*")
 
     def benchmarks_one_scan(self) -> DataFrame:
-        def make():
-            specs = SV.benchmark_specs(self.th)
-            dims = {d for _, _, flt in specs for d in flt}
-            table = self.projection if dims <= set(PROJECTION_DIMS) else self.rollup
-            return SV.benchmark_answers(table, self.th, catalogue=self.catalogue, resolver=self.resolve)
-        return self._remember(self._prepared, ("benchmarks_one_scan",), make)
+        self.refresh()
+        specs = SV.benchmark_specs(self.th)
+        dims = {d for _, _, flt in specs for d in flt}
+        table = self.projection if dims <= set(PROJECTION_DIMS) else self.rollup
+        return SV.benchmark_answers(table, self.th, catalogue=self.catalogue, resolver=self.resolve)
 
     # the five questions of the question surface, as DataFrames
 
@@ -145,7 +161,7 @@ class RollupStore:
         return SV.downsample(self.series(filters, minute_from, minute_to), self.th.bucket_ms, points)
 
     def top_slices(self, dimension: str, filters: dict | None = None, minute_from=None, minute_to=None,
-                   limit: int = C.MAX_SLICES) -> DataFrame:
+                   limit: int | None = None) -> DataFrame:
         """Peak per value of one dimension under the other filters."""
         res = self.resolve(filters or {})
         table = self.projection if set(res.equal) | {dimension} <= set(PROJECTION_DIMS) else self.rollup
@@ -153,10 +169,11 @@ class RollupStore:
 
     def overcount(self) -> DataFrame:
         """Foreground against naive peaks and dense-window averages."""
-        from ..operators import naive as N
-        nvf = self.spark.read.parquet(f"{self.path}/naive_vs_foreground")
+        self.refresh()
+        nvf = self.spark.read.parquet(f"{self.version}/naive_vs_foreground")
         return N.overcount(nvf, SV.data_window(self.rollup, self.th.bucket_ms))
 
     def list_dimensions(self) -> DataFrame:
         """Every filterable value with minutes present and first/last minute (A10)."""
+        self.refresh()
         return SV.dimension_values(self.rollup)

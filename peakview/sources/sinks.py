@@ -19,12 +19,10 @@ DICTIONARY_BROADCAST_MAX_ROWS = 2_000_000
 
 def write_by_day(df: DataFrame, path: str, minute_col: str, bucket_ms: int, sort: list[str]) -> None:
     """Day-partitioned table write with dynamic overwrite of the days present."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     per_day = max(1, C.DAY_MS // bucket_ms)
     (df.withColumn("day", X.floor_div(minute_col, per_day))
      .repartitionByRange("day", *sort).sortWithinPartitions(*sort)
-     .write.mode("overwrite").partitionBy("day").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
 
 
 def write_answers(df: DataFrame, path: str, order: list[str], fmt: str = "csv") -> None:

@@ -15,6 +15,7 @@ from peakview.operators import quality as Q
 from peakview.plans import pipeline as P
 from peakview.plans import serving as SV
 from peakview.plans import store as ST
+from peakview.plans import telemetry as TL
 from tests.conftest import SF0001
 from tests.fixtures import content_df, minute, raw_df, row
 
@@ -150,3 +151,31 @@ def test_store_question_surface(spark):
     assert over["foreground_peak"] == SV.occupancy(b.rollup, FL.Resolved()).agg(F.max("concurrency")).first()[0]
     assert over["naive_peak"] >= 0
     assert store.list_dimensions().filter("dimension = 'platform'").count() == 4
+
+
+def test_store_serves_the_last_build_whole(spark):
+    b = P.driver_build(spark, SF0001, C.DRIVER).materialize()
+    path = _session.scratch_path(spark, f"store-versions-{uuid.uuid4().hex}")
+    ST.write_store(b, path)
+    store = ST.RollupStore(spark, path, C.DRIVER)
+    label = C.BENCHMARKS[0][0]
+    full = store.benchmark(label).first()
+    last_day = b.raw.agg(F.max("t_ms")).first()[0] // C.DAY_MS
+    small = P.build(b.raw.filter(F.col("t_ms") >= last_day * C.DAY_MS), b.content, C.DRIVER)
+    ST.write_store(small, path)
+    # the same store object, with no call to refresh, answers from the new build, and no older day is left
+    now = store.benchmark(label).first()
+    assert now == SV.benchmark_one(small.rollup, label, C.DRIVER).first()
+    assert now["active_minutes"] < full["active_minutes"]
+    assert store.rollup.count() == small.rollup.count()
+
+
+def test_facts_of_inputs_where_nobody_is_active(spark):
+    b = P.build(raw_df(spark, [row("a", "pause", 0)]), content_df(spark), C.TELEMETRY)
+    cad = Q.cadence(b.raw, C.TELEMETRY).first()
+    assert (cad["gaps"], cad["verdict"]) == (0, "warn")
+    stats = Q.run_stats(b.raw, b.intervals, b.session_minutes, C.TELEMETRY.bucket_ms).first()
+    assert (stats["sessions"], stats["sessions_with_no_active_time"], stats["segments"]) == (1, 1, 0)
+    assert (stats["session_minutes"], stats["peak_concurrency"]) == (0, 0)
+    metrics = {r["metric"]: r["value"] for r in TL.measure(b).collect()}
+    assert metrics["raw_events"] == 1 and metrics["occupancy_rows"] == 0 and metrics["active_intervals"] == 0
