@@ -70,7 +70,8 @@ def overcount(nvf: DataFrame, window: DataFrame) -> DataFrame:
     """One row: peaks, their minutes (earliest on ties), dense-window averages.
 
     Averages run over the minutes of the dense window present in either
-    series, which is how the published figure is defined.
+    series, which is how the published figure is defined. Where nobody is in
+    the foreground there is no ratio: the percentages are null.
     """
     lo = window.select("dense_min_minute").scalar()
     hi = window.select("dense_max_minute").scalar()
@@ -84,8 +85,8 @@ def overcount(nvf: DataFrame, window: DataFrame) -> DataFrame:
         F.max_by("minute_utc", F.struct(fg, -F.col("minute"))).alias("foreground_peak_utc"),
         F.max(nv).alias("naive_peak"),
         F.max_by("minute_utc", F.struct(nv, -F.col("minute"))).alias("naive_peak_utc"),
-        (F.lit(100.0) * (F.max(nv).cast("double") / F.max(fg).cast("double") - 1)).alias("peak_overcount_pct"),
+        (F.lit(100.0) * (F.try_divide(F.max(nv).cast("double"), F.max(fg).cast("double")) - 1)).alias("peak_overcount_pct"),
         fg_avg.alias("foreground_average"),
         nv_avg.alias("naive_average"),
-        (F.lit(100.0) * (nv_avg / fg_avg - 1)).alias("average_overcount_pct"),
+        (F.lit(100.0) * (F.try_divide(nv_avg, fg_avg) - 1)).alias("average_overcount_pct"),
     )
