@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +20,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str, **metrics) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end_with_the_write(spark: SparkSession):
+    """Spark deletes a write's shuffle files when the write ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def cut(df: DataFrame, name: str, by: str | None = None, **metrics) -> DataFrame:
     """Write `df` to the shared folder named by spark.checkpoint.dir and read it back.
 
     Later steps start from the files, so a lost executor costs only its own
     tasks. With `metrics` (name -> aggregate column) their values over the
-    written rows are returned beside the frame.
+    written rows are returned beside the frame. `by` names a column whose
+    values get a subfolder each.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
+    seen = Observation(f"{name}-{uuid.uuid4().hex}") if metrics else None
+    rows = df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if metrics else df
+    with _shuffles_end_with_the_write(spark):
+        rows.write.parquet(path, partitionBy=by)
     if not metrics:
-        df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    seen = Observation(f"{name}-{uuid.uuid4().hex}")
-    df.observe(seen, *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
@@ -48,17 +64,6 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose results are written.
-
-    Its cleaner drops a shuffle once the driver has collected the objects that
-    name it; a driver with memory to spare may not do so for a long time, while
-    the executors' disks fill. Shuffles still in use stay.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -37,14 +37,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, components, cut, forget_shuffles, map_arrow, release, shingle_set
+from .common import U64, WordHashes, components, cut, map_arrow, release, shingle_set
 
 FLUSH = 1_000_000  # shingles gathered in a task before its segments are sent on
 FRAGMENT = 4_000_000  # shingles that one fragment's task counts
-BANDS = 8  # fragments are counted for a pair in so many groups of fragments
+BANDS = 4  # fragments are counted for a pair in so many groups of fragments, one after the other
 
 
 def class_of(shingles: np.ndarray) -> int | None:
@@ -158,13 +158,28 @@ def _count_fragment(table: pa.Table) -> pa.Table:
 
 
 def _overlaps(pairs: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) whose Jaccard reaches `percent`: partial overlaps per band, summed."""
-    by_band = pairs.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
-    side = lambda c, t: seg.select(F.col("cls").alias(c), "band", F.col("toks").alias(t))
-    both = by_band.join(side("a", "ta"), ["a", "band"]).join(side("b", "tb"), ["b", "band"])
-    part = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("o"))
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    """Pairs (a, b, na, nb) whose Jaccard reaches `percent`.
+
+    Band after band adds its partial overlap o. A pair goes once the shingles
+    its sets still hold in later bands (ra, rb) can't lift it to `percent`, so
+    most false pairs end with the first band; links meet every band.
+    """
+    reach = F.col("o") + F.least("ra", "rb")
+    live = pairs.withColumns({"o": F.lit(0).cast("long"), "ra": F.col("na"), "rb": F.col("nb")})
+    for band in range(BANDS):
+        one = seg.filter(F.col("band") == band)
+        ours = one.select(F.col("cls").alias("a"), F.col("toks").alias("ta"), F.col("later").alias("la"))
+        theirs = one.select(F.col("cls").alias("b"), F.col("toks").alias("tb"), F.col("later").alias("lb"))
+        more = live.join(ours, "a", "left").join(theirs, "b", "left").select(
+            "a", "b", "na", "nb", (F.col("o") + F.coalesce(F.size(F.array_intersect("ta", "tb")), F.lit(0))).alias("o"),
+            F.coalesce("la", "ra").alias("ra"), F.coalesce("lb", "rb").alias("rb"))
+        if band == BANDS - 1:  # nothing comes after: ra and rb no longer count
+            more = more.withColumns({"ra": F.lit(0).cast("long"), "rb": F.lit(0).cast("long")})
+        kept = cut(more.filter(100 * reach >= percent * (F.col("na") + F.col("nb") - reach)), "live")
+        if band:
+            release(live)
+        live = kept
+    return live.select("a", "b")
 
 
 def _can_reach(na, nb, left_a, left_b, percent: int):
@@ -207,7 +222,6 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
     fragments = max(16, -(-total // FRAGMENT))
     schema = "cls long, frag int, toks array<long>, df array<int>"
     shared = cut(_segments(docs, k, fragments, text_col).groupBy("frag").applyInArrow(_count_fragment, schema), "shared")
-    forget_shuffles(spark)
 
     need = F.floor((F.col("n") * percent + 99) / 100)
     sizes = classes.filter("cls is not null").groupBy("cls").agg(F.max("n_shingles").alias("n"))
@@ -215,16 +229,20 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
     alive = cut(held.join(sizes, "cls").filter(F.col("s") >= need), "alive")
     mine = cut(shared.join(alive.select("cls"), "cls", "left_semi").join(alive, "cls"), "mine")
 
+    release(shared)
+
     band = F.floor(F.col("frag") * BANDS / fragments).cast("int")
-    seg = cut(mine.groupBy("cls", band.alias("band")).agg(F.flatten(F.collect_list("toks")).alias("toks")), "seg")
+    seg = mine.repartition("cls").groupBy("cls", band.alias("band")).agg(F.flatten(F.collect_list("toks")).alias("toks"))
+    after = Window.partitionBy("cls").orderBy("band").rowsBetween(1, Window.unboundedFollowing)
+    later = F.coalesce(F.sum(F.size("toks").cast("long")).over(after), F.lit(0))
+    seg = cut(seg.withColumn("later", later), "seg", by="band")
     ordered = mine.groupBy("cls", "n", "s").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("df", "toks")))).alias("ts"))
     # shingles of one set only come first in the order; what is left of the prefix is among the shared ones
     prefix = ordered.select("cls", "n", "s", F.posexplode(F.slice("ts", F.lit(1), (F.col("s") - need + 1).cast("int"))).alias("pos", "t"))
     prefix = cut(prefix.select("cls", "n", (F.col("n") - F.col("s")).alias("own"), F.col("t.toks").alias("tok"),
                                (F.col("s") - F.col("pos")).alias("left")), "prefix")
 
-    release(shared, mine)
-    forget_shuffles(spark)
+    release(mine)
 
     links, groups = None, None
     # a set with few shingles of its own is the likeliest to link with many: it leads first
@@ -246,7 +264,6 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
             links = found if links is None else links.union(found)
             groups = cut(components(links), "groups")
         release(pairs)
-        forget_shuffles(spark)
     if groups is None:
         return spark.createDataFrame([], "node long, label long")
     return groups
