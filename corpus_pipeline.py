@@ -36,13 +36,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     an id has no rank in its group and goes if the group has one with an id.
     """
     told = ngram_join.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
-    gone = told.filter("doc_id is null and component_id is not null or doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    twice = told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
-    rest = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    once = rest.join(twice, F.col("doc_id") == F.col("_id"), "left_anti")
+    goes = F.expr("doc_id is null and component_id is not null or doc_id <> component_id")
+    marks = told.groupBy("doc_id").agg(F.max(F.coalesce(goes, F.lit(False))).alias("goes"),
+                                       F.expr("count(1) > 1 and doc_id is not null").alias("again"))
+    # few ids have a mark; the texts are shuffled once, by this join
+    marked = docs.alias("d").join(marks.filter("goes or again").alias("m"), F.expr("d.doc_id <=> m.doc_id"), "left")
+    rest = marked.filter("m.goes is null or not m.goes")
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    once = rest.filter("m.again is null or not m.again").select(*columns)
     # ids that came more than once (copies of a row): one row of each id and text
-    again = rest.join(twice, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).select(*docs.columns)
+    twice = rest.filter("m.again").select(*columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(twice)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
