@@ -6,15 +6,17 @@ node joins the shards of its nearest `overlap` centres, the nearest being its
 home. In each shard a flat graph is built: candidates are a node's nearest
 members, robust pruning keeps those not already covered by a kept, closer
 one. Adjacency lists of a node are united over its shards. The search runs at
-a node's home shard over its members and the neighbours that the union brings
+a node's home shard (and, if that is a large one, at its other shards too) over its members and the neighbours that the union brings
 in: greedy from the shard's medoid to the query's region, then
 expanding through every node within the range until none is new. Each hit is
 checked by its cosine in double precision.
 
 Recall is audited for the rows whose id is divisible by `audit_every`,
 against all rows in blocks; below `least_recall` the graph is built again
-with more overlap. A shard over `max_shard` members is dealt into
-shards of that size by a hash, with the centre's nearest nodes as members of all of them.
+with more overlap, and if that doesn't reach it, all rows meet in blocks. The number
+of centres grows with the row count, from `max_centres` on with its square
+root. A shard over `max_shard` members gets no graph: it is dealt into parts by a hash,
+and every two parts meet in a task, so all of its pairs are compared.
 
 Hits between two nodes of one home are counted where they are found; only
 hits across homes leave the task as pairs, so a group of copies at one
@@ -28,6 +30,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +89,12 @@ def _scaled(nodes: DataFrame) -> DataFrame:
 
 
 def fit_centres(nodes: DataFrame, total: int, per_shard: int, sample_rows: int, max_centres: int, seed: int = 17) -> dict[int, np.ndarray]:
-    """dim -> centres, by spherical k-means over at most about `sample_rows` nodes picked by their hash."""
+    """dim -> centres, by spherical k-means over about `sample_rows` nodes picked by their hash.
+
+    Beyond `max_centres`**2 nodes there are as many centres as the root of `total`, on a sample of 16 nodes each at least.
+    """
+    max_centres = max(max_centres, math.isqrt(total))
+    sample_rows = max(sample_rows, 16 * math.isqrt(total))
     share = min(1.0, sample_rows / max(1, total))
     some = nodes.filter(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select("dim", "vec").toArrow()
     dims = np.asarray(some.column("dim"))
@@ -96,8 +104,9 @@ def fit_centres(nodes: DataFrame, total: int, per_shard: int, sample_rows: int,
         k = int(min(max_centres, max(1, total * len(x) // max(1, len(dims)) // per_shard), len(x)))
         rng = np.random.default_rng(seed)
         c = x[np.sort(rng.choice(len(x), k, replace=False))]
+        step = max(64, min(4096, 4_000_000 // k))
         for _ in range(8):
-            near = np.concatenate([(x[i:i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+            near = np.concatenate([(x[i:i + step] @ c.T).argmax(axis=1) for i in range(0, len(x), step)])
             sums = np.zeros_like(c)
             np.add.at(sums, near, x)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -109,7 +118,7 @@ def fit_centres(nodes: DataFrame, total: int, per_shard: int, sample_rows: int,
 def assign(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
     """Nodes with `shards`: (number, cosine to the centre), nearest first; the numbers of different lengths don't meet."""
     first = dict(zip(centres, np.cumsum([0, *map(len, centres.values())]).tolist()))
-    shared = nodes.sparkSession.sparkContext.broadcast(centres)  # at most max_centres of each length
+    shared = nodes.sparkSession.sparkContext.broadcast(centres)  # as many of each length as fit_centres() allows
     kind = pa.list_(pa.struct([("shard", pa.int64()), ("sim", pa.float64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,19 +142,20 @@ def assign(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> Da
     return map_arrow(nodes, work, "node long, times long, vec_id long, dim int, vec array<double>, shards array<struct<shard:long,sim:double>>")
 
 
-def _members(placed: DataFrame, max_shard: int, anchors: int = 64) -> DataFrame:
-    """(shard, part, node, times, vec, home): who is in which shard; large shards are dealt into parts that share anchors."""
-    each = placed.select("node", "times", "vec", F.posexplode("shards").alias("rank", "s")).select(
-        "node", "times", "vec", F.col("s.shard").alias("shard"), F.col("s.sim").alias("sim"), (F.col("rank") == 0).alias("home"))
-    sizes = each.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max_by("sim", "sim").alias("top"))
-    large = cut(sizes.filter(F.col("n") > max_shard).select(F.expr("shard ^ 0").alias("ls"), F.ceil(F.col("n") / max_shard).cast("int").alias("parts"), "n"), "vec-large")
-    each = each.join(large, F.col("shard") == F.col("ls"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    # anchors: a hash picks about `anchors` nodes of a large shard for all of its parts
-    anchor = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")) < anchors)
-    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
-    parts = F.when(anchor, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-    each = each.withColumn("own", own).withColumn("part", F.explode(parts))
-    return each.select("shard", "part", "node", "times", "vec", (F.col("home") & (F.col("part") == F.col("own"))).alias("home"))
+def _members(placed: DataFrame, max_shard: int, whole: bool = False) -> DataFrame:
+    """(shard, node, times, vec, hs, parts, asked): who is in which shard.
+
+    hs is a node's home shard, parts is set in large shards only, and asked holds where the node is searched for:
+    at home, and everywhere if its home is large. whole: every shard counts as large.
+    """
+    each = placed.select("node", "times", "vec", F.expr("shards[0].shard").alias("hs"), F.explode("shards.shard").alias("shard"))
+    sizes = each.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (0 if whole else max_shard))
+    large = cut(sizes.select(F.expr("shard ^ 0").alias("ls"), F.ceil(2 * F.col("n") / max_shard).cast("int").alias("parts")), "vec-large")
+    # at most as many rows as there are centres
+    each = each.join(F.broadcast(large), F.col("shard") == F.col("ls"), "left").drop("ls")
+    homes = large.select(F.col("ls").alias("lh"))
+    each = each.join(F.broadcast(homes), F.col("hs") == F.col("lh"), "left")
+    return each.withColumn("asked", F.expr("hs = shard or lh is not null")).drop("lh")
 
 
 def robust_prune(sims: np.ndarray, near: np.ndarray, x: np.ndarray) -> list[int]:
@@ -184,15 +194,16 @@ def _build(table: pa.Table) -> pa.Table:
 def _search(threshold: float):
 
     def work(table: pa.Table) -> pa.Table:
-        """One shard: hits of its home nodes. Rows: node, n (weighted hits at home), root (least node linked at home), away (hits of other homes)."""
+        """One shard: hits of the nodes asked there. Rows: node, n (weighted hits at home), root (least node linked at home), away (hits of other homes)."""
         ids = np.asarray(table.column("node"))
-        first = np.unique(ids, return_index=True)[1]  # a node may come as a member and as a neighbour
         member = np.asarray(table.column("member"))
-        home = np.asarray(table.column("home"))
-        order = np.lexsort((~home, ~member, ids))
+        hs = np.asarray(table.column("hs"))
+        home = member & (hs == np.asarray(table.column("shard")))
+        asked = np.asarray(table.column("asked"))
+        order = np.lexsort((~home, ~member, ids))  # a node may come as a member and as a neighbour
         first = order[np.unique(ids[order], return_index=True)[1]]
         table = table.take(pa.array(first))
-        ids, home = ids[first], home[first]
+        ids, home, hs, asked = ids[first], home[first], hs[first], asked[first]
         member = member[first]
         times = np.asarray(table.column("times"))
         x = _matrix(table.column("vec"))
@@ -211,7 +222,7 @@ def _search(threshold: float):
         medoid = int(np.flatnonzero(member)[(x[member] @ centre).argmax()])
 
         hits: dict[int, np.ndarray] = {}
-        for q in np.flatnonzero(home).tolist():
+        for q in np.flatnonzero(asked).tolist():
             v = x[q]
             seen = {medoid: float(x[medoid] @ v)}
             beam, done = [medoid], set()
@@ -238,8 +249,9 @@ def _search(threshold: float):
             inside.discard(q)
             hits[q] = np.array(sorted(inside), np.int64)
 
-        for q, js in list(hits.items()):  # both of a pair at home know of it
-            for j in js[home[js]].tolist():
+        at_home = [q for q in hits if home[q]]
+        for q in at_home:  # both of a pair at home know of it
+            for j in hits[q][home[hits[q]]].tolist():
                 if q not in hits[j]:
                     hits[j] = np.append(hits[j], q)
         root = {q: q for q in hits}
@@ -250,41 +262,105 @@ def _search(threshold: float):
                 i = root[i]
             return i
 
-        for q, js in hits.items():
-            for j in js[home[js]].tolist():
+        for q in at_home:
+            for j in hits[q][home[hits[q]]].tolist():
                 a, b = find(q), find(j)
                 root[max(a, b)] = min(a, b)
         qs = list(hits)
         return pa.table({
             "node": pa.array(ids[qs], pa.int64()),
-            "n": pa.array([int(times[hits[q][home[hits[q]]]].sum()) for q in qs], pa.int64()),
+            "n": pa.array([int(times[hits[q][home[hits[q]]]].sum()) if home[q] else 0 for q in qs], pa.int64()),
             "root": pa.array([int(ids[find(q)]) for q in qs], pa.int64()),
-            "away": pa.array([ids[hits[q][~home[hits[q]]]] for q in qs], pa.list_(pa.int64()))})
+            "away": pa.array([ids[hits[q][hs[hits[q]] != hs[q]]] for q in qs], pa.list_(pa.int64()))})
 
     return work
 
 
-def _graph_links(placed: DataFrame, threshold: float, max_shard: int) -> tuple[DataFrame, DataFrame]:
+def _meet(threshold: float):
+
+    def work(table: pa.Table) -> pa.Table:
+        """Two parts of a large shard, or one with itself: all pairs compared. Rows as from _search."""
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, part, times, hs = (np.asarray(table.column(c)) for c in ("node", "part", "times", "hs"))
+        x = _matrix(table.column("vec"))
+        home = hs == table.column("shard")[0].as_py()
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        linked = np.zeros((len(left), len(right)), bool)  # pairs at home
+        n = np.zeros(len(ids), np.int64)
+        away: dict[int, list[np.ndarray]] = {}
+        for at in range(0, len(left), BLOCK):
+            of = left[at:at + BLOCK]
+            hit = x[of] @ x[right].T >= threshold
+            if i == j:
+                hit[np.arange(len(of)), at + np.arange(len(of))] = False
+            other = hit & (hs[of][:, None] != hs[right][None, :])
+            for r in np.flatnonzero(other.any(axis=1)).tolist():
+                away[int(of[r])] = ids[right[other[r]]]
+            hit &= home[of][:, None] & home[right][None, :]
+            linked[at:at + len(of)] = hit
+            n[of] += (hit * times[right][None, :]).sum(axis=1)
+            if i != j:
+                n[right] += (hit * times[of][:, None]).sum(axis=0)
+        # groups at home: breadth first, each row and column of `linked` is looked at once
+        root = np.arange(len(ids))
+        place = np.full(len(ids), -1)
+        place[left] = np.arange(len(left))
+        new_l, new_r = linked.any(axis=1), linked.any(axis=0)
+        for first in np.flatnonzero(linked.any(axis=1)).tolist():
+            if not new_l[first]:
+                continue
+            ls, group = np.array([first]), [left[[first]]]
+            new_l[first] = False
+            while len(ls):
+                rs = np.flatnonzero(linked[ls].any(axis=0) & new_r)
+                new_r[rs] = False
+                ls = np.flatnonzero(linked[:, rs].any(axis=1) & new_l)
+                new_l[ls] = False
+                group += [right[rs], left[ls]]
+            group = np.concatenate(group)
+            root[group] = group[ids[group].argmin()]
+        # a node at home reports from its own part in any case, so each has a count
+        out = np.flatnonzero(home) if i == j else np.flatnonzero((n > 0) | (root != np.arange(len(ids))))
+        out = np.union1d(out, np.array(list(away), np.int64)).astype(np.int64)
+        none = np.empty(0, np.int64)
+        return pa.table({"node": pa.array(ids[out], pa.int64()), "n": pa.array(n[out], pa.int64()), "root": pa.array(ids[root[out]], pa.int64()),
+                         "away": pa.array([away.get(q, none) for q in out.tolist()], pa.list_(pa.int64()))})
+
+    return work
+
+
+def _block_links(members: DataFrame, threshold: float) -> DataFrame:
+    """Hits in large shards, as from _search: a row goes to one task for each part that its own part meets."""
+    m = members.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    m = m.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "times", "vec", "hs")
+    return m.groupBy("shard", "i", "j").applyInArrow(_meet(threshold), "node long, n long, root long, away array<long>")
+
+
+def _graph_links(placed: DataFrame, threshold: float, max_shard: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(node, n: weighted links to other nodes) and edges (a, b) that connect what links connect."""
-    members = cut(_members(placed, max_shard), "vec-members")
-    built = cut(members.groupBy("shard", "part").applyInArrow(lambda t: _build(t), "node long, nbrs array<long>, sims array<double>"), "vec-graph")
+    every = cut(_members(placed, max_shard, whole), "vec-members")
+    members = every.filter("parts is null").drop("parts")
+    built = cut(members.groupBy("shard").applyInArrow(lambda t: _build(t), "node long, nbrs array<long>, sims array<double>"), "vec-graph")
     pairs = built.select("node", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("node", F.col("e.nbrs").alias("nbr"), F.col("e.sims").alias("sim"))
     union = cut(pairs.groupBy("node").agg(F.array_sort(F.collect_set("nbr")).alias("nbrs"),
                                           F.array_sort(F.collect_set(F.when(F.col("sim") >= threshold - 0.1, F.col("nbr")))).alias("close")), "vec-union")
     # neighbours near enough to lie in a range come along to the homes that know them
-    homes = members.filter("home").select("shard", "part", "node")
-    wanted = homes.join(union, "node").select("shard", "part", F.explode("close").alias("nbr")).distinct()
-    vectors = placed.select(F.col("node").alias("v_node"), "times", "vec")
+    homes = members.filter("asked").select("shard", "node")
+    wanted = homes.join(union, "node").select("shard", F.explode("close").alias("nbr")).distinct()
+    vectors = placed.select(F.col("node").alias("v_node"), "times", "vec", F.expr("shards[0].shard").alias("hs"))
     guests = wanted.join(vectors, F.col("nbr") == F.col("v_node")).select(
-        "shard", "part", F.col("nbr").alias("node"), "times", "vec", F.lit(False).alias("home"), F.lit(False).alias("member"))
+        "shard", F.col("nbr").alias("node"), "times", "vec", "hs", F.lit(False).alias("asked"), F.lit(False).alias("member"))
     there = members.withColumn("member", F.lit(True)).unionByName(guests)
     there = there.join(union.select(F.col("node").alias("u"), "nbrs"), F.col("node") == F.col("u"), "left").drop("u")
     there = there.withColumn("nbrs", F.coalesce("nbrs", F.array().cast("array<long>")))
-    found = cut(there.groupBy("shard", "part").applyInArrow(_search(threshold), "node long, n long, root long, away array<long>"), "vec-found")
+    found = there.groupBy("shard").applyInArrow(_search(threshold), "node long, n long, root long, away array<long>")
+    found = cut(found.unionByName(_block_links(every.filter("parts is not null"), threshold)), "vec-found")
     across = found.select("node", F.explode("away").alias("o"))
     across = across.unionByName(across.select(F.col("o").alias("node"), F.col("node").alias("o"))).distinct()
     weight = across.join(placed.select(F.col("node").alias("w"), "times"), F.col("o") == F.col("w")).groupBy("node").agg(F.sum("times").alias("m"))
-    counts = found.join(weight.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(
+    here = found.groupBy("node").agg(F.sum("n").alias("n"))
+    counts = here.join(weight.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(
         "node", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
     edges = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(
         across.filter("node < o").select(F.col("node").alias("a"), F.col("o").alias("b")))
@@ -330,9 +406,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     rows = cut(rows.select("vec_id", "node"), "vec-rows")
     centres = fit_centres(nodes, told["n"] or 0, per_shard, sample_rows, max_centres)
     truth = cut(true_links(nodes, threshold, audit_every), "vec-truth")
-    for more in (0, 1, 3):
-        placed = cut(assign(nodes, centres, overlap + more), "vec-placed")
-        counts, edges = _graph_links(placed, threshold, max_shard)
+    for more in (0, 1, 3, None):
+        if more is None:  # no overlap has reached it: one shard of each length, all of whose parts meet
+            one = F.struct((-F.col("dim").cast("long")).alias("shard"), F.lit(0.0).alias("sim"))
+            placed = cut(nodes.withColumn("shards", F.array(one)), "vec-placed")
+        else:
+            placed = cut(assign(nodes, centres, overlap + more), "vec-placed")
+        counts, edges = _graph_links(placed, threshold, max_shard, whole=more is None)
         audit = truth.join(counts, "node").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", "n")).alias("f")).first()
         recall = (audit.f / audit.t) if audit.t else 1.0
         if recall >= least_recall:
