@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakview.llm import bpe, langid, mixing, ngram_join, pii
+from peakview.llm.common import cut
 from peakview.llm.queries import public_vocabulary
 from peakview.session import scratch_path
 
@@ -30,21 +31,30 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates (five words, Jaccard 0.8): of each linked group the document with the smallest doc_id stays.
+    """Near duplicates (five words, Jaccard 0.8): of each linked group one row stays.
 
-    Rows of equal doc_id and equal set of shingles are copies of one document, of which one row stays. A row without
-    an id has no rank in its group and goes if the group has one with an id.
+    It is the row with the smallest doc_id, one without an id after all others; rows of one id with different texts
+    are told apart by the hash of id and text. Of equal rows one stays. A text without a word links with nothing: its
+    row stays, one for each doc_id, and all of those without an id.
     """
-    told = ngram_join.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
-    goes = F.expr("doc_id is null and component_id is not null or doc_id <> component_id")
-    marks = told.groupBy("doc_id").agg(F.max(F.coalesce(goes, F.lit(False))).alias("goes"),
-                                       F.expr("count(1) > 1 and doc_id is not null").alias("again"))
-    # few ids have a mark; the texts are shuffled once, by this join
-    marked = docs.alias("d").join(marks.filter("goes or again").alias("m"), F.expr("d.doc_id <=> m.doc_id"), "left")
-    rest = marked.filter("m.goes is null or not m.goes")
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    # a row is known by its id and the hash of id and text: equal rows have one key, and so one component
+    keyed = docs.select("doc_id", "text", pii.row_key().alias("row_key"))
+    told = ngram_join.near_duplicates(keyed, k=5, percent=80, key_col="row_key")
+    rows = (told.filter("root is not null or doc_id is not null")
+            .withColumn("alone", F.expr("case when root is null then doc_id end"))
+            .groupBy("root", "alone", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
+    rows = cut(rows.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("later"), "doc_id", "key")), "rows")
+    # `^ 0`: both inputs of the join get an exchange of their own, so a large group may be split over tasks
+    first = rows.groupBy("root", "alone").agg(F.min("rank").alias("first")).select(F.expr("root ^ 0").alias("r"), F.expr("alone ^ 0").alias("a"), "first")
+    marks = rows.join(first, F.expr("root <=> r and alone <=> a")).select(
+        "doc_id", "key", F.expr("key <> first.key or not doc_id <=> first.doc_id").alias("goes"), F.expr("n > 1").alias("again"))
+    # few rows have a mark; the texts are shuffled once, by this join
+    marked = docs.withColumn("_key", pii.row_key()).alias("d").join(
+        marks.filter("goes or again").alias("m"), F.expr("d._key = m.key and d.doc_id <=> m.doc_id"), "left")
+    rest = marked.filter("m.goes is null or not m.goes")
     once = rest.filter("m.again is null or not m.again").select(*columns)
-    # ids that came more than once (copies of a row): one row of each id and text
+    # rows that came more than once: one row of each id and text
     twice = rest.filter("m.again").select(*columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(twice)
 

@@ -53,8 +53,8 @@ def class_of(shingles: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def document_classes(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cls) per row; cls names the set, null where it is empty."""
+def document_classes(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, cls) per row; cls names the set, null where it is empty. `key_col`, a long, is carried along as key."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -62,10 +62,12 @@ def document_classes(docs: DataFrame, k: int, id_col: str = "doc_id", text_col:
             sets = [shingle_set(t.as_py(), k, hashes) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "cls"])
+                pa.array([class_of(s) for s in sets], pa.int64()), *b.columns[2:]], ["doc_id", "n_shingles", "cls", *more])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return map_arrow(slim, work, "doc_id long, n_shingles long, cls long")
+    more = ["key"] if key_col else []
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
+                       *[F.col(key_col).alias("key") for _ in more])
+    return map_arrow(slim, work, "doc_id long, n_shingles long, cls long" + ", key long" * len(more))
 
 
 def _narrow(toks: np.ndarray) -> bytes:
@@ -269,15 +271,20 @@ def linked_classes(docs: DataFrame, classes: DataFrame, total: int, k: int, perc
     return groups
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, cls, component_id (smallest id reachable by links)."""
-    classes, told = cut(document_classes(docs, k, id_col, text_col), "classes", n=F.sum("n_shingles"))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, cls, component_id (smallest id reachable by links).
+
+    With `key_col`, a long, also key and root: the class that names the component, null for an empty set. Two
+    components have the same id where one id comes with two texts, but never the same root.
+    """
+    classes, told = cut(document_classes(docs, k, id_col, text_col, key_col), "classes", n=F.sum("n_shingles"))
     groups = linked_classes(docs, classes, told["n"] or 0, k, percent, text_col)
     own = classes.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"))
     known = own.join(groups, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("label", "cls"))
     known = cut(known.select("cls", "least_id", "root"), "known")
     heads = known.groupBy("root").agg(F.min("least_id").alias("component_id")).select(F.expr("root ^ 0").alias("r"), "component_id")
-    of_class = cut(known.join(heads, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "component_id"), "component")
-    linked = classes.filter("cls is not null").join(of_class, F.col("cls") == F.col("c")).select("doc_id", "n_shingles", "cls", "component_id")
-    empty = classes.filter("cls is null").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id"))
+    of_class = cut(known.join(heads, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "component_id", "root"), "component")
+    more = ["key", "root"] if key_col else []
+    linked = classes.filter("cls is not null").join(of_class, F.col("cls") == F.col("c")).select("doc_id", "n_shingles", "cls", "component_id", *more)
+    empty = classes.filter("cls is null").withColumn("root", F.col("cls")).select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id"), *more)
     return linked.unionByName(empty)

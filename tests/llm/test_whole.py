@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline as C
 from peakview.llm import vector_graph
 
 from .test_operators import roots
@@ -45,3 +46,19 @@ def test_vector_graph_audit_finishes_exactly(spark):
 def test_vector_graph_centres_grow(spark):
     nodes = spark.createDataFrame([(i, 1, i, 2, [1.0, float(i)]) for i in range(400)], "node long, times long, vec_id long, dim int, vec array<double>")
     assert len(vector_graph.fit_centres(nodes, 400, per_shard=4, sample_rows=400, max_centres=5)[2]) == 20
+
+
+def test_groups_keep_one_row_each(spark):
+    words = [f"w{i}" for i in range(200)]
+    text = lambda n, last="end": " ".join(f"{n}{w}" for w in words) + f" {last}"
+    rows = [
+        (1, text("a")), (None, text("a", "other")),  # linked: the one with an id stays
+        (None, text("b")),  # unique, without an id
+        (2, text("c")), (5, text("c", "other")), (5, text("d")), (9, text("d", "other")),  # id 5 comes with two texts
+        (None, text("e")), (None, text("e", "other")), (None, text("e")),  # a group without any id
+        (7, text("f")), (7, text("f").upper()), (7, text("f", "other")),  # near copies of one id
+        (8, None), (8, ""), (None, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = C.one_of_each_group(spark, docs, "").collect()
+    groups = sorted(((r.text or "-").strip() or "-")[0].lower() + str(r.doc_id) for r in got)
+    assert groups == sorted(["a1", "bNone", "c2", "d5", "eNone", "f7", "-8", "-None", "-None"])
