@@ -1,15 +1,18 @@
 """Personal data: fixed detectors as seeds, and contextual patterns learnt from them.
 
 Emails, IPv4 addresses, card numbers and phone numbers found by fixed rules
-are the seeds. Every other run of tokens with a digit or an @ is a candidate.
+are the seeds. What they leave of the runs of tokens with a digit or an @ holds the
+candidates: every token and every sub-run that may be an identifier (see `pieces`).
 All of them stand in lexical patterns: the two words before, and the word
 before with the word after. The graph of patterns and instances is aggregated
 over the whole corpus and scored in rounds: a pattern's confidence in a kind
 is the score-weighted share of its occurrences that are known instances of it,
 an instance's score follows from its patterns' confidence. Patterns of enough
 confidence and enough different instances then mark the unseen candidates they surround, if
-these look like the kind at all (see `plausible`). What a fixed rule has
-rejected (a failing check digit, a part over 255) is never brought back.
+these look like the kind at all (see `plausible`); of found ones that overlap the
+surest goes first, then the first and longest. What a fixed rule has
+rejected (a failing check digit, a part over 255) is never brought back; a whole phone
+number that is one token of several in a rejected match is a candidate of its own.
 
 Null text is empty text. Rows are known by (doc_id, hash of id and text), so a
 repeated row gets the same spans; null ids are kept. Nothing found gives
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +41,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _HINT = re.compile(r"[0-9@]\S*")
+_PLACE = 720_720  # one occurrence of a pattern, in whole numbers that most counts divide
 _EDGE = "\"'`()[]{}<>,;:!?*#%&$|.=~_"
 
 
@@ -91,8 +96,8 @@ def _context_word(s: str) -> str:
     return re.sub(r"[0-9]+", "0", s.strip(_EDGE).lower())[:40]
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, pattern of two words before, pattern of the words around) of runs of tokens with a digit or @."""
+def _runs(text: str) -> list[tuple[int, int]]:
+    """Runs of tokens with a digit or @ that are one space apart."""
     done = 0
     runs: list[list[int]] = []
     for m in _HINT.finditer(text):
@@ -104,21 +109,88 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
         else:
             runs.append([start, m.end()])
         done = m.end()
-    for start, end in runs:
-        a, b = start, end
-        while a < b and text[a] in _EDGE and text[a] not in "(":
-            a += 1
-        while b > a and text[b - 1] in _EDGE:
-            b -= 1
-        if a == b or b - a > 200:  # an identifier is never longer; such runs are no candidates
+    return [(a, b) for a, b in runs]
+
+
+def _trim(text: str, a: int, b: int, edge: str = _EDGE) -> tuple[int, int]:
+    while a < b and text[a] in edge and text[a] != "(":
+        a += 1
+    while b > a and text[b - 1] in edge:
+        b -= 1
+    return a, b
+
+
+def _patterns(text: str, a: int, b: int) -> list[str]:
+    """Pattern of the two words before, and of the words around."""
+    after = text[b:b + 80].split()[:2]
+    after = [w for w in map(_context_word, after) if w][:1]
+    before = [_context_word(w) for w in text[max(0, a - 120):a].split()[-2:]]
+    return [f"L {' '.join(before)}", f"A {before[-1] if before else ''} _ {after[0] if after else ''}"]
+
+
+def pieces(text: str, run: tuple[int, int], taken: list[tuple[int, int]], dropped: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
+    """(start, end, kinds) of what may be an identifier in a run, outside of `taken` (seeds and dropped matches in it).
+
+    A phone number has at most 13 digits and every token one at least, so longer sub-runs than 13 tokens are none.
+    """
+    out = []
+    free, at = [], run[0]
+    for s, e in sorted(taken):
+        free.append((at, max(at, s)))
+        at = max(at, e)
+    free.append((at, run[1]))
+    for x, y in free:
+        # what a seed leaves of a token has the joining signs at its ends too
+        edge = _EDGE + "/-+" if (x, y) != run else _EDGE
+        tokens = [(x + m.start(), x + m.end()) for m in re.finditer(r"\S+", text[x:y])]
+        single = [3 in plausible(text[p:q]) and len(_digits(text[p:q])) >= 10 for p, q in (_trim(text, *t, edge) for t in tokens)]
+        for i in range(len(tokens)):
+            whole = False  # a shorter one from here is a whole phone number
+            for j in range(i, min(i + 13, len(tokens))):
+                p, q = _trim(text, tokens[i][0], tokens[j][1], edge)
+                if j > i and len(_digits(text[p:q])) > 13:
+                    break
+                may = plausible(text[p:q])
+                if j > i:  # an email or an IP address has no space; a whole phone number doesn't go on
+                    may = [k for k in may if k == 2 or k == 3 and not whole and not any(single[i:j + 1])]
+                if may:
+                    out.append((p, q, may))
+                whole = whole or 3 in may and len(_digits(text[p:q])) >= 10
+    for s, e in dropped:
+        for m in re.finditer(r"\S+", text[s:e]):
+            p, q = _trim(text, s + m.start(), s + m.end())
+            if q - p < e - s and len(_digits(text[p:q])) in (10, 11) and 3 in plausible(text[p:q]):
+                out.append((p, q, [3]))
+    return out
+
+
+def candidates(text: str, seeds: list[tuple[int, int, int]], dropped: list[tuple[int, int]]) -> Iterator[tuple[int, int, int | None, list[int], dict[str, int]]]:
+    """(start, end, seed's kind, kinds it may be, pattern -> share): seeds, candidates, and runs that hold neither.
+
+    One that is not alone in its run stands in its own patterns and in those of the run, so that it is found beside
+    others. A run is one occurrence of its patterns, of which all that it holds have equal shares.
+    """
+    spans = sorted([(s, e, k) for s, k, e in seeds] + [(s, e, None) for s, e in dropped], key=lambda x: x[:2])
+    first = 0
+    for a, b in _runs(text):
+        while first < len(spans) and spans[first][1] <= a:
+            first += 1
+        here, at = [], first
+        while at < len(spans) and spans[at][0] < b:
+            if spans[at][1] > a:
+                here.append(spans[at])
+            at += 1
+        run = _trim(text, a, b)
+        if run[0] == run[1]:
             continue
-        before = text[max(0, a - 120):a].split()[-2:]
-        after = text[b:b + 80].split()[:2]
-        after = [w for w in map(_context_word, after) if w][:1]
-        before = [_context_word(w) for w in before]
-        l2 = " ".join(before)
-        around = f"{before[-1] if before else ''} _ {after[0] if after else ''}"
-        yield a, b, f"L {l2}", f"A {around}"
+        outer = _patterns(text, *run)
+        found: list[tuple[int, int, int | None, list[int]]] = [(s, e, k, []) for s, e, k in here if k is not None]
+        found += [(p, q, None, may) for p, q, may in pieces(text, (a, b), [x[:2] for x in here], [x[:2] for x in here if x[2] is None])]
+        if not found:
+            found = [(*run, None, [])]
+        for p, q, kind, may in found:
+            own = outer if (p, q) == run else _patterns(text, p, q)
+            yield p, q, kind, may, dict.fromkeys(own, _PLACE) | dict.fromkeys(outer, max(1, _PLACE // len(found)))
 
 
 def plausible(value: str) -> list[int]:
@@ -139,8 +211,9 @@ def plausible(value: str) -> list[int]:
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, key, seeds array of (start, kind, end), and the candidates with their patterns."""
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
+    pattern = pa.struct([("pattern", pa.string()), ("share", pa.int64())])
     found = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("kind", pa.int32()),
-                       ("may", pa.list_(pa.int32())), ("patterns", pa.list_(pa.string()))])
+                       ("may", pa.list_(pa.int32())), ("patterns", pa.list_(pattern))])
     out_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("seeds", pa.list_(span)), ("found", pa.list_(found))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,19 +222,18 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for i, key, t in zip(*(c.to_pylist() for c in b.columns)):
                 text = t or ""
                 seeds, dropped = base_spans(text)
-                taken = [(s, e) for s, _, e in seeds] + dropped
                 met = []
-                for a, e, *patterns in candidates(text) if seeds or _HINT.search(text) else ():
-                    kinds = [k for s, k, x in seeds if s < e and a < x]
-                    may = [] if any(s < e and a < x for s, x in taken) else plausible(text[a:e])
-                    met.append({"start": a, "end": e, "value": text[a:e].lower(), "kind": kinds[0] if kinds else None,
-                                "may": may, "patterns": patterns})
+                for a, e, kind, may, patterns in candidates(text, seeds, dropped) if seeds or _HINT.search(text) else ():
+                    # what can't be one only counts as an occurrence: the value's beginning tells it apart
+                    value = text[a:e].lower() if may or kind is not None else text[a:min(e, a + 200)].lower()
+                    met.append({"start": a, "end": e, "value": value, "kind": kind, "may": may,
+                                "patterns": [{"pattern": p, "share": n} for p, n in patterns.items()]})
                 rows.append({"doc_id": i, "key": key, "seeds": [dict(zip(("start", "kind", "end"), s)) for s in seeds], "found": met})
             yield pa.RecordBatch.from_pylist(rows, out_schema)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     return map_arrow(slim, work, "doc_id long, key long, seeds array<struct<start:int,kind:int,end:int>>,"
-                     " found array<struct<start:int,end:int,value:string,kind:int,may:array<int>,patterns:array<string>>>")
+                     " found array<struct<start:int,end:int,value:string,kind:int,may:array<int>,patterns:array<struct<pattern:string,share:long>>>>")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
@@ -183,8 +255,8 @@ def _score_patterns(edges: DataFrame, known: DataFrame, min_support: int, min_co
 def bootstrap(met: DataFrame, rounds: int = 2, min_support: int = 3, min_confidence: float = 0.7, min_score: float = 0.7) -> DataFrame:
     """(doc_id, key, start, kind, end) of unseen identifiers; `met` as from mentions()."""
     each = met.select("doc_id", "key", F.explode("found").alias("f")).select("doc_id", "key", "f.*")
-    edges = (each.select("value", "kind", "may", F.explode("patterns").alias("pattern"))
-             .groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"), F.max("may").alias("may")))
+    edges = (each.select("value", "kind", "may", F.explode("patterns").alias("p")).select("value", "kind", "may", "p.*")
+             .groupBy("pattern", "value").agg(F.sum("share").alias("n"), F.max("kind").alias("kind"), F.max("may").alias("may")))
     edges, told = cut(edges, "pii-graph", open=F.sum((F.size("may") > 0).cast("long")))
     if not told["open"]:  # no candidate that any kind could claim
         return each.select("doc_id", "key", "start", "kind", "end").filter(F.lit(False))
@@ -198,10 +270,28 @@ def bootstrap(met: DataFrame, rounds: int = 2, min_support: int = 3, min_confide
                  .agg((1 - F.exp(F.sum(F.log(1 - F.col("conf") * 0.95)))).alias("score")).filter(F.col("score") >= min_score))
         known = cut(seeds.unionByName(fresh), "pii-known")
     spots = each.filter("kind is null").select("doc_id", "key", "start", "end", F.explode("may").alias("mkind"), "patterns")
-    spots = spots.select("doc_id", "key", "start", "end", "mkind", F.explode("patterns").alias("pattern"))
+    spots = spots.select("doc_id", "key", "start", "end", "mkind", F.explode("patterns.pattern").alias("pattern"))
     hits = spots.join(good.withColumnRenamed("pattern", "p"), F.expr("pattern = p and mkind = kind"))
-    return cut(hits.groupBy("doc_id", "key", "start", "end").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
-               .select("doc_id", "key", "start", "kind", "end"), "pii-found")
+    found = hits.groupBy("doc_id", "key", "start", "end").agg(F.max(F.struct("conf", "kind")).alias("best"))
+    spans = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct(F.round("best.conf", 6).alias("conf"), "start", "end", F.col("best.kind").alias("kind"))).alias("spans"))
+    return cut(map_arrow(spans, _clear, "doc_id long, key long, start int, kind int, end int"), "pii-found")
+
+
+def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of spans that overlap in one row the surest goes first, then the first and longest."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
+    for b in batches:
+        rows = []
+        for i, key, spans in zip(*(c.to_pylist() for c in b.columns)):
+            starts: list[int] = []
+            ends: list[int] = []
+            for s in sorted(spans, key=lambda s: (-s["conf"], s["start"], -s["end"])):
+                at = bisect_left(starts, s["end"])  # kept spans before `at` begin before this one ends
+                if not at or ends[at - 1] <= s["start"]:
+                    starts.insert(at, s["start"])
+                    ends.insert(at, s["end"])
+                    rows.append({"doc_id": i, "key": key, "start": s["start"], "kind": s["kind"], "end": s["end"]})
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def _list(spans):

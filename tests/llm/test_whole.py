@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as C
-from peakview.llm import vector_graph
+from peakview.llm import pii, vector_graph
 
 from .test_operators import roots
 
@@ -62,3 +62,16 @@ def test_groups_keep_one_row_each(spark):
     got = C.one_of_each_group(spark, docs, "").collect()
     groups = sorted(((r.text or "-").strip() or "-")[0].lower() + str(r.doc_id) for r in got)
     assert groups == sorted(["a1", "bNone", "c2", "d5", "eNone", "f7", "-8", "-None", "-None"])
+
+
+def test_pii_beside_other_numbers_and_seeds(spark):
+    rows = [(i, f"please call me at +1 (523) 555-{1000 + i} today or tomorrow") for i in range(30)]
+    alone = "please call me at {} today or tomorrow".format
+    table = " ".join(f"523-555-{2000 + i}" for i in range(40))
+    rows += [(100, alone("523-555-1099 523-555-1100")), (101, alone("523-555-1099 2024")), (102, alone("523-555-1099 24")),
+             (103, alone("jane@x.com 523-555-1099")), (104, alone("(523) 555-1099")), (105, alone("523 555 1099 523 555 1100")), (106, alone(table)),
+             (107, alone("4111 1111 1111 1112")), (108, alone("24 523-555-1099"))]
+    got = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == alone("<PHONE> <PHONE>") and got[101] == alone("<PHONE> 2024") and got[102] == alone("<PHONE> 24")
+    assert got[103] == alone("<EMAIL> <PHONE>") and got[104] == alone("<PHONE>") and got[105] == alone("<PHONE> <PHONE>")
+    assert got[106] == alone(" ".join(["<PHONE>"] * 40)) and got[107] == rows[-2][1] and got[108] == alone("24 <PHONE>")
