@@ -1,27 +1,32 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-Each source is cut into blocks of documents; weights are rounded to whole
-shares of a period of slots. Block i of a source with share c of a period C is released at
-floor((i-1) C/c) and due at ceil(i C/c); among the released, the earliest
-deadline goes first. The schedule repeats every period, so its slots are
-worked out once for a period (at most `period` slots, on the driver) and a
-document's slot follows from its number within its source. After any number of slots each
-source is less than one block from its share. When a source runs out, the
-others are scheduled anew from there by their weights among themselves; every document
-gets a place.
+Each source is cut into blocks of documents. Block i of a source with weight w, as its exact
+part of all weights, is released at floor((i-1)/w) and due at ceil(i/w); among the released, the earliest
+deadline goes first. No weight is rounded, so after any number of slots each
+source is less than one block from its share. A source that has run out leaves its slots to the
+others' released blocks; when none is released, those left are scheduled anew from there by
+their weights among themselves; every document gets a place.
+
+Every source has a weight and a stream of its own. The schedule is one pass over the blocks
+on the driver, in whole numbers, a heap entry per source and a table row
+per block (a block is `block` rows); the rows join it by source and block number.
 
 Numbering within a source is two-level: documents are spread over buckets by a hash
 and numbered inside them, and bucket sizes are chained, so a source with most
-rows is spread. Sources not named in the weights, and null sources, share the
-weight `other`. Repeated rows get places of their own; an empty table gives
+rows is spread. Null sources are one stream `__other__`, and with given weights so are the sources not named in them. Repeated rows get places of their own; an empty table gives
 an empty schedule. Weights that are zero, negative or all missing raise.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,37 +67,33 @@ def edf_period(share: dict[str, int]) -> list[tuple[str, int, int, int]]:
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple[int, dict[str, int], dict[str, int], int]]:
-    """(first slot, shares, blocks used before, slots) per phase; a phase ends at the end of the period in which a source ends."""
+def block_slots(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block number from 0, release, deadline, slot) of every block, in slot order."""
+    if any(weights[s] <= 0 for s in blocks):
+        raise ValueError("every weight must be positive")
     used = dict.fromkeys(blocks, 0)
-    at, out = 0, []
-    while live := {s: weights[s] for s in blocks if used[s] < blocks[s]}:
-        share = shares(live, period)
-        c = sum(share.values())
-        whole = min((blocks[s] - used[s]) // share[s] for s in live)  # periods that all sources can fill
-        if whole == 0:  # a source has less than one period's blocks left: one last, shorter period for it
-            ending = min(live, key=lambda s: (Fraction(blocks[s] - used[s], share[s]), s))
-            cut_at = [t for t, (s, *_) in enumerate(edf_period(share)) if s == ending][blocks[ending] - used[ending] - 1] + 1
-            c_used, counts = cut_at, dict.fromkeys(live, 0)
-            for s, *_ in edf_period(share)[:cut_at]:
-                counts[s] += 1
-            over = [s for s in live if counts[s] > blocks[s] - used[s]]
-            if over:  # another one ends even before
-                ts = {s: [t for t, (x, *_) in enumerate(edf_period(share)) if x == s] for s in over}
-                cut_at = min(ts[s][blocks[s] - used[s]] for s in over)
-                c_used, counts = cut_at, dict.fromkeys(live, 0)
-                for s, *_ in edf_period(share)[:cut_at]:
-                    counts[s] += 1
-            out.append((at, share, dict(used), c_used))
-            at += c_used
-            for s in live:
-                used[s] += counts[s]
-        else:
-            out.append((at, share, dict(used), whole * c))
-            at += whole * c
-            for s in live:
-                used[s] += whole * share[s]
-    return out
+    slot = 0
+    while live := sorted(s for s in blocks if used[s] < blocks[s]):
+        exact = [Fraction(weights[s]) for s in live]
+        whole = math.lcm(*(w.denominator for w in exact))
+        w = {s: x.numerator * (whole // x.denominator) for s, x in zip(live, exact)}
+        total, at, before = sum(w.values()), slot, {s: used[s] for s in live}
+        coming = [(0, -(-total // w[s]), s) for s in live]  # release, deadline, source, as counted from `at`
+        heapq.heapify(coming)
+        ready: list[tuple[int, str, int]] = []
+        while True:
+            while coming and coming[0][0] <= slot - at:
+                release, due, s = heapq.heappop(coming)
+                heapq.heappush(ready, (due, s, release))
+            if not ready:  # only as sources have run out, else the weights add up to a block a slot
+                break
+            due, s, release = heapq.heappop(ready)
+            yield s, used[s], at + release, at + due, slot
+            used[s] += 1
+            slot += 1
+            if used[s] < blocks[s]:
+                i = used[s] - before[s] + 1
+                heapq.heappush(coming, ((i - 1) * total // w[s], -(-i * total // w[s]), s))
 
 
 def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -104,27 +105,24 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
              id_col: str = "doc_id", source_col: str = "source", named: int = 256) -> DataFrame:
     """Per row: doc_id, source, stream, block_no, release_slot, deadline_slot, slot, position.
 
-    Without weights, the `named` largest sources get weights tempered from their sizes and the rest is one stream.
-    `position` numbers all rows 0.. in the order of the mix.
+    Without weights, every source gets a weight tempered from its size. `position` numbers all rows 0.. in the order
+    of the mix. `period` and `named` have no effect: weights are exact, and every source is a stream.
     """
     spark = docs.sparkSession
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(OTHER))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), src.alias("stream"))
-    sizes = {r.stream: r.n for r in rows.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "stream").limit(named).collect()}
-    names = {s for s in sizes if s != OTHER} if weights is None else set(weights)
-    known = spark.createDataFrame([(s,) for s in sorted(names)], "k string")
-    rows = (rows.join(F.broadcast(known), F.col("stream") == F.col("k"), "left")  # at most `named` names, or those of the weights
-            .withColumn("stream", F.coalesce("k", F.lit(OTHER))).drop("k"))
-    total = docs.count()
-    counts = {s: n for s, n in sizes.items() if s in names}
     if weights is not None:
-        counts = {r.stream: r.n for r in rows.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).collect()}
-    elif total > sum(counts.values()):
-        counts[OTHER] = total - sum(counts.values())
+        if not weights or min(weights.values()) <= 0:
+            raise ValueError("every weight must be positive")
+        known = spark.createDataFrame([(s,) for s in sorted(weights)], "k string")
+        rows = (rows.join(F.broadcast(known), F.col("stream") == F.col("k"), "left")  # the names of the weights
+                .withColumn("stream", F.coalesce("k", F.lit(OTHER))).drop("k"))
+    sizes = rows.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = dict(zip(sizes.column("stream").to_pylist(), sizes.column("n").to_pylist()))
+    total = sum(counts.values())
     weights = tempered(counts) if weights is None else weights
     if missing := set(counts) - set(weights):
         weights = weights | {s: min(weights.values()) for s in missing}
-    plan = phases({s: -(-n // block) for s, n in counts.items()}, weights, period)
 
     # number rows within their stream: hash buckets first, then inside
     buckets = 1 << max(0, min(16, (total // 2000).bit_length()))
@@ -138,42 +136,18 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     rows = rows.join(per, F.expr("stream = s2 and bucket = b2")).withColumn("no", F.col("before") + F.col("i"))
     rows = rows.withColumns({"block_no": F.floor(F.col("no") / block).cast("long"), "in_block": (F.col("no") % block).cast("long")})
 
-    # the plan: one row per phase, stream and block of a period
-    table = []
-    for at, share, used, slots in plan:
-        c = sum(share.values())
-        for t, (s, release, due, i) in enumerate(edf_period(share)):
-            n = -(-(slots - t) // c) if slots > t else 0  # how often this slot of the period comes
-            if n:
-                table.append((s, used[s], i - 1, share[s], c, at, t, release, due, n))
-    plan_df = spark.createDataFrame(table, "ps string, used long, k long, share long, c long, at long, t long, release long, due long, times long")
-    spans = spark.createDataFrame([(s, used[s], share[s], used[s] + _taken(share, slots, s)) for at, share, used, slots in plan for s in share],
-                                  "fs string, f_used long, f_share long, f_end long")
-    rows = rows.join(F.broadcast(spans), F.expr("stream = fs and block_no >= f_used and block_no < f_end"))
-    rows = rows.withColumns({"k_": (F.col("block_no") - F.col("f_used")) % F.col("f_share"),
-                             "q_": F.floor((F.col("block_no") - F.col("f_used")) / F.col("f_share")).cast("long")})
-    rows = rows.join(F.broadcast(plan_df), F.expr("ps = stream and used = f_used and k = k_"))
-    base = F.col("at") + F.col("q_") * F.col("c")
-    rows = rows.withColumns({"release_slot": base + F.col("release"), "deadline_slot": base + F.col("due"), "slot": base + F.col("t")})
-
-    # only the last block of a stream is short, so positions follow from the slots: full blocks before, less what short ones lack
-    lacks = [(s, -(-n // block) - 1, -(-n // block) * block - n) for s, n in counts.items() if n % block]
-    short = []
-    for s, last, lack in lacks:
-        for at, share, used, slots in plan:
-            if s in share and used[s] <= last < used[s] + _taken(share, slots, s):
-                q, k = divmod(last - used[s], share[s])
-                t = next(t for t, (x, _, _, i) in enumerate(edf_period(share)) if x == s and i == k + 1)
-                short.append((at + q * sum(share.values()) + t, lack))
-    gaps = F.lit(0).cast("long")
-    for slot, lack in sorted(short):
-        gaps = gaps + F.when(F.col("slot") > slot, F.lit(lack)).otherwise(F.lit(0))
+    # the plan: one row per block, with the number of rows before it
+    names = list(counts)
+    number = {s: i for i, s in enumerate(names)}
+    plan = {c: array(kind) for c, kind in (("p", "i"), ("b", "q"), ("release_slot", "q"), ("deadline_slot", "q"), ("slot", "q"), ("first", "q"))}
+    done = 0
+    for s, i, release, due, slot in block_slots({s: -(-n // block) for s, n in counts.items()}, weights):
+        for c, v in zip(plan.values(), (number[s], i, release, due, slot, done)):
+            c.append(v)
+        done += min(block, counts[s] - i * block)
+    table = pa.table({c: np.frombuffer(v, v.typecode) for c, v in plan.items()})
+    stream = pa.DictionaryArray.from_arrays(table.column("p").combine_chunks(), pa.array(names, pa.string())).cast(pa.string())
+    plan_df = spark.createDataFrame(table.drop_columns(["p"]).append_column("ps", stream))
+    rows = rows.join(plan_df, F.expr("ps = stream and b = block_no"))
     return rows.select("doc_id", "source", "stream", "block_no", "release_slot", "deadline_slot", "slot",
-                       (F.col("slot") * block + F.col("in_block") - gaps).cast("long").alias("position"))
-
-
-def _taken(share: dict[str, int], slots: int, s: str) -> int:
-    """Blocks of source s in the first `slots` slots of a phase."""
-    c = sum(share.values())
-    whole, rest = divmod(slots, c)
-    return whole * share[s] + sum(x == s for x, *_ in edf_period(share)[:rest])
+                       (F.col("first") + F.col("in_block")).cast("long").alias("position"))

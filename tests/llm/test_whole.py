@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+from collections import Counter
+from fractions import Fraction
 
 import corpus_pipeline as C
-from peakview.llm import pii, vector_graph
+from peakview.llm import mixing, pii, vector_graph
 
 from .test_operators import roots
 
@@ -75,3 +77,23 @@ def test_pii_beside_other_numbers_and_seeds(spark):
     assert got[100] == alone("<PHONE> <PHONE>") and got[101] == alone("<PHONE> 2024") and got[102] == alone("<PHONE> 24")
     assert got[103] == alone("<EMAIL> <PHONE>") and got[104] == alone("<PHONE>") and got[105] == alone("<PHONE> <PHONE>")
     assert got[106] == alone(" ".join(["<PHONE>"] * 40)) and got[107] == rows[-2][1] and got[108] == alone("24 <PHONE>")
+
+
+def test_mixing_exact_weights_and_every_source(spark):
+    # no rounding: the share holds over a long run, for weights that no period of 1000 slots can state
+    weights = {"a": 0.9, "b": 0.0997, "c": 0.0003}
+    seen, total = Counter(), sum(map(Fraction, weights.values()))
+    for t, (s, i, release, due, slot) in enumerate(mixing.block_slots({"a": 18000, "b": 1994, "c": 6}, weights)):
+        assert slot == t and i == seen[s] and release <= slot < due
+        seen[s] += 1
+        if t % 97 == 0:
+            assert all(abs(seen[x] - (t + 1) * Fraction(weights[x]) / total) < 1 for x in weights)
+    assert seen == {"a": 18000, "b": 1994, "c": 6}
+    # 600 sources, one of them null: each is a stream with its own weight
+    rows = [(1000 * s + i, f"s{s}" if s else None) for s in range(600) for i in range(4 + s % 5)]
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), block=2).collect()
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    assert {r.stream for r in got} == {mixing.OTHER, *(f"s{s}" for s in range(1, 600))}
+    assert all(r.release_slot <= r.slot < r.deadline_slot for r in got)
+    order = sorted(got, key=lambda r: r.position)
+    assert [r.slot for r in order] == sorted(r.slot for r in order)
