@@ -47,7 +47,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, w), n in words.items():
             counts[0, w, lang] += n
             for o in range(1, MAX_ORDER + 1):
-                for g in grams(w[:64], o):
+                for g in grams(w, o):
                     counts[o, g, lang] += n
         keys = list(counts)
         return pa.RecordBatch.from_arrays([
@@ -74,7 +74,7 @@ class Model:
 
     def word_score(self, word: str) -> np.ndarray:
         known = self.tables[0].get(word)
-        return self.rows[known] if known is not None else self._back_off(word[:256], MAX_ORDER)
+        return self.rows[known] if known is not None else self._back_off(word, MAX_ORDER)
 
     def _back_off(self, text: str, order: int) -> np.ndarray:
         """Mean over the n-grams of `text`; one that isn't known is scored by its own shorter n-grams."""

@@ -4,8 +4,11 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline as C
-from peakview.llm import mixing, pii, vector_graph
+from peakview.llm import langid, mixing, pii, vector_graph
 
 from .test_operators import roots
 
@@ -97,3 +100,13 @@ def test_mixing_exact_weights_and_every_source(spark):
     assert all(r.release_slot <= r.slot < r.deadline_slot for r in got)
     order = sorted(got, key=lambda r: r.position)
     assert [r.slot for r in order] == sorted(r.slot for r in order)
+
+
+def test_language_id_whole_runs():
+    run = "a" * 300 + "b" * 300
+    batch = pa.RecordBatch.from_arrays([pa.array([run]), pa.array(["xx"])], ["text", "lang"])
+    counts = {(r["kind"], r["item"]): r["n"] for b in langid._count([batch]) for r in b.to_pylist()}
+    assert counts[1, "a"] == 300 and counts[1, "b"] == 300 and counts[4, "bbb$"] == 1
+    rows = np.array([[-1.0, -9.0], [-9.0, -1.0]])
+    model = langid.Model(["aa", "bb"], [{}, {"a": 0, "b": 1}, {}, {}, {}], rows)
+    assert model.word_score("a" * 256 + "b" * 900).argmax() == 1
