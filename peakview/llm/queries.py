@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, langid, license_scan, mixing, ngram_join, pii, quality_ledger, url_rules, vector_graph
+from . import bpe, chat_format, fill_middle, langid, license_scan, mixing, ngram_join, pii, quality_ledger, url_rules, vector_graph
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,33 @@ def op9(spark, sf):
 @register("op10_vector_graph")
 def op10(spark, sf):
     return vector_graph.near_duplicates(read_table(spark, sf, "embeddings"))
+
+
+FILL_MIDDLE_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM cut),
+parts AS (
+  SELECT *, array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+         array_to_string(units[1 + least(h1 % (n + 1), h2 % (n + 1)):greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+         array_to_string(units[1 + greatest(h1 % (n + 1), h2 % (n + 1)):], '') AS suffix,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN concat('<S>', suffix, '<P>', prefix, '<M>', middle)
+              ELSE concat('<P>', prefix, '<S>', suffix, '<M>', middle) END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@register("op11_fill_middle", FILL_MIDDLE_SQL)
+def op11(spark, sf):
+    return fill_middle.digests(read_table(spark, sf, "documents"))
