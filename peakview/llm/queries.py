@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, fill_middle, langid, license_scan, mixing, ngram_join, pii, quality_ledger, url_rules, vector_graph
+from . import bpe, chat_format, fill_middle, langid, license_scan, mixing, ngram_join, pii, quality_classifier, quality_ledger, spelling_variants, url_rules, vector_graph
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,54 @@ FROM parts
 @register("op11_fill_middle", FILL_MIDDLE_SQL)
 def op11(spark, sf):
     return fill_middle.digests(read_table(spark, sf, "documents"))
+
+
+#: crc32 is the usual reflected one, from its polynomial; the runs' letters are below U+0100, so one or two bytes each
+SPELLING_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce([b::BIGINT] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab
+  FROM range(256) t(b)),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents),
+seen AS (SELECT id, run, count(*) AS times FROM runs WHERE length(run) >= 5 GROUP BY id, run),
+coded AS (
+  SELECT run, times, flatten(list_transform(string_split(id || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT]
+           ELSE [(192 + (unicode(ch) >> 6))::BIGINT, (128 + unicode(ch) % 64)::BIGINT] END)) AS bytes
+  FROM seen),
+hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce([4294967295::BIGINT] || bytes,
+           lambda c, b: xor(c >> 8, tab[xor(c % 256, b) + 1]))) AS h
+  FROM coded, bits),
+words AS (
+  SELECT word, sum(times)::BIGINT AS n
+  FROM (SELECT times, CASE WHEN h % 97 = 0 THEN run[1:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+gaps AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS shorter, word[1:i - 1] || '*' || word[i + 1:] AS masked
+         FROM words, lateral unnest(range(1, length(word) + 1)) g(i)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.masked = b.masked AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.shorter = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.shorter = b.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+told AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 2 * w.n THEN b.top END AS form_n,
+         CASE WHEN b.top >= 2 * w.n THEN (SELECT min(p.near) FROM pairs p WHERE p.word = w.word AND p.near_n = b.top) END AS form
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+walk AS (
+  SELECT word, word AS at FROM told
+  UNION SELECT walk.word, told.form FROM walk JOIN told ON told.word = walk.at WHERE told.form IS NOT NULL)
+SELECT t.word, t.form, w.at AS root, t.n, t.n_near, t.form_n
+FROM told t JOIN walk w ON w.word = t.word JOIN told e ON e.word = w.at WHERE e.form IS NULL
+"""
+
+
+@register("op12_spelling_variants", SPELLING_SQL)
+def op12(spark, sf):
+    return spelling_variants.variants(read_table(spark, sf, "documents"))
+
+
+@register("op13_quality_classifier")
+def op13(spark, sf):
+    return quality_classifier.held_out_scores(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
