@@ -1,38 +1,41 @@
 """Live sessions with Structured Streaming.
 
-Raw events arrive as files. Each session's events go through the same state
-machine as the batch sessionizer, kept in Spark's state store between
-micro-batches:
-
-* a point at or before the last processed one (late, out of order) is
-  counted and left to the next batch rebuild (T5);
-* an on-point after an off-point, or more than `gap` after the previous
-  point, opens a segment; the segment closes at the next point when that
-  point switches off, or at last + grace when the next point is further
-  than `gap` away or never comes (T1, T6);
-* an event-time timer at last + gap closes a segment whose session went
-  quiet once the watermark passes it (T6);
-* after every micro-batch an open segment is reported as versioned state
-  (segment start, last active time, version = ord) (T2); the reader keeps
-  the highest version per session.
+Three streaming pieces, each restartable from its own checkpoint:
+
+* **Intake** (T5): arriving events are split before any watermark. Rows at or
+  below the high-water mark of the earlier batches (largest event time seen,
+  less the allowed delay) go to the `late` side of the landed table, all others
+  to the `on_time` side. Nothing is dropped: late + on time = input, per batch,
+  in `marks`. The side table is what the next batch rebuild picks up.
+* **Sessions** (T1, T6): `transformWithState` over the on-time events keyed by
+  session, state in RocksDB. An on-point after an off-point, or more than `gap`
+  after the previous point, opens a segment; it closes at the next point when
+  that point switches off, or at last + grace when the next point is further
+  than `gap` away. One event-time timer per session closes a segment whose
+  session went quiet, and removes the session's state `retention` after its
+  last event, so state shrinks. The stream starts from the batch build's
+  session state (T3, J7), handed over as the operator's initial state.
+* **Current state** (T2): every micro-batch writes one versioned state row per
+  session it touched (version = ord of its last event). Readers take the
+  highest version per session; compaction folds old batches into a base table
+  of the open sessions.
 
 Closed intervals plus `last_active + grace` of the open segments equal the
-batch intervals (T4), which is what the tests and the registered replay
-query check.
+batch intervals (T4), from a cold start and from a seeded one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from .. import config as C
+from .. import session as _session
 from ..functions import exprs as X
-from ..operators import sessionize
 
 S = "video_session_id"
 
@@ -43,114 +46,304 @@ RAW_STREAM_SCHEMA = (
     "video_resolution string"
 )
 
-OUTPUT_SCHEMA = ("record string, video_session_id string, ts_start_ms long, ts_end_ms long, "
-                 "last_active_ms long, version long, late_rows long")
-STATE_SCHEMA = ("has_point boolean, last_t long, last_ord long, on_prev boolean, play int, fg int, "
-                "seg_start long")
+OUTPUT_SCHEMA = ("record string, video_session_id string, ts_start_ms long, ts_end_ms long, last_active_ms long, "
+                 "version long, is_open boolean, applied_rows long, late_rows long, repeated_rows long")
 
-_PLAY = {C.KIND_START: 1, C.KIND_PLAY: 1, C.KIND_PAUSE: 0, C.KIND_STOP: 0}
-_FG = {C.KIND_START: 1, C.KIND_FOREGROUND: 1, C.KIND_BACKGROUND: 0}
+_RECORD = Row(*[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
 
+# what a session carries from one micro-batch to the next; the batch build seeds the same columns
+SEED_COLUMNS = ("last_t", "last_ord", "on_last", "play", "fg", "seg_start")
+STATE_SCHEMA = ("last_t long, last_ord long, on_last boolean, play int, fg int, seg_start long, timer boolean")
 
-def _row(record, sid, start=None, end=None, last=None, version=None, late=None):
-    return {"record": record, "video_session_id": sid, "ts_start_ms": start, "ts_end_ms": end,
-            "last_active_ms": last, "version": version, "late_rows": late}
+_NONE = -1
+_PLAY = np.full(7, _NONE)
+_PLAY[[C.KIND_START, C.KIND_PLAY, C.KIND_PAUSE, C.KIND_STOP]] = 1, 1, 0, 0
+_FG = np.full(7, _NONE)
+_FG[[C.KIND_START, C.KIND_FOREGROUND, C.KIND_BACKGROUND]] = 1, 1, 0
 
 
-def make_processor(th: C.Thresholds):
-    gap, grace = th.gap_ms, th.grace_ms
+def _filled(signal: np.ndarray, before: int | None) -> np.ndarray:
+    """Each place's last signal so far; `before` (default on) where there is none yet."""
+    at = np.maximum.accumulate(np.where(signal == _NONE, -1, np.arange(len(signal))))
+    return np.where(at < 0, 1 if before is None else before, signal[at])
 
-    def process(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+
+def advance(state: tuple, t: np.ndarray, kind: np.ndarray, gap: int, grace: int):
+    """One session's new points on top of its state.
+
+    Returns (state, [(start, end), ...] of the segments closed, applied, late, repeated).
+    Points at or before the last one applied are late; a repeated (t, kind) counts once.
+    """
+    last_t, last_ord, on_last, play, fg, seg_start = state
+    ords = t * 8 + kind
+    fresh = np.ones(len(ords), bool) if last_ord is None else ords > last_ord
+    late = int(len(ords) - fresh.sum())
+    ords = np.unique(ords[fresh])
+    repeated = len(t) - late - len(ords)
+    if not len(ords):
+        return state, [], 0, late, repeated
+    t, kind = ords >> 3, ords & 7
+    play_now, fg_now = _filled(_PLAY[kind], play), _filled(_FG[kind], fg)
+    on = (play_now == 1) & (fg_now == 1)
+    was_open = np.concatenate([[seg_start is not None], on[:-1]])
+    before = np.concatenate([[t[0] if last_t is None else last_t], t[:-1]])
+    far = t - before > gap
+    starts = t[on & (~was_open | far)].tolist()
+    closing = was_open & (far | ~on)
+    ends = np.where(far, before + grace, t)[closing].tolist()
+    if seg_start is not None:
+        starts.insert(0, seg_start)
+    closed = [(a, b) for a, b in zip(starts, ends) if b > a]
+    signal = lambda s, kinds, old: int(s[-1]) if old is not None or (kinds[kind] != _NONE).any() else None
+    new = (int(t[-1]), int(ords[-1]), bool(on[-1]), signal(play_now, _PLAY, play), signal(fg_now, _FG, fg),
+           starts[-1] if on[-1] else None)
+    return new, closed, len(ords), late, repeated
+
+
+class Sessions(StatefulProcessor):
+    """Per-session state, one timer per session, initial state from the batch build."""
+
+    def __init__(self, gap_ms: int, grace_ms: int, retention_ms: int):
+        self.gap, self.grace, self.retention = gap_ms, grace_ms, retention_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", STATE_SCHEMA)
+
+    def _due(self, s: tuple) -> int:
+        """When the session next needs attention if nothing arrives: to close its segment, or to be forgotten."""
+        return s[0] + (self.gap if s[5] is not None else self.retention) + 1
+
+    def _row(self, sid: str, s: tuple, applied: int = 0, late: int = 0, repeated: int = 0) -> Row:
+        return _RECORD("state", sid, s[5], None, s[0], s[1], s[5] is not None, applied, late, repeated)
+
+    def _interval(self, sid: str, start: int, end: int) -> Row:
+        return _RECORD("interval", sid, start, end, None, None, None, None, None, None)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        s = tuple(initialState[c] for c in SEED_COLUMNS)
+        self.handle.registerTimer(self._due(s))
+        self.state.update((*s, True))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         sid = key[0]
-        if state.exists:
-            (has_point, last_t, last_ord, on_prev, play, fg, seg_start) = state.get
-        else:
-            has_point, last_t, last_ord, on_prev, play, fg, seg_start = False, None, None, False, None, None, None
-        out = []
-        if state.hasTimedOut:
-            # quiet for longer than gap: the open segment ends at last + grace
-            if seg_start is not None and on_prev and last_t + grace > seg_start:
-                out.append(_row("interval", sid, seg_start, last_t + grace))
-            seg_start = None
-        else:
-            pdf = pd.concat(list(pdfs), ignore_index=True)
-            pdf = pdf.drop_duplicates(["t", "kind"]).sort_values("ord", kind="stable")
-            late = 0
-            for t, kind, ordv in zip(pdf["t"].tolist(), pdf["kind"].tolist(), pdf["ord"].tolist()):
-                if has_point and ordv <= last_ord:
-                    late += 1
-                    continue
-                play = _PLAY.get(kind, play)
-                fg = _FG.get(kind, fg)
-                is_on = (1 if play is None else play) == 1 and (1 if fg is None else fg) == 1
-                if has_point and on_prev and seg_start is not None:
-                    far = t - last_t > gap
-                    if far or not is_on:
-                        end = last_t + grace if far else t
-                        if end > seg_start:
-                            out.append(_row("interval", sid, seg_start, end))
-                        seg_start = None
-                if is_on and (not has_point or not on_prev or t - last_t > gap):
-                    seg_start = t
-                has_point, last_t, last_ord, on_prev = True, t, ordv, is_on
-            if late:
-                out.append(_row("late", sid, late=late))
-            if seg_start is not None and on_prev:
-                out.append(_row("open", sid, seg_start, None, last_t, last_ord))
-                state.setTimeoutTimestamp(last_t + gap + 1)
-        state.update((has_point, last_t, last_ord, on_prev, play, fg, seg_start))
-        if out:
-            yield pd.DataFrame(out, columns=["record", S, "ts_start_ms", "ts_end_ms", "last_active_ms",
-                                             "version", "late_rows"])
-
-    return process
-
-
-def live_records(events: DataFrame, th: C.Thresholds, watermark_ms: int | None = None) -> DataFrame:
-    """Streaming: raw events -> interval / open / late records."""
+        s, timer = (None,) * 6, False
+        if self.state.exists():
+            *s, timer = self.state.get()
+        points = np.array([(r.t, r.kind) for r in rows], np.int64).reshape(-1, 2)
+        s, closed, applied, late, repeated = advance(tuple(s), points[:, 0], points[:, 1], self.gap, self.grace)
+        if not timer:
+            self.handle.registerTimer(self._due(s))
+        self.state.update((*s, True))
+        for start, end in closed:
+            yield self._interval(sid, start, end)
+        yield self._row(sid, s, applied, late, repeated)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.state.exists():
+            return
+        sid, now = key[0], timerValues.getCurrentWatermarkInMs()
+        *s, _ = self.state.get()
+        if s[5] is not None and s[0] + self.gap < now:  # quiet for longer than gap: it ended at last + grace
+            start, s[5] = s[5], None
+            if s[0] + self.grace > start:
+                yield self._interval(sid, start, s[0] + self.grace)
+            yield self._row(sid, s)
+        if s[5] is None and s[0] + self.retention < now:
+            self.state.clear()
+            return
+        self.handle.registerTimer(self._due(s))
+        self.state.update((*s, True))
+
+
+def live_records(events: DataFrame, th: C.Thresholds, watermark_ms: int | None = None, seed: DataFrame | None = None,
+                 retention_ms: int | None = None) -> DataFrame:
+    """Streaming: raw events -> interval / state records.
+
+    `seed` (session and SEED_COLUMNS) is where the sessions start; `retention_ms`
+    must cover the longest silence after which a session may still go on
+    (default 30 days): after it a session starts anew.
+    """
     pts = events.select(
         S, F.col("t_ms").alias("t"), X.kind("event_type", "event").alias("kind"),
-    ).withColumn("ord", X.ord_key("t", "kind")).withColumn("event_time", F.timestamp_millis("t"))
+        F.timestamp_millis("t_ms").alias("event_time"))
     delay = watermark_ms if watermark_ms is not None else th.gap_ms
-    return (pts.withWatermark("event_time", f"{delay // 1000} seconds")
-            .groupBy(S)
-            .applyInPandasWithState(make_processor(th), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    spark = events.sparkSession
+    _session.ship_package(spark)
+    start = None if seed is None else seed.select(S, *SEED_COLUMNS).groupBy(S)
+    return (pts.withWatermark("event_time", f"{delay} milliseconds").groupBy(S)
+            .transformWithState(Sessions(th.gap_ms, th.grace_ms, retention_ms or 30 * C.DAY_MS), OUTPUT_SCHEMA, "Append", "EventTime", start))
+
+
+def session_state(states: DataFrame) -> DataFrame:
+    """What every session of a batch build carries on (SEED_COLUMNS), to start the stream from.
+
+    One partial aggregation over the build's point states; no window.
+    """
+    ps, fs = X.playing_signal("kind"), X.foreground_signal("kind")
+    last = states.groupBy(S).agg(
+        F.max("t").alias("last_t"), F.max("ord").alias("last_ord"),
+        (F.pmod(F.max(F.col("ord") * 2 + F.col("is_on").cast("int")), F.lit(2)) == 1).alias("on_last"),
+        F.pmod(F.max(F.when(ps.isNotNull(), F.col("ord") * 2 + ps)), F.lit(2)).cast("int").alias("play"),
+        F.pmod(F.max(F.when(fs.isNotNull(), F.col("ord") * 2 + fs)), F.lit(2)).cast("int").alias("fg"),
+        F.max(F.when(F.col("opens"), F.col("t"))).alias("opened"))
+    return last.select(S, "last_t", "last_ord", "on_last", "play", "fg", F.when(F.col("on_last"), F.col("opened")).alias("seg_start"))
+
 
+# --------------------------------------------------------------------------
+# intake: nothing vanishes at the watermark
+# --------------------------------------------------------------------------
 
-def read_stream(spark: SparkSession, folder: str, max_files: int = 1) -> DataFrame:
-    return (spark.readStream.schema(RAW_STREAM_SCHEMA).option("maxFilesPerTrigger", max_files)
-            .parquet(folder))
+MARKS_SCHEMA = "batch long, input_rows long, late_rows long, high_ms long"
 
 
-def run_to_completion(records: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Process every available file, writing each micro-batch idempotently (by batch id)."""
+def _mark_before(spark: SparkSession, folder: str, batch_id: int) -> int | None:
+    """Largest event time of the batches before this one."""
+    if not batch_id:
+        return None
+    return spark.read.schema(MARKS_SCHEMA).parquet(f"{folder}/marks/id={batch_id - 1}").first().high_ms
+
+
+def intake(events: DataFrame, folder: str, checkpoint: str, delay_ms: int) -> None:
+    """Land the stream's events under `folder`, late rows apart, until no file is left (T5).
+
+    Layout: landed/batch=<id>/side=on_time|late and marks/id=<id>. A batch is
+    written once and overwrites itself when it is run again.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        spark = batch.sparkSession
+        high = _mark_before(spark, folder, batch_id)
+        late = F.lit(False) if high is None else F.coalesce(F.col("t_ms") <= F.lit(high - delay_ms), F.lit(False))
+        seen = Observation(f"intake-{batch_id}")
+        (batch.withColumn("side", F.when(late, "late").otherwise("on_time"))
+         .observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == "late").alias("late"), F.max("t_ms").alias("high"))
+         .write.mode("overwrite").partitionBy("side").parquet(f"{folder}/landed/batch={batch_id}"))
+        got = seen.get
+        highest = max((x for x in (high, got["high"]) if x is not None), default=None)
+        (spark.createDataFrame([(batch_id, got["n"], got["late"], highest)], MARKS_SCHEMA).coalesce(1)
+         .write.mode("overwrite").parquet(f"{folder}/marks/id={batch_id}"))
+
+    _until_done(events, sink, checkpoint)
+
+
+def marks(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch, input_rows, late_rows, high_ms) of every batch taken in."""
+    return spark.read.schema(MARKS_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{folder}/marks")
+
 
-    q = (records.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+def late_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The side table: late events with the batch they came in."""
+    return (spark.read.schema(RAW_STREAM_SCHEMA + ", side string, batch long").option("basePath", f"{folder}/landed")
+            .parquet(f"{folder}/landed").filter("side = 'late'").drop("side"))
+
+
+def on_time_stream(spark: SparkSession, folder: str, max_files: int | None = 1) -> DataFrame:
+    """The landed on-time events as a stream, in the order they were taken in."""
+    return _files(spark, max_files).parquet(f"{folder}/landed/batch=*/side=on_time")
+
+
+# --------------------------------------------------------------------------
+# sinks and the current state
+# --------------------------------------------------------------------------
+
+def _files(spark: SparkSession, max_files: int | None):
+    """Raw events as they land; `max_files` bounds a micro-batch, None takes all that is there."""
+    reader = spark.readStream.schema(RAW_STREAM_SCHEMA)
+    return reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)
+
+
+def read_stream(spark: SparkSession, folder: str, max_files: int | None = 1) -> DataFrame:
+    return _files(spark, max_files).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def _until_done(stream: DataFrame, sink, checkpoint: str):
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return q
 
 
-def current_state(records: DataFrame) -> DataFrame:
-    """Latest version per session of the open-segment state (T2 read side)."""
-    opens = records.filter(F.col("record") == "open")
-    return (opens.groupBy(S).agg(F.max_by(F.struct("ts_start_ms", "last_active_ms", "version"), "version").alias("s"))
-            .select(S, F.col("s.ts_start_ms").alias("segment_start_ms"),
-                    F.col("s.last_active_ms").alias("last_active_ms"), F.col("s.version").alias("version")))
+class StateTable:
+    """Latest-wins session state under one folder.
 
+    Layout: records/batch=<id> (what the stream wrote, the upserts among them),
+    base/upto=<id> (open sessions after batch <id>) and an empty marker
+    compacted/<id>, made last. Reading takes the last marked base and the
+    batches after it and keeps the highest version per session; at one version
+    a closed row wins over an open one, since only the timer writes a version
+    twice. Every write overwrites itself when its batch is run again.
+    """
 
-def intervals_with_predictions(records: DataFrame, th: C.Thresholds) -> DataFrame:
+    def __init__(self, spark: SparkSession, folder: str, compact_every: int = 0):
+        self.spark, self.folder, self.every = spark, folder, compact_every
+
+    def start_from(self, seed: DataFrame) -> None:
+        """The open sessions of a batch build's session state are the base before the first batch."""
+        (seed.filter("seg_start IS NOT NULL")
+         .select(S, F.col("seg_start").alias("segment_start_ms"), F.col("last_t").alias("last_active_ms"),
+                 F.col("last_ord").alias("version"), F.lit(True).alias("is_open"))
+         .write.mode("overwrite").parquet(f"{self.folder}/base/upto=-1"))
+        self._mark(-1)
+
+    def _mark(self, upto: int) -> None:
+        fs, marker = self._path(f"compacted/{upto}")
+        fs.create(marker, True).close()
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def compacted(self) -> int | None:
+        fs, path = self._path("compacted")
+        done = [int(f.getPath().getName()) for f in fs.listStatus(path)] if fs.exists(path) else []
+        return max(done, default=None)
+
+    def upsert(self, batch: DataFrame, batch_id: int) -> None:
+        """The sink of the live stream: one write per micro-batch, and a compaction after some of them."""
+        self.spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{self.folder}/records/batch={batch_id}")
+        if self.every and batch_id % self.every == self.every - 1:
+            self.compact(batch_id)
+
+    def compact(self, upto: int) -> None:
+        self.latest(upto).filter("is_open").write.mode("overwrite").parquet(f"{self.folder}/base/upto={upto}")
+        self._mark(upto)
+
+    def records(self) -> DataFrame:
+        return (self.spark.read.schema(OUTPUT_SCHEMA + ", batch long").option("basePath", f"{self.folder}/records")
+                .parquet(f"{self.folder}/records"))
+
+    def latest(self, upto: int | None = None) -> DataFrame:
+        """(session, segment_start_ms, last_active_ms, version, is_open): the highest version of every session."""
+        columns = [S, F.col("ts_start_ms").alias("segment_start_ms"), "last_active_ms", "version", "is_open"]
+        base = self.compacted()
+        rows = self.records().filter(F.col("record") == "state")
+        if base is not None:
+            rows = rows.filter(F.col("batch") > base)
+        if upto is not None:
+            rows = rows.filter(F.col("batch") <= upto)
+        rows = rows.select(*columns)
+        if base is not None:
+            rows = rows.unionByName(self.spark.read.parquet(f"{self.folder}/base/upto={base}"))
+        newest = F.max_by(F.struct("segment_start_ms", "last_active_ms", "version", "is_open"), F.struct("version", ~F.col("is_open")))
+        return rows.groupBy(S).agg(newest.alias("s")).select(S, "s.*")
+
+    def open_now(self, as_of_ms: int | None = None, gap_ms: int = 0) -> DataFrame:
+        """Sessions with an open segment; with `as_of_ms` only those active within `gap_ms` before it."""
+        rows = self.latest().filter("is_open").drop("is_open")
+        return rows if as_of_ms is None else rows.filter(F.col("last_active_ms") + gap_ms >= as_of_ms)
+
+
+def run_to_completion(records: DataFrame, table: StateTable, checkpoint: str):
+    """Process every available file into a state table; return the ended query."""
+    return _until_done(records, table.upsert, checkpoint)
+
+
+def intervals_with_predictions(table: StateTable, th: C.Thresholds) -> DataFrame:
     """Closed intervals plus each still-open segment closed at last_active + grace (T4)."""
-    closed = records.filter(F.col("record") == "interval").select(S, "ts_start_ms", "ts_end_ms")
-    open_now = current_state(records)
-    # an open record superseded by a later closed interval of the same segment is not open any more
-    still = open_now.join(closed.select(S, F.col("ts_start_ms").alias("segment_start_ms")),
-                          [S, "segment_start_ms"], "left_anti")
-    predicted = still.select(S, F.col("segment_start_ms").alias("ts_start_ms"),
-                             (F.col("last_active_ms") + th.grace_ms).alias("ts_end_ms"))
-    return closed.unionByName(predicted)
+    closed = table.records().filter(F.col("record") == "interval").select(S, "ts_start_ms", "ts_end_ms")
+    return closed.unionByName(table.open_now().select(
+        S, F.col("segment_start_ms").alias("ts_start_ms"), (F.col("last_active_ms") + th.grace_ms).alias("ts_end_ms")))
 
 
 def open_session_seed(build_raw: DataFrame, intervals: DataFrame, th: C.Thresholds) -> DataFrame:
@@ -170,41 +363,57 @@ def open_session_seed(build_raw: DataFrame, intervals: DataFrame, th: C.Threshol
                     (F.col("last_t") * 8 + F.col("last_kind")).alias("version")))
 
 
-def write_replay_source(raw: DataFrame, folder: str, th: C.Thresholds, slices: int = 6) -> None:
-    """Land events as `slices` time-ordered files, so a replay sees them arrive in order."""
+# --------------------------------------------------------------------------
+# replay
+# --------------------------------------------------------------------------
+
+def land_slices(raw: DataFrame, folder: str, slice_of, slices: int, files: int = 1) -> None:
+    """Land events as `slices` groups of `files` files, one after the other, so a replay sees them arrive in that order."""
+    columns = [c.split()[0] for c in RAW_STREAM_SCHEMA.split(", ")]
+    numbered = raw.withColumn("slice", slice_of).select("slice", *columns)
+    numbered.write.mode("overwrite").partitionBy("slice").parquet(f"{folder}/arrivals")
+    for i in range(slices):
+        part = raw.sparkSession.read.schema(numbered.schema).parquet(f"{folder}/arrivals").filter(F.col("slice") == i).drop("slice")
+        part.repartition(files).write.mode("overwrite").parquet(f"{folder}/in/{i:04d}")
+
+
+def time_slices(raw: DataFrame, slices: int):
+    """The slice of an event when the whole time range is cut into equal parts."""
     lo, hi = raw.agg(F.min("t_ms"), F.max("t_ms")).first()
     width = max(1, (hi - lo) // slices + 1)
-    (raw.withColumn("slice", ((F.col("t_ms") - F.lit(lo)) / F.lit(width)).cast("int"))
-     .repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(f"{folder}/_landing"))
-    spark = raw.sparkSession
-    for i in range(slices):
-        part = spark.read.parquet(f"{folder}/_landing").filter(F.col("slice") == i).drop("slice")
-        part.coalesce(1).write.mode("overwrite").parquet(f"{folder}/in/{i:04d}")
+    return X.floor_div(F.col("t_ms") - F.lit(lo), width)
 
 
 def streaming_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A session for a live query; its shuffle partitions fix the state store's partition count.
 
     The count is fixed when the query first starts, so it is set on purpose
-    (default: the cluster's parallelism) rather than inherited.
+    (default: the cluster's parallelism) rather than inherited. State lives in
+    RocksDB and checkpoints its changes, not its whole.
     """
     s = spark.newSession()
     n = state_partitions or spark.sparkContext.defaultParallelism
     s.conf.set("spark.sql.shuffle.partitions", str(n))
     s.conf.set("spark.sql.session.timeZone", "UTC")
+    s.conf.set("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    s.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return s
 
 
-def replay(spark: SparkSession, raw: DataFrame, th: C.Thresholds, folder: str,
-           state_partitions: int | None = None) -> DataFrame:
-    """Stream the events through the live path in time order; return the records (T4)."""
-    write_replay_source(raw.select(*[c.split()[0] for c in RAW_STREAM_SCHEMA.split(", ")]), folder, th)
+def replay(spark: SparkSession, raw: DataFrame, th: C.Thresholds, folder: str, slices: int = 4, files: int = 1,
+           seed: DataFrame | None = None, state_partitions: int | None = None, compact_every: int = 0, **options) -> StateTable:
+    """Stream the events through the live path in time order; return its state table."""
+    land_slices(raw, folder, time_slices(raw, slices), slices, files)
     live = streaming_session(spark, state_partitions)
-    stream = (live.readStream.schema(RAW_STREAM_SCHEMA).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(f"{folder}/in"))
-    run_to_completion(live_records(stream, th), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out")
-
-
-__all__ = ["live_records", "read_stream", "run_to_completion", "current_state", "intervals_with_predictions",
-           "open_session_seed", "replay", "streaming_session", "sessionize"]
+    start = None
+    if seed is not None:  # written once, read by the live session
+        seed.write.mode("overwrite").parquet(f"{folder}/seed")
+        start = live.read.parquet(f"{folder}/seed")
+    records = live_records(read_stream(live, f"{folder}/in", files), th, seed=start, **options)
+    table = StateTable(spark, f"{folder}/out", compact_every)
+    if start is not None:
+        table.start_from(start)
+    run_to_completion(records, table, f"{folder}/checkpoint")
+    table.spark = spark
+    return table
