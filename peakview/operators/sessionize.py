@@ -86,18 +86,13 @@ def _chunk_carry(points: DataFrame) -> DataFrame:
     )
 
 
-def states(points: DataFrame, th: C.Thresholds) -> DataFrame:
-    """Every distinct point with its on-state, segment opening and piece end.
+def point_states(points: DataFrame) -> DataFrame:
+    """Every distinct point with its on-state and its neighbours in time (P4, W1, W2): no threshold enters here.
 
     Points repeated at one (session, t, kind) collapse to one, keeping the
-    largest tuple. Columns added: is_on, opens, pe (end of the piece [t, pe)
-    an on-point contributes), mld (last tuple of the point's bucket),
-    next_minute, next_mld, last_minute, hi (last bucket the piece emits),
-    is_piece, owed and prev_cov (last bucket already emitted before the row).
-
-    A piece of a chunk's last point may end in the next chunk's first bucket;
-    that bucket's tuple is only known there, so the next chunk emits it
-    (`owed` on its first point) and this chunk stops one bucket short.
+    largest tuple. Columns added: is_on, prev_t, next_t, mld (last tuple of
+    the point's bucket), next_minute, next_mld, and for the chunk's edges
+    carry_on, prev_last_t, chunk_first_t, first_in_chunk, last_in_chunk.
     """
     w = _w()
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -120,12 +115,11 @@ def states(points: DataFrame, th: C.Thresholds) -> DataFrame:
         F.lead("mld").over(w).alias("next_mld_local"),
     )
     carry = _chunk_carry(points)
-    gap, grace = F.lit(th.gap_ms), F.lit(th.grace_ms)
     in_on = (F.coalesce("in_play", F.lit(1)) == 1) & (F.coalesce("in_fg", F.lit(1)) == 1)
     last_in_chunk = F.col("next_t_local").isNull()
     # shuffle-hash join: only the small carry side moves, and the points keep
     # their sort order, so the windows below need no new sort
-    joined = local.join(carry.hint("shuffle_hash"), [S, "chunk"], "inner").select(
+    return local.join(carry.hint("shuffle_hash"), [S, "chunk"], "inner").select(
         S, "chunk", "t", "kind", "ord", "minute", "dims", "mld",
         ((F.coalesce("lp", "in_play", F.lit(1)) == 1)
          & (F.coalesce("lf", "in_fg", F.lit(1)) == 1)).alias("is_on"),
@@ -138,6 +132,22 @@ def states(points: DataFrame, th: C.Thresholds) -> DataFrame:
         F.col("prev_t_local").isNull().alias("first_in_chunk"),
         "prev_last_t", "chunk_first_t",
     )
+
+
+def states(points: DataFrame, th: C.Thresholds) -> DataFrame:
+    """Every distinct point with its on-state, segment opening and piece end.
+
+    On top of `point_states`: opens, pe (end of the piece [t, pe) an on-point
+    contributes), last_minute, hi (last bucket the piece emits), is_piece, owed
+    and prev_cov (last bucket already emitted before the row).
+
+    A piece of a chunk's last point may end in the next chunk's first bucket;
+    that bucket's tuple is only known there, so the next chunk emits it
+    (`owed` on its first point) and this chunk stops one bucket short.
+    """
+    w = _w()
+    gap, grace = F.lit(th.gap_ms), F.lit(th.grace_ms)
+    joined = point_states(points)
     pe = (F.when(F.col("next_t").isNull() | (F.col("next_t") - F.col("t") > gap), F.col("t") + grace)
           .otherwise(F.col("next_t")))
     # the piece the previous chunk's last point hands into this chunk, if on
