@@ -43,16 +43,17 @@ def minute_deltas(session_minutes: DataFrame) -> DataFrame:
             .filter(F.col("delta") != 0))
 
 
-def series_from_deltas(deltas: DataFrame, lo: int, hi: int, bucket_ms: int) -> DataFrame:
+def series_from_deltas(deltas: DataFrame, session_minutes: DataFrame, bucket_ms: int) -> DataFrame:
     """Concurrency per minute as the running sum of deltas on a dense spine.
 
-    The running sum is two-level (per day, then carried), so no single task
+    The spine runs over the time of `session_minutes` and one more minute; it is
+    made in the plan, in stretches of a day. The running sum is two-level (per day, then carried), so no single task
     orders the whole span. Minutes whose running total is zero are omitted.
     """
-    spark = deltas.sparkSession
-    spine = spark.range(lo, hi + 2).select(F.col("id").alias("minute"), F.lit(0).cast("bigint").alias("d"))
+    per_day = max(1, C.DAY_MS // bucket_ms)
+    ends = session_minutes.agg(F.min("minute").alias("lo"), (F.max("minute") + 1).alias("hi")).filter("lo IS NOT NULL")
+    spine = R.expand(ends, F.col("lo"), F.col("hi"), per_day).select("minute", F.lit(0).cast("bigint").alias("d"))
     per_minute = (deltas.select("minute", F.col("delta").alias("d")).unionByName(spine)
                   .groupBy("minute").agg(F.sum("d").alias("d")))
-    day = X.floor_div("minute", max(1, C.DAY_MS // bucket_ms))
-    cum = R.running_sum(per_minute, ["minute"], "d", day, "concurrency")
+    cum = R.running_sum(per_minute, ["minute"], "d", X.floor_div("minute", per_day), "concurrency")
     return cum.filter(F.col("concurrency") != 0).select("minute", F.col("concurrency").cast("bigint"))

@@ -2,8 +2,8 @@
 
 Occupancy counts a session in a minute if it played at any point of it;
 the instantaneous peak counts sessions playing at one moment. The sweep is
-a running sum of +1/-1 points; it runs two-level (per day, carried) so no
-task orders the whole time line.
+a running sum of +1/-1 points; only the points of one minute are put in order,
+minutes are folded as (net, largest prefix) summaries.
 """
 
 from __future__ import annotations
@@ -61,16 +61,19 @@ def merge_touching(pieces: DataFrame, keys: list[str] | None = None, chunk_ms: i
             .drop("island"))
 
 
-def sweep_peak(spans: DataFrame, start: str, end: str, closed: bool, keys: list[str] | None = None) -> DataFrame:
+def sweep_peak(spans: DataFrame, start: str, end: str, closed: bool, keys: list[str] | None = None,
+               bucket_ms: int = C.MINUTE_MS) -> DataFrame:
     """Max number of spans live at one instant, per `keys`.
 
     Half-open [start, end): at a tie ends apply before starts. Closed
     [start, end]: starts apply before ends (touching spans overlap).
+    Points of one instant are added up map-side; a task orders the instants of
+    one `bucket_ms` and, from there, summaries.
     """
     k = list(keys or [])
     points = (spans.select(*k, F.col(start).alias("t"), F.lit(1).alias("d"))
               .unionByName(spans.select(*k, F.col(end).alias("t"), F.lit(-1).alias("d")))
               .groupBy(*k, "t", "d").agg(F.sum("d").alias("v")))
     order: list[Column] = [F.col("t"), F.col("d").desc() if closed else F.col("d").asc()]
-    live = R.running_sum(points, order, "v", X.floor_div("t", C.DAY_MS), "live", partition=k)
-    return live.groupBy(*k).agg(F.max("live").cast("bigint").alias("peak"))
+    peak = R.peak_of_running_sum(points, order, "v", X.floor_div("t", bucket_ms), "peak", partition=k)
+    return peak.select(*k, F.col("peak").cast("bigint"))

@@ -34,6 +34,9 @@ def series_from_intervals(intervals: DataFrame, bucket_ms: int) -> DataFrame:
 
     +1 at the first covered minute, -1 after the last; a two-level running
     sum gives the count at each change minute, which holds until the next.
+    A stretch without a change, which a stray time can make centuries long, is
+    cut into its days first; the days are dealt to all tasks and only there
+    become minutes, at most a day of them per row.
     """
     first = X.floor_div("ts_start_ms", bucket_ms)
     after = X.floor_div(F.col("ts_end_ms") - 1, bucket_ms) + 1
@@ -41,13 +44,12 @@ def series_from_intervals(intervals: DataFrame, bucket_ms: int) -> DataFrame:
     points = (valid.select(first.alias("minute"), F.lit(1).alias("d"))
               .unionByName(valid.select(after.alias("minute"), F.lit(-1).alias("d")))
               .groupBy("minute").agg(F.sum("d").alias("d")))
-    day = X.floor_div("minute", max(1, C.DAY_MS // bucket_ms))
+    per_day = max(1, C.DAY_MS // bucket_ms)
+    day = X.floor_div("minute", per_day)
     level = R.running_sum(points, ["minute"], "d", day, "level")
-    spans = R.next_row(level, "minute", ["minute"], X.floor_div("minute", max(1, C.DAY_MS // bucket_ms)))
-    spans = spans.filter(F.col("level") > 0)
-    return spans.select(
-        F.explode(F.sequence(F.col("minute"), F.col("next_minute") - 1)).alias("minute"),
-        F.col("level").cast("bigint").alias("naive_concurrency"))
+    spans = R.next_row(level, "minute", ["minute"], day).filter(F.col("level") > 0)
+    held = spans.select(F.col("minute").alias("since"), "next_minute", F.col("level").cast("bigint").alias("naive_concurrency"))
+    return R.expand(held, F.col("since"), F.col("next_minute") - 1, per_day).select("minute", "naive_concurrency")
 
 
 def foreground_series(rollup: DataFrame) -> DataFrame:
