@@ -38,6 +38,81 @@ def q_csv_round_trip(spark, sf):
     return P.build(events, b.content, TH).rollup
 
 
+_ODD_NAMES = "'v ' || chr(34) || 'x' || chr(34) || chr(10) || app_version || ', y'"
+
+
+@register("S1_quoted_line_ends_in_splits", O.with_model(f"""
+SELECT {_ODD_NAMES} AS app_version, video_session_id, count(*) AS rows, CAST(sum(t_ms) AS DECIMAL(38, 0)) AS times
+FROM raw GROUP BY 1, 2""", TH))
+def q_quoted_splits(spark, sf):
+    # every row holds a quoted line end, quotes and delimiters; files are read in splits of 64 KB
+    path = _scratch(spark, "csv-quoted")
+    odd = _b(spark, sf).raw.withColumn("app_version", F.concat(F.lit('v "x"\n'), F.col("app_version"), F.lit(", y")))
+    CE.write_events_csv(odd, path)
+    splits = spark.newSession()
+    for key, value in (("spark.sql.files.maxPartitionBytes", "64k"), ("spark.sql.session.timeZone", "UTC")):
+        splits.conf.set(key, value)
+    events, _, _ = CE.events_from_csv(splits, path)
+    return events.groupBy("app_version", "video_session_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("t_ms").cast("decimal(38,0)").alias("times"))
+
+
+@register("S3_mixed_headers_rollup", O.with_model("SELECT * FROM minute_occupancy", TH))
+def q_mixed_headers(spark, sf):
+    # one folder, three kinds of files: other order, names, case and delimiter in each
+    b = _b(spark, sf)
+    path = _scratch(spark, "csv-mixed")
+    third = F.pmod(F.xxhash64("video_session_id"), F.lit(3))
+    CE.write_events_csv(b.raw.filter(third == 0), f"{path}/a")
+    CE.write_events_csv(b.raw.filter(third == 1).select(*reversed(b.raw.columns)), f"{path}/b", sep="|", upper=True)
+    CE.write_events_csv(b.raw.filter(third == 2).withColumn("extra", F.lit("?")), f"{path}/c", sep=";", header_names={"country": "geo"})
+    events, _, _ = CE.events_from_csv(spark, f"{path}/*", renames={"geo": "country"})
+    return P.build(events, b.content, TH).rollup
+
+
+@register("S4_absent_optional_column", O.with_model(
+    "SELECT platform, '' AS video_resolution, count(*) AS rows FROM raw GROUP BY platform", TH))
+def q_absent_column(spark, sf):
+    path = _scratch(spark, "csv-narrow")
+    CE.write_events_csv(_b(spark, sf).raw.drop("video_resolution"), path)
+    events, _, _ = CE.events_from_csv(spark, path)
+    return events.groupBy("platform", "video_resolution").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("S2_content_csv", O.with_model("""
+SELECT content_id, title, video_type, category, show_name FROM content_src WHERE content_id % 4 <> 0 OR content_id = 0""", TH))
+def q_content_csv(spark, sf):
+    # every fourth id is written negative, which the reader sorts out; titles are quoted
+    content = _b(spark, sf).content
+    path = _scratch(spark, "csv-content")
+    (content.withColumn("content_id", F.when(F.col("content_id") % 4 == 0, -F.col("content_id")).otherwise(F.col("content_id")))
+     .select("title", "content_id", F.col("show_name").alias("Show_Name"), "category", "video_type")
+     .write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
+    good, _, _ = CE.content_from_csv(spark, path)
+    return good
+
+
+@register("S7_ragged_rows", O.with_model("""
+SELECT CASE WHEN content_id % 10 = 1 THEN 'ragged' WHEN content_id % 10 = 2 THEN 'ragged' WHEN content_id % 10 = 3 THEN 'unparsable'
+            WHEN content_id % 10 = 4 THEN 'out_of_range' ELSE 'good' END AS status, count(*) AS rows FROM raw GROUP BY 1""", TH))
+def q_ragged(spark, sf):
+    # rows that end early, rows with a field too many, words for times, seconds for milliseconds
+    raw = _b(spark, sf).raw
+    kind = F.col("content_id") % 10
+    time = (F.when(kind == 3, F.lit("noon")).when(kind == 4, (F.col("t_ms") / 1000).cast("bigint").cast("string"))
+            .otherwise(F.col("t_ms").cast("string")))
+    names = [c for c in raw.columns if c != "video_resolution"]
+    fields = [time if c == "t_ms" else F.col(c).cast("string") for c in names]
+    header = ",".join({"t_ms": "event_timestamp", "session_start_ms": "session_start_epoch"}.get(c, c) for c in names)
+    line = (F.when(kind == 1, F.concat_ws(",", *fields[:5])).when(kind == 2, F.concat_ws(",", *fields, F.lit("more")))
+            .otherwise(F.concat_ws(",", *fields)))
+    path = _scratch(spark, "csv-ragged")
+    # whole lines as one column, whose name is the header line
+    raw.select(line.alias(header)).write.option("header", True).option("sep", "\u0001").csv(path)
+    _, counts, _ = CE.events_from_csv(spark, path)
+    return counts
+
+
 @register("S7_csv_row_status", O.with_model("""
 SELECT status, count(*) AS rows FROM (
   SELECT CASE WHEN content_id BETWEEN 4 AND 6 THEN 'unparsable' WHEN content_id <= 3 THEN 'out_of_range' ELSE 'good' END AS status
@@ -112,7 +187,10 @@ def q_held_out(spark, sf):
     return SV.benchmark_answers(day.rollup, TH)
 
 
-@register("S13_entity_sample")
+@register("S13_entity_sample", O.with_model("""
+SELECT video_session_id, count(*) AS rows, count(DISTINCT user_id) AS users FROM raw
+WHERE video_session_id IN (SELECT video_session_id FROM raw WHERE ('0x' || md5(user_id)[1:8])::BIGINT % 4 = 0)
+GROUP BY video_session_id""", TH))
 def q_sample(spark, sf):
     b = _b(spark, sf)
     events, content = SK.entity_sample(b.raw, b.content, bucket=0, buckets=4)
@@ -134,6 +212,24 @@ def q_reference_intervals(spark, sf):
     return Q.two_way_difference(iv, SK.read_reference_intervals(spark, path))
 
 
+_OTHER = "CASE WHEN platform = 'Mweb' THEN sessions + 1 ELSE sessions END"
+
+
+@register("S16_reference_rollup_difference", O.with_model(f"""
+SELECT (SELECT count(*) FROM (SELECT * FROM minute_occupancy EXCEPT ALL SELECT * FROM reference)) AS only_left,
+       (SELECT count(*) FROM (SELECT * FROM reference EXCEPT ALL SELECT * FROM minute_occupancy)) AS only_right""", TH,
+    f"reference AS (SELECT * REPLACE ({_OTHER} AS sessions) FROM minute_occupancy WHERE minute % 7 <> 0)"))
+def q_reference_rollup(spark, sf):
+    # a reference file that misses some minutes and counts one session more on one platform
+    rollup = _b(spark, sf).materialize("rollup").rollup
+    path = _scratch(spark, "ref-rollup")
+    other = rollup.filter("minute % 7 <> 0").withColumn("sessions", F.when(F.col("platform") == "Mweb", F.col("sessions") + 1)
+                                                        .otherwise(F.col("sessions")))
+    other.select(*C.ROLLUP_DIMS, "minute", "sessions").write.option("header", True).option("emptyValue", '""').csv(path)
+    reference = SK.read_reference_rollup(spark, path).fillna("", [d for d in C.ROLLUP_DIMS if d != "content_id"])
+    return Q.two_way_difference(rollup, reference)
+
+
 _REP = 3
 _SPAN = f"(((SELECT max(t_ms) - min(t_ms) FROM {BASE}) // {C.DAY_MS} + 1) * {C.DAY_MS})"
 _REPLICATED = (f"(SELECT video_session_id || '-rep' || CAST(r AS VARCHAR) AS video_session_id,"

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
 from ..functions import running as R
-from ..operators.occupancy import checked_broadcast
 from ..operators.quality import fingerprint, two_way_difference
 
 S = "video_session_id"
 
-# a dimension dictionary is broadcast only when it is at most this long
-DICTIONARY_BROADCAST_MAX_ROWS = 2_000_000
-
 
 def write_by_day(df: DataFrame, path: str, minute_col: str, bucket_ms: int, sort: list[str]) -> None:
     """Day-partitioned table write with dynamic overwrite of the days present."""
@@ -61,8 +59,7 @@ def snapshot(rollup: DataFrame, bucket_ms: int) -> tuple[DataFrame, DataFrame, D
     packed = rollup.join(minute_index, "minute", "inner")
     for c in CODED:
         d = dictionary.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"{c}_code"))
-        packed = (packed.join(checked_broadcast(d, DICTIONARY_BROADCAST_MAX_ROWS),
-                              F.col(c).cast("string") == F.col(f"_v_{c}"), "inner").drop(f"_v_{c}"))
+        packed = packed.join(d, F.col(c).cast("string") == F.col(f"_v_{c}"), "inner").drop(f"_v_{c}")
     packed = packed.select("minute_index", *[f"{c}_code" for c in CODED], "sessions")
     return packed, dictionary, minute_index
 
@@ -72,7 +69,7 @@ def decode(packed: DataFrame, dictionary: DataFrame, minute_index: DataFrame) ->
     out = packed.join(minute_index, "minute_index", "inner")
     for c in CODED:
         d = dictionary.filter(F.col("column") == c).select(F.col("code").alias(f"{c}_code"), F.col("value").alias(f"_v_{c}"))
-        out = out.join(checked_broadcast(d, DICTIONARY_BROADCAST_MAX_ROWS), f"{c}_code", "inner")
+        out = out.join(d, f"{c}_code", "inner")
         cast = "bigint" if c == "content_id" else "string"
         out = out.withColumn(c, F.col(f"_v_{c}").cast(cast)).drop(f"_v_{c}", f"{c}_code")
     return out.select(*C.ROLLUP_DIMS, "minute", "sessions")
@@ -111,28 +108,37 @@ def split_day(raw: DataFrame, day_index: int) -> DataFrame:
     return raw.filter(X.floor_div("t_ms", C.DAY_MS) == F.lit(day_index))
 
 
+def user_bucket(buckets: int):
+    """A user's bucket, from the first 32 bits of the md5 of the id: the same in any engine."""
+    return F.pmod(F.conv(F.substring(F.md5("user_id"), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+
+
 def entity_sample(raw: DataFrame, content: DataFrame, bucket: int, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Keep whole sessions any of whose users hash into `bucket` of `buckets`.
 
     A sampling operator by design: sessions are kept or dropped whole, and
     the catalogue keeps the ids the kept events use.
     """
-    chosen = (raw.filter(F.pmod(F.xxhash64("user_id"), F.lit(buckets)) == bucket)
-              .select(S).distinct())
+    chosen = raw.filter(user_bucket(buckets) == bucket).select(S).distinct()
     events = raw.join(chosen, S, "left_semi")
     ids = events.select("content_id").distinct()
     return events, content.join(ids, "content_id", "left_semi")
 
 
 def verified_copy(df: DataFrame, path: str, name: str) -> DataFrame:
-    """Copy a table to `path`, then compare row count and content fingerprint."""
-    df.write.mode("overwrite").parquet(path)
-    copy = df.sparkSession.read.parquet(path)
-    a, b = fingerprint(df, name), fingerprint(copy, name)
-    same = (a.select("rows").scalar() == b.select("rows").scalar()) & \
-           (a.select("xor_hash").scalar() == b.select("xor_hash").scalar()) & \
-           (a.select("sum_hash").scalar() == b.select("sum_hash").scalar())
-    return copy.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")).select("*", same.alias("identical"))
+    """Copy a table to `path` and compare row count and content fingerprint.
+
+    The source is fingerprinted while it is written, in the same pass, and the
+    copy is read once.
+    """
+    seen = Observation(f"copy-{uuid.uuid4().hex}")
+    h = F.xxhash64(*sorted(df.columns))
+    (df.observe(seen, F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("xor_hash"), F.sum(h.cast("decimal(38,0)")).alias("sum_hash"))
+     .write.mode("overwrite").parquet(path))
+    source = seen.get
+    copy = fingerprint(df.sparkSession.read.schema(df.schema).parquet(path), name)
+    same = [F.col(k) == F.lit(source[k] if source[k] is not None else 0).cast(copy.schema[k].dataType) for k in ("rows", "xor_hash", "sum_hash")]
+    return copy.select("table", "rows", (same[0] & same[1] & same[2]).alias("identical"))
 
 
 def read_reference_intervals(spark: SparkSession, path: str) -> DataFrame:
