@@ -96,12 +96,31 @@ def resolve(catalogue: DataFrame, filters: dict[str, object]) -> Resolved:
     return resolve_many(catalogue, [filters])[0]
 
 
-def resolve_strict(catalogue: DataFrame, filters: dict[str, object]) -> Resolved:
-    """As `resolve`, but an unknown or ambiguous value raises, naming real ones."""
+def report(catalogue: DataFrame, filters: dict[str, object]) -> DataFrame:
+    """What each asked value stands for (P8, P9): (dimension, asked, status, stands_for, values_known).
+
+    status: exact, folded (one value in another case), ambiguous (several) or
+    unknown. Values that mean no filter are not asked.
+    """
+    _, asked = _asked(filters)
+    rows = catalogue.sparkSession.createDataFrame(sorted(asked.items()), "dimension string, asked string")
+    known = catalogue.groupBy("dimension").agg(F.count(F.lit(1)).alias("values_known"))
+    folds = (rows.join(catalogue, "dimension").filter(F.lower("value") == F.lower("asked"))
+             .groupBy("dimension", "asked").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("only"),
+                                                F.max((F.col("value") == F.col("asked")).cast("int")).alias("same")))
+    told = rows.join(folds, ["dimension", "asked"], "left").join(known, "dimension", "left")
+    status = (F.when(F.col("same") == 1, "exact").when(F.col("n") == 1, "folded").when(F.col("n") > 1, "ambiguous").otherwise("unknown"))
+    return told.select("dimension", "asked", status.alias("status"),
+                       F.when(F.col("same") == 1, F.col("asked")).when(F.col("n") == 1, F.col("only")).alias("stands_for"),
+                       F.coalesce("values_known", F.lit(0)).alias("values_known"))
+
+
+def resolve_strict(catalogue: DataFrame, filters: dict[str, object], named: int = 25) -> Resolved:
+    """As `resolve`, but an unknown or ambiguous value raises, naming the first `named` real ones and how many there are."""
     res = resolve(catalogue, filters)
     if res.unknown:
         dim, v = next(iter(res.unknown.items()))
-        known = [r["value"] for r in catalogue.filter(F.col("dimension") == dim)
-                 .orderBy("value").select("value").limit(25).collect()]
-        raise ValueError(f"{dim} has no value {v!r}; known values include {known}")
+        real = catalogue.filter(F.col("dimension") == dim)
+        known = [r["value"] for r in real.orderBy("value").select("value").limit(named).collect()]
+        raise ValueError(f"{dim} has no value {v!r}; the {real.count()} known values include {known}")
     return res

@@ -9,15 +9,6 @@ from .. import config as C
 
 S = "video_session_id"
 
-# the content catalogue is broadcast only when it is proven this small
-CONTENT_BROADCAST_MAX_ROWS = 5_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast `df` only after counting it; larger inputs stay a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def dedupe_content(content: DataFrame) -> DataFrame:
     """One catalogue row per content_id; on duplicates the largest row wins."""
     fields = ("title", "video_type", "category", "show_name")
@@ -28,9 +19,12 @@ def dedupe_content(content: DataFrame) -> DataFrame:
 
 
 def enrich(session_minutes: DataFrame, content: DataFrame) -> DataFrame:
-    """Add video_type, category, show_name by content_id, '' when unknown."""
-    cat = checked_broadcast(
-        dedupe_content(content).select("content_id", *C.CONTENT_DIMS), CONTENT_BROADCAST_MAX_ROWS)
+    """Add video_type, category, show_name by content_id, '' when unknown.
+
+    The adaptive plan sends a catalogue that its shuffle has shown to be small
+    to every task, and splits a content id that many session-minutes share.
+    """
+    cat = dedupe_content(content).select("content_id", *C.CONTENT_DIMS)
     return (session_minutes.join(cat, "content_id", "left")
             .select(S, "minute", *C.EVENT_DIMS,
                     *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in C.CONTENT_DIMS]))

@@ -21,22 +21,31 @@ S = "video_session_id"
 # fingerprints and differences
 # --------------------------------------------------------------------------
 
-def fingerprint(df: DataFrame, name: str = "table") -> DataFrame:
+def _row_hash(df: DataFrame, portable: bool) -> Column:
+    columns = sorted(df.columns)
+    if not portable:
+        return F.xxhash64(*columns)
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def fingerprint(df: DataFrame, name: str = "table", portable: bool = False) -> DataFrame:
     """Row count plus order-independent XOR and SUM of row hashes.
 
-    XOR alone cancels pairs of equal rows, so the sum rides along.
+    XOR alone cancels pairs of equal rows, so the sum rides along. A `portable`
+    fingerprint takes 60 bits of the md5 of the row's columns as text, in name
+    order, which any other engine can compute as well; the other is cheaper.
     """
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return df.agg(F.lit(name).alias("table"),
-                  F.count(F.lit(1)).alias("rows"),
-                  F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor_hash"),
-                  F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("sum_hash"))
+    h = _row_hash(df, portable)
+    return df.select(h.alias("h")).agg(
+        F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor_hash"),
+        F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("sum_hash"))
 
 
-def compare_fingerprints(a: DataFrame, b: DataFrame) -> DataFrame:
+def compare_fingerprints(a: DataFrame, b: DataFrame, portable: bool = False) -> DataFrame:
     """Side by side fingerprints of two tables and whether they agree."""
-    fa = fingerprint(a, "a").drop("table")
-    fb = fingerprint(b, "b").drop("table")
+    fa = fingerprint(a, "a", portable).drop("table")
+    fb = fingerprint(b, "b", portable).drop("table")
     cols = fa.columns
     both = fa.select(*[F.col(c).alias(f"a_{c}") for c in cols],
                      *[fb.select(c).scalar().alias(f"b_{c}") for c in cols])
@@ -168,36 +177,36 @@ def stamp_gaps(raw: DataFrame, chunk_ms: int, heartbeats_only: bool) -> DataFram
             .filter(F.col("gap_ms").isNotNull()))
 
 
-def cadence(raw: DataFrame, th: C.Thresholds) -> DataFrame:
-    """Heartbeat cadence p50/p90/p99 (nearest rank), mode, and a verdict.
+def cadence_by_basis(raw: DataFrame, th: C.Thresholds) -> DataFrame:
+    """Cadence p50/p90/p99 (nearest rank), mode and a verdict, for heartbeat gaps and for gaps of all events.
 
-    Heartbeat gaps are used when there are any, else gaps of all events.
     Verdict: fail when p90 exceeds grace by over a second or gap <= p90;
     warn when grace is far above p90 or fewer than 100 gaps were seen.
     """
-    beats = stamp_gaps(raw, th.chunk_ms, True)
-    n_beats = beats.agg(F.count(F.lit(1))).first()[0]
-    gaps = beats if n_beats else stamp_gaps(raw, th.chunk_ms, False)
-    basis = C.EVENT_TYPE_HEARTBEAT if n_beats else "all"
-    hist = gaps.groupBy("gap_ms").agg(F.count(F.lit(1)).alias("n"))
-    total = hist.agg(F.sum("n")).scalar()
-    cum = R.running_sum(hist, ["gap_ms"], "n", X.floor_div("gap_ms", 60_000), "cum")
-
-    def q(f: float) -> Column:
-        return F.min(F.when(F.col("cum") >= F.lit(f) * total, F.col("gap_ms")))
-
-    mode = hist.agg(F.max_by(F.struct("gap_ms", "n"), F.struct(F.col("n"), -F.col("gap_ms"))).alias("m"))
-    out = cum.agg(
-        F.lit(basis).alias("basis"),
-        (q(0.5) / 1000.0).alias("p50_s"),
-        (q(0.9) / 1000.0).alias("p90_s"),
-        (q(0.99) / 1000.0).alias("p99_s"),
-    ).select("*", F.coalesce(total, F.lit(0)).cast("bigint").alias("gaps"), mode.select("m.gap_ms").scalar().alias("mode_ms"), mode.select("m.n").scalar().alias("mode_count"))
+    bases = reduce(DataFrame.unionByName, [
+        stamp_gaps(raw, th.chunk_ms, only).select(F.lit(basis).alias("basis"), "gap_ms")
+        for basis, only in ((C.EVENT_TYPE_HEARTBEAT, True), ("all", False))])
+    hist = bases.groupBy("basis", "gap_ms").agg(F.count(F.lit(1)).alias("n"))
+    ranks = R.nearest_ranks(hist, "gap_ms", "n", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, ["basis"])
+    mode = hist.groupBy("basis").agg(F.max_by(F.struct("gap_ms", "n"), F.struct(F.col("n"), -F.col("gap_ms"))).alias("m"))
+    told = (raw.sparkSession.createDataFrame([(C.EVENT_TYPE_HEARTBEAT,), ("all",)], "basis string")
+            .join(ranks, "basis", "left").join(mode, "basis", "left")
+            .select("basis", *[(F.col(p) / 1000.0).alias(f"{p}_s") for p in ("p50", "p90", "p99")],
+                    F.coalesce("total", F.lit(0)).cast("bigint").alias("gaps"),
+                    F.col("m.gap_ms").alias("mode_ms"), F.col("m.n").alias("mode_count")))
     grace_s, gap_s = th.grace_ms / 1000.0, th.gap_ms / 1000.0
     fail = (F.col("p90_s") > grace_s + 1) | (F.lit(gap_s) <= F.col("p90_s"))
     warn = (F.col("gaps") < 100) | (F.lit(grace_s) > F.col("p90_s") * 1.5 + 1)
-    return out.withColumn("verdict", F.when(F.col("gaps") < 100, "warn")
-                          .when(fail, "fail").when(warn, "warn").otherwise("pass"))
+    return told.withColumn("verdict", F.when(F.col("gaps") < 100, "warn")
+                           .when(fail, "fail").when(warn, "warn").otherwise("pass"))
+
+
+def cadence(raw: DataFrame, th: C.Thresholds) -> DataFrame:
+    """The cadence that counts: of heartbeats where there are gaps of them, else of all events."""
+    both = cadence_by_basis(raw, th)
+    preferred = F.struct((F.col("basis") == C.EVENT_TYPE_HEARTBEAT) & (F.col("gaps") > 0), F.col("basis") == "all")
+    one = both.groupBy().agg(F.max_by(F.struct(*both.columns), preferred).alias("c"))
+    return one.select("c.*")
 
 
 # --------------------------------------------------------------------------
@@ -230,25 +239,20 @@ def run_stats(raw: DataFrame, intervals: DataFrame, session_minutes: DataFrame,
     )
 
 
-def variety(raw: DataFrame, intervals: DataFrame) -> DataFrame:
+def variety(raw: DataFrame, intervals: DataFrame, session_minutes: DataFrame) -> DataFrame:
     """How many sessions show each behaviour; users with several sessions or devices."""
     k = X.kind("event_type", "event")
-    flags = raw.groupBy(S).agg(
-        F.max((k == C.KIND_PAUSE).cast("int")).alias("paused"),
-        F.max(((k == C.KIND_PLAY) & F.lower("event").isin(*C.EVENT_TOKENS_PLAY)).cast("int")).alias("resumed"),
-        F.max((k == C.KIND_BACKGROUND).cast("int")).alias("backgrounded"),
-        F.max((F.col("event_type") == "VideoError").cast("int")).alias("errored"))
-    multi = intervals.groupBy(S).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    shows = {"paused": k == C.KIND_PAUSE, "resumed": k == C.KIND_PLAY, "backgrounded": k == C.KIND_BACKGROUND,
+             "foregrounded": k == C.KIND_FOREGROUND, "errored": F.col("event_type") == "VideoError",
+             "ended": F.col("event_type") == "VideoSessionEnd"}
+    per_session = raw.groupBy(S).agg(*[F.max(c.cast("int")).alias(n) for n, c in shows.items()])
+    counts = per_session.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(f"sessions_{n}") for n in shows])
     users = raw.groupBy("user_id").agg(F.count_distinct(S).alias("s"), F.count_distinct("platform").alias("d"))
-    return flags.agg(
-        F.sum("paused").cast("bigint").alias("sessions_paused"),
-        F.sum("resumed").cast("bigint").alias("sessions_resumed"),
-        F.sum("backgrounded").cast("bigint").alias("sessions_backgrounded"),
-        F.sum("errored").cast("bigint").alias("sessions_errored"),
-        F.first(multi.agg(F.count(F.lit(1))).scalar()).alias("sessions_multi_interval"),
-        F.first(users.agg(F.count_if(F.col("s") > 1)).scalar()).alias("users_multi_session"),
-        F.first(users.agg(F.count_if(F.col("d") > 1)).scalar()).alias("users_multi_device"),
-    )
+    many = lambda df: df.groupBy(S).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1)).scalar()
+    return counts.select(
+        "*", many(intervals).alias("sessions_multi_interval"), many(session_minutes).alias("sessions_multi_minute"),
+        users.agg(F.count_if(F.col("s") > 1)).scalar().alias("users_multi_session"),
+        users.agg(F.count_if(F.col("d") > 1)).scalar().alias("users_multi_device"))
 
 
 # --------------------------------------------------------------------------
@@ -301,46 +305,37 @@ def presence_vs_active(raw: DataFrame, session_minutes: DataFrame, bucket_ms: in
 # --------------------------------------------------------------------------
 
 def preflight_checks(raw: DataFrame, content: DataFrame, th: C.Thresholds) -> DataFrame:
-    """Problems and warnings knowable before a build: (check, severity, detail).
+    """What is knowable before a build, as one row per check: (check, severity, n, detail).
 
-    problem: cadence too slow for grace or gap; timestamps outside epoch ms;
-    events naming unknown content ids; none of the recognised event types.
-    warning: too few gaps to judge cadence; grace far above the cadence;
-    recognised tokens partly absent; benchmark filter values never present.
+    timestamps and content_ids: a problem where n rows are off. vocabulary: a
+    problem if no recognised event type occurs, a warning where n tokens are
+    absent. cadence: severity from the cadence's own verdict, n its gaps.
+    benchmark_slices: a warning where n filter values never occur.
     """
-    spark = raw.sparkSession
-    prof = preflight_profile(raw, content).first()
-    cad = cadence(raw, th).first()
-    expected_types = [t.lower() for t in C.EXPECTED_EVENT_TYPES]
-    seen_types = {r[0] for r in raw.select(F.lower("event_type").alias("t")).filter(F.col("t").isin(*expected_types))
-                  .distinct().collect()}  # bounded: at most the expected tokens
-    absent = [(r["column"], r["token"]) for r in vocabulary_absent(raw).collect()]  # bounded: expected tokens
-    out: list[tuple[str, str, str]] = []
-    if prof["out_of_range_rows"]:
-        out.append(("timestamps", "problem", f"{prof['out_of_range_rows']} rows outside epoch milliseconds"))
-    if prof["orphan_rows"]:
-        out.append(("content_ids", "problem", f"{prof['orphan_rows']} rows name content ids missing from the catalogue"))
-    if not seen_types:
-        out.append(("vocabulary", "problem", "none of the recognised event types occurs"))
-    elif absent:
-        out.append(("vocabulary", "warning", "absent: " + ", ".join(f"{c}={t}" for c, t in sorted(absent))))
-    grace_s, gap_s = th.grace_ms / 1000.0, th.gap_ms / 1000.0
-    if cad["gaps"] is None or cad["gaps"] < 100:
-        out.append(("cadence", "warning", f"only {cad['gaps'] or 0} gaps, too few to judge the cadence"))
-    else:
-        p90 = cad["p90_s"]
-        if p90 > grace_s + 1:
-            out.append(("cadence", "problem", f"p90 gap {p90:.3f}s exceeds grace {grace_s:g}s"))
-        elif grace_s > 1.5 * p90 + 1:
-            out.append(("cadence", "warning", f"grace {grace_s:g}s far above p90 gap {p90:.3f}s"))
-        if gap_s <= p90:
-            out.append(("cadence", "problem", f"gap {gap_s:g}s at or below p90 gap {p90:.3f}s"))
-    asked = {(d, v) for _, _, flt in C.BENCHMARKS for d, v in flt.items() if d in ("platform", "country")}
-    present: set[tuple[str, str]] = set()
-    for dim in sorted({d for d, _ in asked}):
-        values = [v for d, v in asked if d == dim]
-        present |= {(dim, r[0]) for r in raw.select(dim).filter(F.col(dim).isin(*values)).distinct().collect()}
-    missing = sorted(asked - present)
-    if missing:
-        out.append(("benchmark_slices", "warning", "never present: " + ", ".join(f"{d}={v}" for d, v in missing)))
-    return spark.createDataFrame(out, "check string, severity string, detail string")
+    level = lambda bad, severity: F.when(bad, severity).otherwise("ok")
+    none = F.lit("")
+    profile = preflight_profile(raw, content).select(
+        F.explode(F.array(
+            F.struct(F.lit("timestamps").alias("check"), level(F.col("out_of_range_rows") > 0, "problem").alias("severity"),
+                     F.col("out_of_range_rows").alias("n"), none.alias("detail")),
+            F.struct(F.lit("content_ids").alias("check"), level(F.col("orphan_rows") > 0, "problem").alias("severity"),
+                     F.col("orphan_rows").alias("n"), none.alias("detail")))).alias("c")).select("c.*")
+    absent = vocabulary_absent(raw).withColumn("name", F.concat_ws("=", "column", "token"))
+    types_absent = F.count_if(F.col("column") == "event_type")
+    vocabulary = absent.agg(
+        F.lit("vocabulary").alias("check"),
+        F.when(types_absent == len(C.EXPECTED_EVENT_TYPES), "problem").when(F.count(F.lit(1)) > 0, "warning").otherwise("ok").alias("severity"),
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("detail"))
+    paced = cadence(raw, th).select(
+        F.lit("cadence").alias("check"),
+        F.element_at(F.create_map(F.lit("fail"), F.lit("problem"), F.lit("warn"), F.lit("warning"), F.lit("pass"), F.lit("ok")),
+                     F.col("verdict")).alias("severity"), F.col("gaps").alias("n"), F.col("basis").alias("detail"))
+    asked = raw.sparkSession.createDataFrame(
+        sorted({(d, v) for _, _, flt in C.BENCHMARKS for d, v in flt.items() if d in C.EVENT_DIMS}), "dimension string, value string")
+    held = reduce(DataFrame.unionByName, [raw.select(F.lit(d).alias("dimension"), F.col(d).alias("value")).distinct()
+                                          for d in sorted({d for _, _, flt in C.BENCHMARKS for d in flt if d in C.EVENT_DIMS})])
+    missing = asked.join(held, ["dimension", "value"], "left_anti").withColumn("name", F.concat_ws("=", "dimension", "value"))
+    slices = missing.agg(
+        F.lit("benchmark_slices").alias("check"), level(F.count(F.lit(1)) > 0, "warning").alias("severity"),
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("detail"))
+    return reduce(DataFrame.unionByName, [profile, vocabulary, paced, slices])

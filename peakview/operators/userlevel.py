@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session as _session
+
 S = "video_session_id"
 
 
@@ -21,9 +23,14 @@ def per_minute_users(session_minutes: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def peak_minute_users(session_minutes: DataFrame, raw: DataFrame) -> DataFrame:
-    """At the busiest minute (earliest on ties): sessions and exact users."""
-    per = per_minute_users(session_minutes, raw)
-    return per.orderBy(F.desc("sessions"), F.asc("minute")).limit(1)
+    """At the busiest minute (earliest on ties): sessions and exact users.
+
+    The minute is found from counts alone; users are joined and told apart in
+    that minute only.
+    """
+    per = session_minutes.groupBy("minute").agg(F.count(F.lit(1)).alias("c"))
+    busiest = per.agg(F.max_by("minute", F.struct(F.col("c"), -F.col("minute")))).scalar()
+    return per_minute_users(session_minutes.filter(F.col("minute") == busiest), raw)
 
 
 def user_sketch_rollup(session_minutes: DataFrame, raw: DataFrame, dims=("platform",), lg_k: int = 12) -> DataFrame:
@@ -44,8 +51,9 @@ def users_from_sketches(sketches: DataFrame) -> DataFrame:
 
 def peak_minute_users_approx(session_minutes: DataFrame, raw: DataFrame) -> DataFrame:
     """Exact and sketch-estimated users at the peak minute, with the relative error."""
-    exact = peak_minute_users(session_minutes, raw)
-    approx = users_from_sketches(user_sketch_rollup(session_minutes, raw))
+    exact = _session.written(peak_minute_users(session_minutes, raw), "peak-users")
+    at_peak = session_minutes.filter(F.col("minute") == exact.select("minute").scalar())
+    approx = users_from_sketches(user_sketch_rollup(at_peak, raw))
     return (exact.join(approx, "minute", "inner")
             .withColumn("error_pct", F.abs(F.col("users_approx") - F.col("users_exact")) * 100.0
                         / F.col("users_exact")))

@@ -38,21 +38,21 @@ class Build:
     def rollup(self) -> DataFrame:
         return occupancy.rollup(self.session_minutes)
 
-    def materialize(self) -> "Build":
-        """The same build with intervals, session-minutes and rollup checkpointed.
-
-        Reliable checkpoints go to the shared folder named by
-        spark.checkpoint.dir and cut the lineage, so questions that read the
-        built tables many times (scalar subqueries, several joins) scan them
-        instead of re-running the sessionizer, and a lost executor does not
-        send the recovery back to the raw events.
+    def materialize(self, *tables: str) -> "Build":
+        """The same build with `tables` (default: intervals, session_minutes and rollup) written.
+
+        They go to the shared folder named by spark.checkpoint.dir, so questions
+        that read the built tables many times (scalar subqueries, several joins)
+        scan the columns they need instead of re-running the sessionizer, and a
+        lost executor does not send the recovery back to the raw events.
         """
-        _session.checkpoint_dir(self.raw.sparkSession)
         m = Build(self.raw, self.content, self.th)
-        m.__dict__["states"] = self.states
-        m.__dict__["intervals"] = self.intervals.checkpoint()
-        m.__dict__["session_minutes"] = self.session_minutes.checkpoint()
-        m.__dict__["rollup"] = occupancy.rollup(m.session_minutes).checkpoint()
+        wanted = set(tables or ("intervals", "session_minutes", "rollup"))
+        # two tables come from the point states: the events are sessionized once for both
+        m.__dict__["states"] = _session.written(self.states, "states") if {"intervals", "session_minutes"} <= wanted else self.states
+        for name in ("intervals", "session_minutes", "rollup"):
+            if name in wanted:
+                m.__dict__[name] = _session.written(getattr(m, name), name.replace("_", "-"))
         return m
 
 

@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # modules that register more queries on import
-    from . import registry_io, registry_more, registry_quality, registry_stream, registry_telemetry  # noqa: F401
+    from . import registry_io, registry_more, registry_quality, registry_questions, registry_stream, registry_telemetry  # noqa: F401
 
 
 # --------------------------------------------------------------------------
@@ -54,14 +54,16 @@ DIMENSION_VALUE_CTE = "dimension_value AS (SELECT DISTINCT dimension, value FROM
 
 
 def sql_filter(dim: str, value: str) -> str:
-    """Declarative form of the filter rule: sentinel, exact, or unique case fold."""
+    """The filter rule as a lookup: the one value that a spelling stands for, and equality with it.
+
+    A spelling stands for itself where the data holds it, else for the only
+    value that differs from it in case, else for nothing.
+    """
     v = value.strip(" ").replace("'", "''")
     if v.lower() in C.NO_FILTER_SENTINELS:
         return "TRUE"
-    return (f"({dim} = '{v}' OR (lower({dim}) = lower('{v}')"
-            f" AND '{v}' NOT IN (SELECT value FROM dimension_value WHERE dimension = '{dim}')"
-            f" AND (SELECT count(DISTINCT value) FROM dimension_value WHERE dimension = '{dim}'"
-            f" AND lower(value) = lower('{v}')) = 1))")
+    return (f"{dim} = (SELECT CASE WHEN count(*) FILTER (WHERE value = '{v}') = 1 THEN '{v}'"
+            f" WHEN count(*) = 1 THEN min(value) END FROM dimension_value WHERE dimension = '{dim}' AND lower(value) = lower('{v}'))")
 
 
 def sql_filters(filters: dict) -> str:
@@ -106,7 +108,7 @@ _FILTERED = {"platform": "iphone", "country": "INDIA", "audio_language": "hin",
     "SELECT minute, CAST(sum(sessions) AS BIGINT) AS concurrency FROM minute_occupancy"
     f" WHERE {sql_filters(_FILTERED)} GROUP BY minute"))
 def q_series_filtered(spark, sf):
-    return SV.occupancy_for(P.driver_build(spark, sf, TH).rollup, _FILTERED)
+    return SV.occupancy_for(P.driver_build(spark, sf, TH).materialize("rollup").rollup, _FILTERED)
 
 
 _DAY = TH.grain_buckets(1440)
@@ -136,4 +138,4 @@ def _bench_sql(raw: str | None = None) -> str:
 
 @register("A17_benchmark_answers", _bench_sql())
 def q_benchmarks(spark, sf):
-    return SV.benchmark_answers(P.driver_build(spark, sf, TH).rollup, TH)
+    return SV.benchmark_answers(P.driver_build(spark, sf, TH).materialize("rollup").rollup, TH)

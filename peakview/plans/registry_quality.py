@@ -27,15 +27,23 @@ def _m(select: str, extra: str = "") -> str:
     return O.with_model(select, TH, extra)
 
 
-@register("A25_fingerprint_rollup")
+_ROLLUP_TEXT = " || chr(31) || ".join(f"CAST({c} AS VARCHAR)" for c in sorted([*C.ROLLUP_DIMS, "minute", "sessions"]))
+PRINT_CTE = f"""print AS (SELECT count(*) AS rows, bit_xor(h) AS xor_hash, sum(h) AS sum_hash
+  FROM (SELECT ('0x' || md5({_ROLLUP_TEXT})[1:15])::BIGINT AS h FROM minute_occupancy))"""
+
+
+@register("A25_fingerprint_rollup", _m(
+    "SELECT 'minute_occupancy' AS \"table\", rows, xor_hash, CAST(sum_hash AS DECIMAL(38, 0)) AS sum_hash FROM print", PRINT_CTE))
 def q_fingerprint(spark, sf):
-    return Q.fingerprint(_b(spark, sf).rollup, "minute_occupancy")
+    return Q.fingerprint(_b(spark, sf).rollup, "minute_occupancy", portable=True)
 
 
-@register("A25_rebuild_identical")
+@register("A25_rebuild_identical", _m("SELECT " + ", ".join(
+    f"rows AS {x}_rows, xor_hash AS {x}_xor_hash, CAST(sum_hash AS DECIMAL(38, 0)) AS {x}_sum_hash" for x in "ab")
+    + ", true AS identical FROM print", PRINT_CTE))
 def q_rebuild(spark, sf):
     # Gate B: two independent builds of the same input give identical fingerprints
-    return Q.compare_fingerprints(_b(spark, sf).rollup, _b(spark, sf).rollup)
+    return Q.compare_fingerprints(_b(spark, sf).rollup, _b(spark, sf).rollup, portable=True)
 
 
 @register("U2_occupancy_vs_deltas", _m("""
@@ -49,10 +57,9 @@ dser AS (SELECT minute, CAST(cum AS BIGINT) AS concurrency FROM (
       SELECT unnest(range((SELECT min(minute) FROM minute_occupancy), (SELECT max(minute) FROM minute_occupancy) + 2)) AS minute, 0 AS d
       UNION ALL SELECT minute, delta AS d FROM minute_deltas) GROUP BY minute)) WHERE cum != 0)"""))
 def q_occ_vs_deltas(spark, sf):
-    b = _b(spark, sf)
-    lo, hi = b.rollup.agg(F.min("minute"), F.max("minute")).first()
+    b = _b(spark, sf).materialize("session_minutes", "rollup")
     occ = SV.occupancy(b.rollup, SV.FL.Resolved())
-    dser = D.series_from_deltas(D.minute_deltas(b.session_minutes), lo, hi, B)
+    dser = D.series_from_deltas(D.minute_deltas(b.session_minutes), b.session_minutes, B)
     return Q.two_way_difference(occ, dser, ["minute", "concurrency"])
 
 
@@ -73,6 +80,27 @@ def q_orphans(spark, sf):
     return Q.orphan_content_ids(b.raw, b.content)
 
 
+_PARTIAL = "(SELECT * FROM content_src WHERE content_id % 5 <> 0)"
+
+
+@register("J5_orphans_of_partial_catalogue", _m(
+    f"SELECT DISTINCT content_id FROM raw WHERE content_id NOT IN (SELECT content_id FROM {_PARTIAL})"))
+def q_partial_orphans(spark, sf):
+    # one id in five is missing from a derived catalogue, so there are orphans to find
+    b = _b(spark, sf)
+    return Q.orphan_content_ids(b.raw, b.content.filter("content_id % 5 <> 0"))
+
+
+@register("A26_reconcile_partial_catalogue", _m(f"""
+SELECT count(*) AS raw_rows, count(DISTINCT video_session_id) AS sessions, count(DISTINCT user_id) AS users,
+       count(DISTINCT content_id) AS raw_content_ids, (SELECT count(*) FROM {_PARTIAL}) AS content_rows,
+       (SELECT count(*) FROM (SELECT DISTINCT content_id FROM raw WHERE content_id NOT IN (SELECT content_id FROM {_PARTIAL}))) AS join_orphans
+FROM raw"""))
+def q_reconcile_partial(spark, sf):
+    b = _b(spark, sf)
+    return Q.reconcile(b.raw, b.content.filter("content_id % 5 <> 0"))
+
+
 @register("A27_active_ratio", _m("""
 SELECT (SELECT count(DISTINCT video_session_id) FROM raw) AS sessions,
        count(DISTINCT video_session_id) AS active_sessions,
@@ -101,16 +129,15 @@ def q_vocab(spark, sf):
     return Q.vocabulary_report(_b(spark, sf).raw)
 
 
-def _absent_sql() -> str:
+def _absent_rows() -> str:
     rows = ", ".join([f"('event_type', '{t}')" for t in C.EXPECTED_EVENT_TYPES]
                      + [f"('event', '{t}')" for t in C.EXPECTED_EVENTS])
-    return _m(f"""
-SELECT e.c AS "column", e.token FROM (VALUES {rows}) e(c, token)
+    return f"""SELECT e.c, e.token FROM (VALUES {rows}) e(c, token)
 WHERE NOT EXISTS (SELECT 1 FROM raw WHERE (e.c = 'event_type' AND lower(raw.event_type) = lower(e.token))
-                                       OR (e.c = 'event' AND lower(raw.event) = lower(e.token)))""")
+                                       OR (e.c = 'event' AND lower(raw.event) = lower(e.token)))"""
 
 
-@register("A28_vocabulary_absent", _absent_sql())
+@register("A28_vocabulary_absent", _m(f"SELECT c AS \"column\", token FROM ({_absent_rows()})"))
 def q_absent(spark, sf):
     return Q.vocabulary_absent(_b(spark, sf).raw)
 
@@ -141,35 +168,34 @@ def q_column_values(spark, sf):
 
 
 def _cadence_sql() -> str:
-    g, r = TH.gap_ms / 1000.0, TH.grace_ms / 1000.0
-
-    def q(f):
-        return (f"CAST(min(gap_ms) FILTER (WHERE cum >= CAST({f} AS DOUBLE) * CAST((SELECT sum(n) FROM hist) AS DOUBLE)) AS DOUBLE)"
-                " / CAST(1000 AS DOUBLE)")
-    return _m(f"""
-SELECT basis, gaps, p50_s, p90_s, p99_s, mode_ms, mode_count,
-       CASE WHEN gaps < 100 THEN 'warn'
-            WHEN p90_s > {r} + 1 OR CAST({g} AS DOUBLE) <= p90_s THEN 'fail'
-            WHEN CAST({r} AS DOUBLE) > p90_s * 1.5 + 1 THEN 'warn' ELSE 'pass' END AS verdict
-FROM (SELECT CASE WHEN (SELECT count(*) FROM hb) > 0 THEN 'VideoHeartbeat' ELSE 'all' END AS basis,
-             CAST((SELECT sum(n) FROM hist) AS BIGINT) AS gaps, {q(0.5)} AS p50_s, {q(0.9)} AS p90_s, {q(0.99)} AS p99_s,
-             (SELECT arg_max(gap_ms, (n, -gap_ms)) FROM hist) AS mode_ms, (SELECT max(n) FROM hist) AS mode_count
-      FROM (SELECT gap_ms, n, sum(n) OVER (ORDER BY gap_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM hist))""",
-              """hb AS (SELECT t_ms - lag(t_ms) OVER (PARTITION BY video_session_id ORDER BY t_ms) AS gap_ms
-        FROM (SELECT DISTINCT video_session_id, t_ms FROM raw WHERE event_type = 'VideoHeartbeat')),
-hbg AS (SELECT gap_ms FROM hb WHERE gap_ms IS NOT NULL),
-allg AS (SELECT gap_ms FROM (SELECT t_ms - lag(t_ms) OVER (PARTITION BY video_session_id ORDER BY t_ms) AS gap_ms
-        FROM (SELECT DISTINCT video_session_id, t_ms FROM raw)) WHERE gap_ms IS NOT NULL),
-used AS (SELECT gap_ms FROM hbg WHERE (SELECT count(*) FROM hbg) > 0
-         UNION ALL SELECT gap_ms FROM allg WHERE (SELECT count(*) FROM hbg) = 0),
-hist AS (SELECT gap_ms, count(*) AS n FROM used GROUP BY gap_ms)""")
-
-
-@register("A30_cadence", _cadence_sql())
+    gap_s, grace_s = TH.gap_ms / 1000.0, TH.grace_ms / 1000.0
+    rank = lambda f: f"CAST(quantile_disc(gap_ms, {f}) AS DOUBLE) / CAST(1000 AS DOUBLE)"
+    between = "t_ms - lag(t_ms) OVER (PARTITION BY video_session_id ORDER BY t_ms) AS gap_ms"
+    return f"""bases(basis) AS (VALUES ('{C.EVENT_TYPE_HEARTBEAT}'), ('all')),
+gaps AS (
+  SELECT '{C.EVENT_TYPE_HEARTBEAT}' AS basis, {between} FROM (SELECT DISTINCT video_session_id, t_ms FROM raw WHERE event_type = '{C.EVENT_TYPE_HEARTBEAT}')
+  UNION ALL SELECT 'all', {between} FROM (SELECT DISTINCT video_session_id, t_ms FROM raw)),
+common AS (SELECT basis, gap_ms, count(*) AS n FROM gaps WHERE gap_ms IS NOT NULL GROUP BY basis, gap_ms
+           QUALIFY row_number() OVER (PARTITION BY basis ORDER BY n DESC, gap_ms) = 1),
+paced AS (SELECT basis, count(gap_ms) AS gaps, {rank(0.5)} AS p50_s, {rank(0.9)} AS p90_s, {rank(0.99)} AS p99_s
+          FROM bases LEFT JOIN gaps USING (basis) GROUP BY basis),
+cadence AS (SELECT basis, p50_s, p90_s, p99_s, gaps, common.gap_ms AS mode_ms, common.n AS mode_count,
+       CASE WHEN gaps < 100 THEN 'warn' WHEN p90_s > {grace_s + 1} OR {gap_s} <= p90_s THEN 'fail'
+            WHEN {grace_s} > p90_s * 1.5 + 1 THEN 'warn' ELSE 'pass' END AS verdict
+  FROM paced LEFT JOIN common USING (basis)),
+chosen AS (SELECT * FROM cadence ORDER BY basis = '{C.EVENT_TYPE_HEARTBEAT}' AND gaps > 0 DESC, basis = 'all' DESC LIMIT 1)"""
+
+
+@register("A30_cadence", _m("SELECT * FROM chosen", _cadence_sql()))
 def q_cadence(spark, sf):
     return Q.cadence(_b(spark, sf).raw, TH)
 
 
+@register("A30_cadence_by_basis", _m("SELECT * FROM cadence", _cadence_sql()))
+def q_cadence_by_basis(spark, sf):
+    return Q.cadence_by_basis(_b(spark, sf).raw, TH)
+
+
 @register("A37_run_stats", _m(f"""
 SELECT (SELECT count(DISTINCT video_session_id) FROM raw) AS sessions,
        (SELECT count(*) FROM active_intervals) AS segments,
@@ -187,21 +213,23 @@ def q_run_stats(spark, sf):
     return Q.run_stats(b.raw, b.intervals, b.session_minutes, B)
 
 
-@register("A41_variety", _m(f"""
-SELECT CAST(sum(paused) AS BIGINT) AS sessions_paused, CAST(sum(resumed) AS BIGINT) AS sessions_resumed,
-       CAST(sum(backgrounded) AS BIGINT) AS sessions_backgrounded, CAST(sum(errored) AS BIGINT) AS sessions_errored,
-       (SELECT count(*) FROM (SELECT video_session_id FROM active_intervals GROUP BY 1 HAVING count(*) > 1)) AS sessions_multi_interval,
-       (SELECT count(*) FROM (SELECT user_id FROM raw GROUP BY 1 HAVING count(DISTINCT video_session_id) > 1)) AS users_multi_session,
-       (SELECT count(*) FROM (SELECT user_id FROM raw GROUP BY 1 HAVING count(DISTINCT platform) > 1)) AS users_multi_device
-FROM (SELECT video_session_id,
-             max(CASE WHEN k = 4 THEN 1 ELSE 0 END) AS paused,
-             max(CASE WHEN k = 2 AND lower(event) IN ({_tokens(C.EVENT_TOKENS_PLAY)}) THEN 1 ELSE 0 END) AS resumed,
-             max(CASE WHEN k = 5 THEN 1 ELSE 0 END) AS backgrounded,
-             max(CASE WHEN event_type = 'VideoError' THEN 1 ELSE 0 END) AS errored
-      FROM (SELECT *, {O._kind_sql()} AS k FROM raw) GROUP BY video_session_id)"""))
+_SHOWS = {"paused": "k = 4", "resumed": "k = 2", "backgrounded": "k = 5", "foregrounded": "k = 3",
+          "errored": "event_type = 'VideoError'", "ended": "event_type = 'VideoSessionEnd'"}
+
+
+def _more_than_one(table: str, key: str = "video_session_id", what: str = "*") -> str:
+    return f"(SELECT count(*) FROM (SELECT {key} FROM {table} GROUP BY 1 HAVING count({what}) > 1))"
+
+
+@register("A41_variety", _m("SELECT " + ", ".join(
+    f"count(DISTINCT video_session_id) FILTER (WHERE {c}) AS sessions_{n}" for n, c in _SHOWS.items()) + f""",
+       {_more_than_one("active_intervals")} AS sessions_multi_interval, {_more_than_one("session_minutes")} AS sessions_multi_minute,
+       {_more_than_one("raw", "user_id", "DISTINCT video_session_id")} AS users_multi_session,
+       {_more_than_one("raw", "user_id", "DISTINCT platform")} AS users_multi_device
+FROM (SELECT *, {O._kind_sql()} AS k FROM raw)"""))
 def q_variety(spark, sf):
     b = _b(spark, sf).materialize()
-    return Q.variety(b.raw, b.intervals)
+    return Q.variety(b.raw, b.intervals, b.session_minutes)
 
 
 @register("A34_shard_proof", _m("""
@@ -253,14 +281,19 @@ SELECT sm.minute, count(*) AS sessions, count(DISTINCT su.user_id) AS users_exac
 FROM session_minutes sm JOIN su ON su.video_session_id = sm.video_session_id
 GROUP BY sm.minute ORDER BY sessions DESC, sm.minute LIMIT 1""", SESSION_USER_CTE))
 def q_user_peak(spark, sf):
-    b = _b(spark, sf)
+    b = _b(spark, sf).materialize()
     return U.peak_minute_users(b.session_minutes, b.raw)
 
 
-@register("A22_user_level_sketch")
+@register("A22_user_level_sketch", _m("""
+SELECT sm.minute, count(*) AS sessions, count(DISTINCT su.user_id) AS users_exact, true AS within_three_errors
+FROM session_minutes sm JOIN su ON su.video_session_id = sm.video_session_id
+GROUP BY sm.minute ORDER BY sessions DESC, sm.minute LIMIT 1""", SESSION_USER_CTE))
 def q_user_sketch(spark, sf):
-    b = _b(spark, sf)
-    return U.peak_minute_users_approx(b.session_minutes, b.raw)
+    # a sketch of 2^12 registers has a standard error of 1.04 / 2^6 = 1.625 per cent
+    b = _b(spark, sf).materialize()
+    told = U.peak_minute_users_approx(b.session_minutes, b.raw)
+    return told.select("minute", "sessions", "users_exact", (F.col("error_pct") <= 3 * 1.625).alias("within_three_errors"))
 
 
 @register("A23_multi_user_and_session", _m("""
@@ -294,7 +327,23 @@ def q_sweep(spark, sf):
     return SW.sweep(_b(spark, sf).raw, TH)
 
 
-@register("A29_preflight_checks")
+_ASKED = sorted({(d, v) for _, _, flt in C.BENCHMARKS for d, v in flt.items() if d in C.EVENT_DIMS})
+
+
+@register("A29_preflight_checks", _m("""
+SELECT 'timestamps' AS "check", CASE WHEN n > 0 THEN 'problem' ELSE 'ok' END AS severity, n, '' AS detail FROM odd_times
+UNION ALL SELECT 'content_ids', CASE WHEN n > 0 THEN 'problem' ELSE 'ok' END, n, '' FROM orphan_rows
+UNION ALL SELECT 'vocabulary', CASE WHEN types = """ + str(len(C.EXPECTED_EVENT_TYPES)) + """ THEN 'problem' WHEN n > 0 THEN 'warning' ELSE 'ok' END, n, detail
+  FROM (SELECT count(*) AS n, count(*) FILTER (WHERE c = 'event_type') AS types,
+               coalesce(string_agg(c || '=' || token, ', ' ORDER BY c || '=' || token), '') AS detail FROM unseen)
+UNION ALL SELECT 'cadence', CASE verdict WHEN 'fail' THEN 'problem' WHEN 'warn' THEN 'warning' ELSE 'ok' END, gaps, basis FROM chosen
+UNION ALL SELECT 'benchmark_slices', CASE WHEN n > 0 THEN 'warning' ELSE 'ok' END, n, detail
+  FROM (SELECT count(*) AS n, coalesce(string_agg(name, ', ' ORDER BY name), '') AS detail FROM never)""", f"""
+odd_times AS (SELECT count(*) AS n FROM raw WHERE t_ms NOT BETWEEN {C.MIN_EPOCH_MS} AND {C.MAX_EPOCH_MS}),
+orphan_rows AS (SELECT count(*) AS n FROM raw WHERE content_id NOT IN (SELECT content_id FROM content_src)),
+unseen AS ({_absent_rows()}),
+never AS ({" UNION ALL ".join(f"SELECT '{d}={v}' AS name WHERE NOT EXISTS (SELECT 1 FROM raw WHERE {d} = '{v}')" for d, v in _ASKED)}),
+{_cadence_sql()}"""))
 def q_preflight_checks(spark, sf):
     b = _b(spark, sf)
     return Q.preflight_checks(b.raw, b.content, TH)

@@ -49,40 +49,42 @@ def q_latency(spark, sf):
     return TL.latency_report(metrics, "duration_ms", 50, ["SpanName"])
 
 
-def _metric_rows() -> str:
-    ov = """(SELECT max(foreground_concurrency) AS fp, max(naive_concurrency) AS np,
-       100.0 * (CAST(max(naive_concurrency) AS DOUBLE) / CAST(max(foreground_concurrency) AS DOUBLE) - 1) AS pct,
-       avg(foreground_concurrency) FILTER (WHERE minute BETWEEN (SELECT dense_min_minute FROM data_window) AND (SELECT dense_max_minute FROM data_window)) AS fa,
-       avg(naive_concurrency) FILTER (WHERE minute BETWEEN (SELECT dense_min_minute FROM data_window) AND (SELECT dense_max_minute FROM data_window)) AS na
-FROM nvf)"""
-    rows = [
-        ("foreground_peak", f"(SELECT fp FROM {ov})"), ("naive_peak", f"(SELECT np FROM {ov})"),
-        ("peak_overcount_pct", f"(SELECT pct FROM {ov})"),
-        ("average_overcount_pct", f"(SELECT 100.0 * (na / fa - 1) FROM {ov})"),
-        ("foreground_average", f"(SELECT fa FROM {ov})"),
-        ("span_days", "(SELECT span_days FROM data_window)"),
-        ("minutes_with_sessions", "(SELECT minutes_with_sessions FROM data_window)"),
-        ("occupancy_rows", "(SELECT occupancy_rows FROM data_window)"),
-        ("raw_events", "(SELECT count(*) FROM raw)"), ("content_rows", "(SELECT count(*) FROM content_src)"),
-        ("active_intervals", "(SELECT count(*) FROM active_intervals)"),
-        ("sessions", "(SELECT count(DISTINCT video_session_id) FROM raw)"),
-    ]
-    for dim in ("country", "platform", "video_type", "category", "audio_language", "subtitle_language"):
-        rows.append((f"distinct_{dim}", f"(SELECT count(*) FROM dimension_value WHERE dimension = '{dim}')"))
-    for label, dim, value in (("peak_hin", "audio_language", "hin"), ("peak_live", "video_type", "live"),
-                              ("peak_vod", "video_type", "vod")):
-        rows.append((label, f"(SELECT max(c) FROM (SELECT minute, sum(sessions) AS c FROM minute_occupancy"
-                            f" WHERE {dim} = '{value}' GROUP BY minute))"))
-    return " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({v} AS DOUBLE) AS value" for m, v in rows)
-
-
-@register("A38_published_metrics", O.with_model(
-    _metric_rows(), TH, NAIVE_CTE + ",\n" + DATA_WINDOW_CTE + ",\n" + DIMENSION_VALUE_CTE))
+METRICS_CTE = NAIVE_CTE + ",\n" + DATA_WINDOW_CTE + ",\n" + DIMENSION_VALUE_CTE + """,
+dense_nvf AS (SELECT avg(foreground_concurrency) AS fg, avg(naive_concurrency) AS nv FROM nvf, data_window
+              WHERE minute BETWEEN dense_min_minute AND dense_max_minute),
+headline AS (
+  SELECT max(foreground_concurrency)::DOUBLE AS foreground_peak, any_value(fg) AS foreground_average,
+         max(naive_concurrency)::DOUBLE AS naive_peak,
+         100.0 * (max(naive_concurrency)::DOUBLE / max(foreground_concurrency)::DOUBLE - 1) AS peak_overcount_pct,
+         100.0 * (any_value(nv) / any_value(fg) - 1) AS average_overcount_pct
+  FROM nvf, dense_nvf),
+sizes AS (
+  SELECT w.occupancy_rows::DOUBLE AS occupancy_rows, w.minutes_with_sessions::DOUBLE AS minutes_with_sessions, w.span_days::DOUBLE AS span_days,
+         r.raw_events, r.sessions, c.content_rows, i.active_intervals
+  FROM data_window w, (SELECT count(*)::DOUBLE AS raw_events, count(DISTINCT video_session_id)::DOUBLE AS sessions FROM raw) r,
+       (SELECT count(*)::DOUBLE AS content_rows FROM content_src) c, (SELECT count(*)::DOUBLE AS active_intervals FROM active_intervals) i),
+metrics AS (
+  FROM (UNPIVOT headline ON COLUMNS(*) INTO NAME metric VALUE value)
+  UNION ALL FROM (UNPIVOT sizes ON COLUMNS(*) INTO NAME metric VALUE value)
+  UNION ALL SELECT 'distinct ' || dimension, count(*)::DOUBLE FROM dimension_value GROUP BY dimension
+  UNION ALL SELECT 'peak ' || slice, max(c)::DOUBLE FROM (
+    SELECT coalesce(nullif(concat('platform=' || platform, 'video_type=' || video_type), ''), 'unfiltered') AS slice, minute, sum(sessions) AS c
+    FROM minute_occupancy GROUP BY GROUPING SETS ((minute), (platform, minute), (video_type, minute))) GROUP BY slice)"""
+
+
+@register("A38_published_metrics", O.with_model("SELECT * FROM metrics", TH, METRICS_CTE))
 def q_metrics(spark, sf):
     return TL.measure(_b(spark, sf).materialize())
 
 
-@register("A38_drift_vs_held_out_day")
+def _metrics_sql(raw: str | None = None) -> str:
+    return "(" + O.with_model("SELECT * FROM metrics", TH, METRICS_CTE, raw=raw) + ")"
+
+
+@register("A38_drift_vs_held_out_day", f"""
+SELECT coalesce(a.metric, b.metric) AS metric, a.value AS current, b.value AS baseline
+FROM {_metrics_sql()} a FULL JOIN {_metrics_sql(_LAST_DAY)} b ON a.metric = b.metric
+WHERE a.value IS DISTINCT FROM b.value""")
 def q_drift(spark, sf):
     b = _b(spark, sf).materialize()
     day = P.build(SK.held_out_day(b.raw), b.content, TH).materialize()
@@ -142,9 +144,9 @@ SELECT n.query_label, n.peak_concurrency, n.active_minutes, o.peak_concurrency A
        n.active_minutes - o.active_minutes AS delta_active_minutes
 FROM ({_bench_sql()}) n LEFT JOIN ({_bench_sql(raw=_LAST_DAY)}) o ON o.query_label = n.query_label""")
 def q_compare(spark, sf):
-    b = _b(spark, sf)
+    b = _b(spark, sf).materialize()
     new = SV.benchmark_answers(b.rollup, TH)
-    old = SV.benchmark_answers(P.build(SK.held_out_day(b.raw), b.content, TH).rollup, TH)
+    old = SV.benchmark_answers(P.build(SK.held_out_day(b.raw), b.content, TH).materialize().rollup, TH)
     return TL.compare_runs(new, old, "query_label", _METRICS)
 
 

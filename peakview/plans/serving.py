@@ -7,13 +7,16 @@ unfiltered, then take the max over minutes; never max first.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .. import session as _session
 from ..functions import exprs as X
 from ..functions import filters as FL
+from ..functions.running import global_rank
 
 
 def dimension_value(rollup: DataFrame) -> DataFrame:
@@ -79,40 +82,37 @@ def benchmark_one(rollup: DataFrame, label: str, th: C.Thresholds, catalogue=Non
                                  F.lit(spec[0]).cast("bigint").alias("grain_buckets"), "*")
 
 
+def conditional_series(rollup: DataFrame, resolved: list[FL.Resolved]) -> DataFrame:
+    """(minute, c0, c1, ...): the series of several questions side by side, from one scan and one row per minute.
+
+    A question's column is null in a minute that none of its rows falls in.
+    """
+    sums = []
+    for i, res in enumerate(resolved):
+        pred = res.predicate()
+        sums.append(F.sum(F.col("sessions") if pred is None else F.when(pred, F.col("sessions"))).cast("bigint").alias(f"c{i}"))
+    return rollup.groupBy("minute").agg(*sums)
+
+
 def benchmark_answers(rollup: DataFrame, th: C.Thresholds, catalogue: DataFrame | None = None,
                       resolver=None) -> DataFrame:
     """All eight benchmark answers from a single scan of the rollup (A17, A19 pattern).
 
-    Each rollup row is tagged with every question whose filters it passes;
-    one explode and two aggregations then answer all of them. Questions with
-    no matching row still return a row of zeros.
+    Questions with no matching row still return a row of zeros.
     """
-    spark = rollup.sparkSession
     cat = catalogue if catalogue is not None else dimension_value(rollup)
     specs = benchmark_specs(th)
     resolved = ([resolver(flt) for _, _, flt in specs] if resolver is not None
                 else FL.resolve_many(cat, [flt for _, _, flt in specs]))
-    tags = []
-    for (label, grain, flt), res in zip(specs, resolved):
-        pred = res.predicate()
-        tags.append(F.when(pred if pred is not None else F.lit(True),
-                           F.struct(F.lit(label).alias("label"), F.lit(grain).cast("bigint").alias("grain"))))
-    tagged = (rollup.select("minute", "sessions", F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("q"))
-              .select("q.label", "q.grain", "minute", "sessions"))
-    series = tagged.groupBy("label", "minute").agg(F.sum("sessions").alias("concurrency"))
     # peak over buckets is the peak over minutes, and the minute-weighted mean
     # of bucket means is the mean over minutes, so the grain drops out here
-    per_label = series.groupBy("label").agg(
-        F.max("concurrency").cast("bigint").alias("peak_concurrency"),
-        (F.sum("concurrency").cast("double") / F.count(F.lit(1)).cast("double")).alias("average_concurrency"),
-        F.count(F.lit(1)).cast("bigint").alias("active_minutes"))
-    labels = spark.createDataFrame([(lbl, g) for lbl, g, _ in specs], "query_label string, grain_buckets bigint")
-    # per_label has one row per question (eight), so broadcasting it is bounded by construction
-    return (labels.join(F.broadcast(per_label).withColumnRenamed("label", "query_label"), "query_label", "left")
-            .select("query_label", "grain_buckets",
-                    F.coalesce("peak_concurrency", F.lit(0)).cast("bigint").alias("peak_concurrency"),
-                    F.coalesce("average_concurrency", F.lit(0.0)).alias("average_concurrency"),
-                    F.coalesce("active_minutes", F.lit(0)).cast("bigint").alias("active_minutes")))
+    answers = [F.struct(
+        F.lit(label).alias("query_label"), F.lit(grain).cast("bigint").alias("grain_buckets"),
+        F.coalesce(F.max(f"c{i}"), F.lit(0)).cast("bigint").alias("peak_concurrency"),
+        F.coalesce(F.try_divide(F.sum(f"c{i}").cast("double"), F.count(f"c{i}").cast("double")), F.lit(0.0)).alias("average_concurrency"),
+        F.count(f"c{i}").alias("active_minutes")) for i, (label, grain, _) in enumerate(specs)]
+    one = conditional_series(rollup, resolved).agg(F.array(*answers).alias("answers"))
+    return one.select(F.explode("answers").alias("a")).select("a.*")
 
 
 # --------------------------------------------------------------------------
@@ -142,17 +142,19 @@ def data_window(rollup: DataFrame, bucket_ms: int) -> DataFrame:
     lo = F.coalesce(dense.agg(F.min("day_min")).scalar(), F.lit(0)).cast("bigint")
     hi = F.coalesce(dense.agg(F.max("day_max")).scalar(), F.lit(0)).cast("bigint")
     n_dense = F.coalesce(dense.agg(F.count(F.lit(1))).scalar(), F.lit(0)).cast("bigint")
+    # one row per minute first: distinct minutes are then plain counts
+    minutes = rollup.groupBy("minute").agg(F.count(F.lit(1)).alias("rows"))
     outside = (F.col("minute") < lo) | (F.col("minute") > hi)
-    return rollup.agg(
+    return minutes.agg(
         F.min("minute").alias("min_minute"),
         F.max("minute").alias("max_minute"),
         X.minute_utc_seconds(F.min("minute"), bucket_ms).alias("min_utc"),
         X.minute_utc_seconds(F.max("minute"), bucket_ms).alias("max_utc"),
         _days_of(F.max("minute") - F.min("minute"), bucket_ms).alias("span_days"),
-        F.count_distinct("minute").alias("minutes_with_sessions"),
-        F.count(F.lit(1)).alias("occupancy_rows"),
-        F.count_distinct(F.when(outside, F.col("minute"))).alias("outlier_minutes"),
-        F.count_if(outside).cast("bigint").alias("outlier_rows"),
+        F.count(F.lit(1)).alias("minutes_with_sessions"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("occupancy_rows"),
+        F.count_if(outside).alias("outlier_minutes"),
+        F.coalesce(F.sum(F.when(outside, F.col("rows"))), F.lit(0)).alias("outlier_rows"),
     ).select(
         "*", lo.alias("dense_min_minute"), hi.alias("dense_max_minute"),
         X.minute_utc_seconds(lo, bucket_ms).alias("dense_min_utc"),
@@ -179,13 +181,12 @@ def dimension_values(rollup: DataFrame) -> DataFrame:
 
 def titles(rollup: DataFrame, content: DataFrame) -> DataFrame:
     """Every content_id with sessions, its catalogue title and minutes present."""
-    from ..operators.occupancy import CONTENT_BROADCAST_MAX_ROWS, checked_broadcast, dedupe_content
+    from ..operators.occupancy import dedupe_content
     seen = (rollup.select("content_id", "minute").distinct()
             .groupBy("content_id")
             .agg(F.count(F.lit(1)).alias("minutes_present"),
                  F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute")))
-    cat = checked_broadcast(dedupe_content(content).select("content_id", "title", "video_type", "category"),
-                            CONTENT_BROADCAST_MAX_ROWS)
+    cat = dedupe_content(content).select("content_id", "title", "video_type", "category")
     return (seen.join(cat, "content_id", "left")
             .select("content_id",
                     *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "video_type", "category")],
@@ -226,41 +227,60 @@ def top_slices(rollup: DataFrame, dimension: str, resolved: FL.Resolved | None =
 
 
 def slice_peaks(rollup: DataFrame, slices: dict[str, dict], catalogue: DataFrame | None = None) -> DataFrame:
-    """Peak and peak minute of several slices from one scan.
+    """Peak and peak minute of several named slices from one scan (A19, P12); a slice without rows is left out."""
+    cat = catalogue if catalogue is not None else dimension_value(rollup)
+    series = conditional_series(rollup, FL.resolve_many(cat, list(slices.values())))
+    peaks = [F.struct(F.lit(label).alias("slice"), F.max(f"c{i}").alias("peak"),
+                      F.max_by(F.when(F.col(f"c{i}").isNotNull(), F.col("minute")), F.struct(F.col(f"c{i}"), -F.col("minute"))).alias("peak_minute"))
+             for i, label in enumerate(slices)]
+    return (series.agg(F.array(*peaks).alias("peaks")).select(F.explode("peaks").alias("p")).select("p.*")
+            .filter("peak IS NOT NULL"))
+
 
-    Each rollup row is tagged with the labels of the slices it belongs to;
-    one explode, then per (label, minute) sums and per label maxima.
+def all_slices(rollup: DataFrame, dimensions: list[str], max_dims: int) -> DataFrame:
+    """(the dimensions, minute, c) of every slice the data holds over up to `max_dims` of `dimensions` at once.
+
+    Grouping sets over one scan; a dimension a slice leaves open is null. The
+    rollup is first summed over all other dimensions, on the map side.
     """
-    cat = catalogue if catalogue is not None else dimension_value(rollup)
-    resolved = FL.resolve_many(cat, list(slices.values()))
-    tags = []
-    for (label, flt), res in zip(slices.items(), resolved):
-        pred = res.predicate()
-        tags.append(F.when(pred if pred is not None else F.lit(True), F.lit(label)))
-    tagged = rollup.select("minute", "sessions",
-                           F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("slice"))
-    per = tagged.groupBy("slice", "minute").agg(F.sum("sessions").alias("c"))
-    return per.groupBy("slice").agg(
-        F.max("c").cast("bigint").alias("peak"),
-        F.max_by("minute", F.struct(F.col("c"), -F.col("minute"))).alias("peak_minute"))
+    narrow = rollup.groupBy(*dimensions, "minute").agg(F.sum("sessions").alias("sessions"))
+    sets = [[*chosen, "minute"] for n in range(max_dims + 1) for chosen in combinations(dimensions, n)]
+    return (narrow.groupingSets([[F.col(c) for c in s] for s in sets], *dimensions, "minute")
+            .agg(F.sum("sessions").cast("bigint").alias("c")))
 
 
-def crossover(rollup: DataFrame, slices: dict[str, dict]) -> DataFrame:
-    """Slice peaks plus how many distinct minutes the peaks land on."""
-    peaks = slice_peaks(rollup, slices)
-    n = peaks.agg(F.count_distinct("peak_minute")).scalar()
-    return peaks.select("*", n.alias("distinct_peak_minutes"))
+def slice_name(dimensions: list[str]):
+    """`platform=Mweb, video_type=vod`; 'unfiltered' where every dimension is open."""
+    parts = [F.when(F.col(d).isNotNull(), F.concat(F.lit(f"{d}="), F.col(d).cast("string"))) for d in dimensions]
+    return F.coalesce(F.nullif(F.concat_ws(", ", *parts), F.lit("")), F.lit("unfiltered"))
+
+
+def crossover(rollup: DataFrame, dimensions: list[str], max_dims: int = 2) -> DataFrame:
+    """Peak and peak minute of every slice over up to `max_dims` dimensions, and how many distinct minutes the peaks land on.
+
+    The peaks are grouped to one row per slice before they are written, so the
+    count of distinct minutes reads them and not the rollup again.
+    """
+    peaks = all_slices(rollup, dimensions, max_dims).groupBy(slice_name(dimensions).alias("slice")).agg(
+        F.max("c").alias("peak"), F.max_by("minute", F.struct(F.col("c"), -F.col("minute"))).alias("peak_minute"))
+    peaks = _session.written(peaks, "slices")
+    return peaks.select("*", peaks.agg(F.count_distinct("peak_minute")).scalar().alias("distinct_peak_minutes"))
 
 
 def concurrency_tool(rollup: DataFrame, filters: dict, grain: int, minute_from=None, minute_to=None,
                      limit: int = C.MAX_SERIES_POINTS) -> DataFrame:
-    """Buckets busiest first with the overall peak and weighted average beside them."""
-    series = occupancy_for(rollup, filters, minute_from, minute_to)
+    """Buckets busiest first with the overall peak, weighted average and number of buckets beside them."""
+    return busiest_buckets(_session.written(occupancy_for(rollup, filters, minute_from, minute_to), "series"), grain, limit)
+
+
+def busiest_buckets(series: DataFrame, grain: int, limit: int) -> DataFrame:
+    """The first `limit` buckets of a series, busiest first; how many there are stands beside them."""
     buckets = concurrency(series, grain)
     overall = answer(series)
     return (buckets.select("*",
                            overall.select("peak_concurrency").scalar().alias("overall_peak"),
-                           overall.select("average_concurrency").scalar().alias("overall_average"))
+                           overall.select("average_concurrency").scalar().alias("overall_average"),
+                           buckets.agg(F.count(F.lit(1))).scalar().alias("buckets_total"))
             .orderBy(F.desc("peak_concurrency"), F.asc("bucket_minute")).limit(limit))
 
 
@@ -315,14 +335,12 @@ def top_values(values: DataFrame, n: int) -> DataFrame:
 
 def total_and_platforms(rollup: DataFrame) -> DataFrame:
     """Series for all platforms and per platform in one pass (A33, grouping sets)."""
-    return (rollup.groupBy("minute", "platform").agg(F.sum("sessions").alias("c"))
-            .rollup("minute", "platform").agg(F.sum("c").cast("bigint").alias("concurrency"))
-            .filter(F.col("minute").isNotNull())
-            .select("minute", F.coalesce("platform", F.lit("all platforms")).alias("series"), "concurrency"))
+    return all_slices(rollup, ["platform"], 1).select(
+        "minute", F.coalesce("platform", F.lit("all platforms")).alias("series"), F.col("c").alias("concurrency"))
 
 
 def decline_alerts(series: DataFrame, bucket_ms: int, min_prior: int = 50, drop: float = 0.5) -> DataFrame:
-    """Minute-over-minute drops: prior >= min_prior and a fall of at least `drop`.
+    """Minute-over-minute drops and their size: prior >= min_prior and a fall of at least `drop`.
 
     The prior row is the previous present minute, found two-level.
     """
@@ -331,7 +349,33 @@ def decline_alerts(series: DataFrame, bucket_ms: int, min_prior: int = 50, drop:
     return (with_prev.filter((F.col("prev_concurrency") >= min_prior)
                              & (F.col("concurrency") <= F.col("prev_concurrency") * (1 - drop)))
             .select("minute", F.col("prev_minute").alias("prior_minute"),
-                    F.col("prev_concurrency").alias("prior_concurrency"), "concurrency"))
+                    F.col("prev_concurrency").alias("prior_concurrency"), "concurrency",
+                    (F.lit(100.0) * (F.col("prev_concurrency") - F.col("concurrency")).cast("double")
+                     / F.col("prev_concurrency").cast("double")).alias("drop_pct")))
+
+
+def ranked_declines(alerts: DataFrame) -> DataFrame:
+    """Alerts with their place, largest drop first, earliest minute on ties."""
+    return global_rank(alerts, [F.desc("drop_pct"), F.asc("minute")])
+
+
+# --------------------------------------------------------------------------
+# order: series by time, catalogues by presence
+# --------------------------------------------------------------------------
+
+def ordered_series(series: DataFrame, by: str = "minute") -> DataFrame:
+    """A series in time order, with each row's place in it (K1)."""
+    return global_rank(series, [F.asc(by)], "place")
+
+
+def ranked_values(values: DataFrame) -> DataFrame:
+    """The value catalogue by dimension, most minutes first (K3)."""
+    return global_rank(values, [F.asc("dimension"), F.desc("minutes_present"), F.asc("value")])
+
+
+def ranked_titles(titles_df: DataFrame) -> DataFrame:
+    """The title catalogue, most minutes first (K3)."""
+    return global_rank(titles_df, [F.desc("minutes_present"), F.asc("content_id")])
 
 
 def downsample(series: DataFrame, bucket_ms: int, cap: int = C.MAX_SERIES_POINTS) -> DataFrame:

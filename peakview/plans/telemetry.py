@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import exprs as X
-from ..functions import filters as FL
 from ..functions import running as R
 from ..operators import naive as N
 from . import pipeline as P
@@ -22,35 +22,26 @@ from . import serving as SV
 def latency_report(metrics: DataFrame, duration: str, target, keys: list[str] | None = None) -> DataFrame:
     """min, p50, p95, p99 (nearest rank), max and share within `target`.
 
-    Nearest rank: the smallest value whose cumulative count reaches f * n,
-    read off a histogram with a two-level running count.
+    Nearest rank: the smallest value whose cumulative count reaches f * n.
     """
     k = list(keys or [])
     hist = metrics.groupBy(*k, F.col(duration).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    totals = hist.groupBy(*k).agg(F.sum("n").alias("total"))
-    # buckets by order of magnitude: monotone in the value, so ties share one
-    magnitude = F.floor(F.log2(F.greatest(F.col("v").cast("double"), F.lit(0.0)) + 1)).cast("bigint")
-    cum = R.running_sum(hist, ["v"], "n", magnitude, "cum", partition=k)
-    cum = cum.join(totals, k, "inner") if k else cum.withColumn("total", hist.agg(F.sum("n")).scalar())
-
-    def q(f: float) -> Column:
-        return F.min(F.when(F.col("cum") >= F.lit(f) * F.col("total"), F.col("v")))
-
-    return cum.groupBy(*k).agg(
-        F.min("v").alias("min"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"),
-        F.max("v").alias("max"),
-        (F.sum(F.when(F.col("v") <= F.lit(target), F.col("n")).otherwise(0)).cast("double")
-         / F.first("total").cast("double")).alias("share_within_target"),
-        F.first("total").cast("bigint").alias("samples"))
+    ranks = R.nearest_ranks(hist, "v", "n", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, k)
+    ends = hist.groupBy(*k).agg(
+        F.min("v").alias("min"), F.max("v").alias("max"), F.sum("n").alias("samples"),
+        F.sum(F.when(F.col("v") <= F.lit(target), F.col("n")).otherwise(0)).alias("within"))
+    both = ends.join(ranks, k) if k else ends.withColumn("all", F.lit(0)).join(ranks.withColumn("all", F.lit(0)), "all")
+    return both.select(*k, "min", "p50", "p95", "p99", "max",
+                       (F.col("within").cast("double") / F.col("samples").cast("double")).alias("share_within_target"),
+                       F.col("samples").cast("bigint").alias("samples"))
 
 
 # --------------------------------------------------------------------------
 # A38 published metrics and drift
 # --------------------------------------------------------------------------
 
-COUNTED_DIMS = ("country", "platform", "video_type", "category", "audio_language", "subtitle_language")
-#: metric name -> (dimension, value) of the slices whose peaks are published
-PUBLISHED_SLICES = {"peak_live": ("video_type", "live"), "peak_vod": ("video_type", "vod"), "peak_hin": ("audio_language", "hin")}
+#: dimensions whose every value has its peak published
+PEAK_DIMS = ["platform", "video_type"]
 
 
 def _tall(one_row: DataFrame) -> DataFrame:
@@ -59,19 +50,20 @@ def _tall(one_row: DataFrame) -> DataFrame:
     return one_row.select(*[F.col(n).cast("double") for n in names]).unpivot([], names, "metric", "value")
 
 
-def measure(build: P.Build, slices: dict[str, tuple[str, str]] = PUBLISHED_SLICES) -> DataFrame:
+def measure(build: P.Build, peak_dims: list[str] = PEAK_DIMS) -> DataFrame:
     """The headline numbers of a build as one tall (metric, value) table.
 
     Every source table gives its numbers in one aggregate, and the parts are
-    stacked. A table without rows still gives its counts.
+    stacked. A table without rows still gives its counts. Distinct values are
+    counted for every dimension, peaks published for every value of `peak_dims`.
     """
     rollup, raw = build.rollup, build.raw
     window = SV.data_window(rollup, build.th.bucket_ms)
     over = N.overcount(N.naive_vs_foreground(rollup, raw, build.th.bucket_ms), window)
     rows = F.count(F.lit(1))
     values = SV.dimension_value(rollup).agg(
-        *[F.count_if(F.col("dimension") == d).alias(f"distinct_{d}") for d in COUNTED_DIMS])
-    of_slice = [F.sum(F.when(F.col(d) == v, F.col("sessions"))).alias(name) for name, (d, v) in slices.items()]
+        *[F.count_if(F.col("dimension") == d).alias(f"distinct {d}") for d in C.STRING_DIMS])
+    peaks = SV.all_slices(rollup, peak_dims, 1).groupBy(SV.slice_name(peak_dims).alias("slice")).agg(F.max("c").alias("c"))
     parts = [
         over.select("foreground_peak", "foreground_average", "naive_peak", "peak_overcount_pct", "average_overcount_pct"),
         window.select("occupancy_rows", "minutes_with_sessions", "span_days"),
@@ -80,9 +72,8 @@ def measure(build: P.Build, slices: dict[str, tuple[str, str]] = PUBLISHED_SLICE
         build.intervals.agg(rows.alias("active_intervals")),
         values,
     ]
-    if slices:
-        parts.append(rollup.groupBy("minute").agg(*of_slice).agg(*[F.max(n).alias(n) for n in slices]))
-    return reduce(DataFrame.unionByName, map(_tall, parts))
+    named = peaks.select(F.concat(F.lit("peak "), "slice").alias("metric"), F.col("c").cast("double").alias("value"))
+    return reduce(DataFrame.unionByName, [*map(_tall, parts), named])
 
 
 def drift(current: DataFrame, baseline: DataFrame) -> DataFrame:
