@@ -95,8 +95,7 @@ def test_deltas_rebuild_the_series_and_sum_to_zero(spark):
     b = P.driver_build(spark, SF0001, C.DRIVER)
     d = D.minute_deltas(b.session_minutes)
     assert d.agg(F.sum("delta")).first()[0] == 0
-    lo, hi = b.rollup.agg(F.min("minute"), F.max("minute")).first()
-    diff = Q.two_way_difference(SV.occupancy(b.rollup, FL.Resolved()), D.series_from_deltas(d, lo, hi, C.HOUR_MS),
+    diff = Q.two_way_difference(SV.occupancy(b.rollup, FL.Resolved()), D.series_from_deltas(d, b.session_minutes, C.HOUR_MS),
                                 ["minute", "concurrency"]).first()
     assert (diff["only_left"], diff["only_right"]) == (0, 0)
 
