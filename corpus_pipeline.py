@@ -2,12 +2,13 @@
 
 Every stage but the last returns the columns of `documents`. Rows with null
 columns, blank texts and repeated rows pass by the rules in each stage's docstring; an
-empty table gives an empty result; further columns are carried along.
+empty table gives an empty result; further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,21 @@ from peakview.session import scratch_path
 #: a document goes if its language can't be told at least so surely
 LEAST_SCORE = 0.5
 MIX_BLOCK = 64
-MIX_PERIOD = 1000
+#: the columns a stage reads; any others only travel
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def carrying(stage):
+    """A stage that sees further columns under names of their own, so that none clashes with what it makes."""
+    @wraps(stage)
+    def renamed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"further_column_{i}" for i, c in enumerate(c for c in docs.columns if c not in COLUMNS)}
+        out = stage(spark, docs.withColumnsRenamed(names), sf_dir)
+        return out.withColumnsRenamed({safe: c for c, safe in names.items() if safe in out.columns})
+    return renamed
+
+
+@carrying
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID trained on the labelled documents: texts without a letter and those of no clear language go."""
     model = langid.train(docs)
@@ -30,6 +43,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.filter((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@carrying
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near duplicates (five words, Jaccard 0.8): of each linked group one row stays.
 
@@ -59,6 +73,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return once.unionByName(twice)
 
 
+@carrying
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data becomes its kind's name in angle brackets; n_chars follows the text."""
     masked = pii.mask(docs)
@@ -67,19 +82,40 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return masked.select(*docs.columns)
 
 
+def mix_positions(docs: DataFrame) -> DataFrame:
+    """(mix_key, mix_source, position): the place of every row in the Pfair mix of the sources.
+
+    A row is known by the hash of id and text, so rows without an id are mixed like others; equal rows of a source
+    share the first of their places.
+    """
+    rows = docs.select(pii.row_key().alias("mix_key"), "source")
+    plan = mixing.schedule(rows, block=MIX_BLOCK, id_col="mix_key")
+    return plan.groupBy(F.col("doc_id").alias("mix_key"), F.col("source").alias("mix_source")).agg(F.min("position").alias("position"))
+
+
+def with_position(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """`rows` (with mix_key and source) and their position among `docs`."""
+    plan = mix_positions(docs).withColumnRenamed("mix_key", "placed_key")
+    return (rows.join(plan, F.expr("mix_key = placed_key") & F.col("source").cast("string").eqNullSafe(F.col("mix_source")))
+            .drop("placed_key", "mix_source", "mix_key"))
+
+
+@carrying
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the Pfair mix: the files, and the rows in each, follow the schedule."""
-    plan = mixing.schedule(docs.select("doc_id", "source"), block=MIX_BLOCK, period=MIX_PERIOD)
-    # equal rows of one id take their places in turn
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.min("position").alias("_position"))
-    placed = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    """All documents in the order of the Pfair mix: the files, and the rows in each, follow the schedule.
+
+    The columns of documents hold no place, so the last stage, which sees the same rows, returns it again.
+    """
+    placed = with_position(docs.withColumn("mix_key", pii.row_key()), docs)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartitionByRange(parts, "_position").sortWithinPartitions("_position").select(*docs.columns)
+    return placed.repartitionByRange(parts, "position").sortWithinPartitions("position").select(*docs.columns)
 
 
+@carrying
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, and the digests of the ids and of the text decoded from them."""
-    return bpe.digests(docs, public_vocabulary(), keep=("lang", "source"))
+    """doc_id, lang, source, the position in the mix, n_tokens, and the digests of the ids and of the text decoded from them."""
+    keyed = docs.withColumn("mix_key", pii.row_key())
+    return with_position(bpe.digests(keyed, public_vocabulary(), keep=("lang", "source", "mix_key")), docs)
 
 
 STAGES = [
