@@ -29,9 +29,12 @@ def carrying(stage):
     """A stage that sees further columns under names of their own, so that none clashes with what it makes."""
     @wraps(stage)
     def renamed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        names = {c: f"further_column_{i}" for i, c in enumerate(c for c in docs.columns if c not in COLUMNS)}
-        out = stage(spark, docs.withColumnsRenamed(names), sf_dir)
-        return out.withColumnsRenamed({safe: c for c, safe in names.items() if safe in out.columns})
+        further = iter(range(len(docs.columns)))
+        names = {c: c if c in COLUMNS else f"further_column_{next(further)}" for c in docs.columns}
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        out = stage(spark, docs.select(*[quoted(c).alias(safe) for c, safe in names.items()]), sf_dir)
+        given = {safe: c for c, safe in names.items()}
+        return out.select(*[quoted(c).alias(given.get(c, c)) for c in out.columns])
     return renamed
 
 
