@@ -130,22 +130,22 @@ def nearest_ranks(hist: DataFrame, value: str, count: str, fractions: dict[str,
     hist = _session.written(hist.select(*part, F.col(value).cast("bigint").alias("_v"), F.col(count).alias("_n")), "ranks")
     ends = hist.groupBy(*part).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("total"))
     asked = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(f)).alias("f")) for n, f in fractions.items()])
-    ranges = _session.written(ends.select(*part, "total", F.explode(asked).alias("q"), "_lo", "_hi", F.lit(0).cast("bigint").alias("_below")), "ranks")
+    ranges = _session.written(ends.select(*part, "total", F.explode(asked).alias("_q"), "_lo", "_hi", F.lit(0).cast("bigint").alias("_below")), "ranks")
     wide = ranges.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0]
     while wide:  # at most log(range) / log(ways) rounds
         step = F.floor((F.col("_hi") - F.col("_lo")) / F.lit(ways)).cast("bigint") + 1
         inside = hist.join(ranges, part).filter("_v BETWEEN _lo AND _hi")
         counted = (inside.withColumn("_part", F.floor((F.col("_v") - F.col("_lo")) / step).cast("bigint"))
-                   .groupBy(*part, "total", "q", "_lo", "_hi", "_below", "_part").agg(F.sum("_n").alias("_n")))
-        w = Window.partitionBy(*part, "q").orderBy("_part")
+                   .groupBy(*part, "total", "_q", "_lo", "_hi", "_below", "_part").agg(F.sum("_n").alias("_n")))
+        w = Window.partitionBy(*part, "_q").orderBy("_part")
         upto = F.col("_below") + F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        reached = counted.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("q.f") * F.col("total"))
+        reached = counted.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_q.f") * F.col("total"))
         first = reached.withColumn("_at", F.row_number().over(w)).filter("_at = 1")
         ranges = _session.written(first.select(
-            *part, "total", "q", (F.col("_lo") + F.col("_part") * step).alias("_lo"),
+            *part, "total", "_q", (F.col("_lo") + F.col("_part") * step).alias("_lo"),
             F.least("_hi", F.col("_lo") + (F.col("_part") + 1) * step - 1).alias("_hi"), (F.col("_upto") - F.col("_n")).alias("_below")), "ranks")
         wide = ranges.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0]
-    return ranges.groupBy(*part, "total").agg(*[F.max(F.when(F.col("q.name") == n, F.col("_lo"))).alias(n) for n in fractions])
+    return ranges.groupBy(*part, "total").agg(*[F.max(F.when(F.col("_q.name") == n, F.col("_lo"))).alias(n) for n in fractions])
 
 
 def global_rank(df: DataFrame, order: list[str | Column], out: str = "rank") -> DataFrame:
