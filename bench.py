@@ -17,7 +17,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -34,8 +33,6 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "5"))
     spark = _session.local_session(cpus, max(4, cpus))
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="peakview-bench-"))
     out = _session.scratch_path(spark, f"bench-{int(time.time() * 1000)}")
     th = C.DRIVER
     timings: dict[str, float] = {}

@@ -83,7 +83,7 @@ CSV_DELIMITERS = (",", "\t", ";", "|")
 MAX_SERIES_POINTS = 40
 TITLE_MATCHES = 10
 
-# the eight benchmark questions: label, grain in minutes, filters
+# The eight benchmark questions (label, grain in minutes, filters)
 BENCHMARKS = (
     ("day_peak_no_filter", 1440, {}),
     ("hour_peak_no_filter", 60, {}),

@@ -91,6 +91,12 @@ def resolve_many(catalogue: DataFrame, many: list[dict[str, object]]) -> list[Re
     return [_decide(dict(eq), asked, found) for eq, asked in split]
 
 
+def resolve_among(values: dict[tuple[str, str], set[str]], filters: dict[str, object]) -> Resolved:
+    """Resolve against values at hand, (dimension, lower-cased value) -> its spellings, without a lookup."""
+    equal, asked = _asked(filters)
+    return _decide(dict(equal), asked, {d: values.get((d, v.lower()), set()) for d, v in asked.items()})
+
+
 def resolve(catalogue: DataFrame, filters: dict[str, object]) -> Resolved:
     """Resolve one question's filters against the (dimension, value) catalogue."""
     return resolve_many(catalogue, [filters])[0]

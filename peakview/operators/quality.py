@@ -73,11 +73,16 @@ def orphan_content_ids(raw: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def reconcile(raw: DataFrame, content: DataFrame) -> DataFrame:
-    """One row of landing counts: rows, sessions, users, ids, catalogue rows, orphans."""
-    counts = raw.agg(F.count(F.lit(1)).alias("raw_rows"),
-                     F.count_distinct(S).alias("sessions"),
-                     F.count_distinct("user_id").alias("users"),
-                     F.count_distinct("content_id").alias("raw_content_ids"))
+    """One row of landing counts: rows, sessions, users, ids, catalogue rows, orphans.
+
+    Rows are first counted per (session, user, id), on the map side; the three
+    distinct counts then expand that small table and not the events.
+    """
+    seen = raw.groupBy(S, "user_id", "content_id").agg(F.count(F.lit(1)).alias("rows"))
+    counts = seen.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("raw_rows"),
+                      F.count_distinct(S).alias("sessions"),
+                      F.count_distinct("user_id").alias("users"),
+                      F.count_distinct("content_id").alias("raw_content_ids"))
     return counts.select("*",
                          content.agg(F.count(F.lit(1))).scalar().alias("content_rows"),
                          orphan_content_ids(raw, content).agg(F.count(F.lit(1))).scalar().alias("join_orphans"))
@@ -214,13 +219,21 @@ def cadence(raw: DataFrame, th: C.Thresholds) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def run_stats(raw: DataFrame, intervals: DataFrame, session_minutes: DataFrame, bucket_ms: int) -> DataFrame:
-    """Counts of a build over two denominators."""
-    ev_minutes = raw.select(S, X.floor_div("t_ms", bucket_ms).alias("minute")).distinct()
+    """Counts of a build over two denominators.
+
+    Every table is asked once: what the raw events and the intervals tell comes
+    as one struct each and stands beside the one counted row, also when nobody
+    was active.
+    """
+    minute = X.floor_div("t_ms", bucket_ms)
+    ev_minutes = raw.select(S, minute.alias("minute")).distinct()
     without = session_minutes.select(S, "minute").join(ev_minutes, [S, "minute"], "left_anti")
     totals = session_minutes.groupBy("minute").agg(F.count(F.lit(1)).alias("c"))
-    span = raw.agg((X.floor_div(F.max("t_ms"), bucket_ms) - X.floor_div(F.min("t_ms"), bucket_ms) + 1)).scalar()
-    sessions = raw.agg(F.count_distinct(S)).scalar()
-    active = intervals.agg(F.count_distinct(S)).scalar()
+    # one row per session first, so that the distinct count is a plain one
+    events = raw.groupBy(S).agg(F.min(minute).alias("lo"), F.max(minute).alias("hi"))
+    facts = events.agg(F.struct(F.count(S).alias("sessions"), (F.max("hi") - F.min("lo") + 1).alias("span"))).scalar()
+    active = intervals.groupBy(S).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.struct(F.count(S).alias("sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("segments"))).scalar()
     counted = totals.agg(
         F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("session_minutes"),
         F.count(F.lit(1)).alias("minutes_with_activity"),
@@ -228,14 +241,14 @@ def run_stats(raw: DataFrame, intervals: DataFrame, session_minutes: DataFrame,
         F.max_by("minute", F.struct(F.col("c"), -F.col("minute"))).alias("peak_minute"),
         F.coalesce(F.try_divide(F.sum("c").cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0))
         .alias("average_over_active_minutes"),
-    )
-    # facts of the raw events stand beside the one counted row, also when nobody was active
+    ).withColumns({"_raw": facts, "_active": active})
     return counted.select(
-        "*", sessions.alias("sessions"), (sessions - active).alias("sessions_with_no_active_time"),
-        intervals.agg(F.count(F.lit(1))).scalar().alias("segments"),
+        "session_minutes", "minutes_with_activity", "peak_concurrency", "peak_minute", "average_over_active_minutes",
+        F.col("_raw.sessions").alias("sessions"), (F.col("_raw.sessions") - F.col("_active.sessions")).alias("sessions_with_no_active_time"),
+        F.col("_active.segments").alias("segments"),
         without.agg(F.count(F.lit(1))).scalar().alias("covered_minutes_without_events"),
-        span.alias("minutes_in_span"),
-        (F.col("session_minutes").cast("double") / span.cast("double")).alias("average_over_span"),
+        F.col("_raw.span").alias("minutes_in_span"),
+        (F.col("session_minutes").cast("double") / F.col("_raw.span").cast("double")).alias("average_over_span"),
     )
 
 

@@ -22,8 +22,8 @@ the id falls into, and there only the row groups that its sorted ids touch.
 
 An ask is one SQL statement over a table that is registered when a version is
 opened: it looks up the version to serve, is planned anew and reads the files.
-Only what a filter's values resolve to is remembered, for as long as the
-version is served. A table below `ONE_TASK_BYTES` is read by one task: its sum
+The value catalogue, if it is small, and what a filter's values resolve to are
+remembered for as long as the version is served; answers never are. A table below `ONE_TASK_BYTES` is read by one task: its sum
 per minute and the answer over the minutes then need no shuffle at all. Larger
 tables are read in parallel and shuffled by minute. Serving runs in its own
 session (isolated SQL conf), without adaptive re-planning: a question's
@@ -47,6 +47,7 @@ PROJECTION_DIMS = ("country", "platform", "video_type")
 RESOLVED_MOST = 4096  # resolved filter sets remembered per version
 CONTENT_BUCKETS = 64  # folders of the second order; recorded in its name
 ONE_TASK_BYTES = 32 * 1024 * 1024
+VALUES_BYTES = 1024 * 1024  # a value catalogue up to this size is held by the store; a larger one is asked
 
 
 def _folder(spark: SparkSession, path: str):
@@ -139,6 +140,12 @@ class RollupStore:
             table.createOrReplaceTempView(view)
             self.tables[kind], self._views[kind] = table, (view, fs.getContentSummary(at).getLength() <= ONE_TASK_BYTES)
         self.catalogue = self.spark.read.parquet(f"{last}/dimension_value")
+        fs, at = _folder(self.spark, f"{last}/dimension_value")
+        self._values = None
+        if fs.getContentSummary(at).getLength() <= VALUES_BYTES:
+            self._values = {}
+            for dimension, value in self.catalogue.select("dimension", "value").collect():
+                self._values.setdefault((dimension, value.lower()), set()).add(value)
         self._resolved: dict = {}
         self.version = last
 
@@ -156,7 +163,7 @@ class RollupStore:
         if key not in self._resolved:
             if len(self._resolved) >= RESOLVED_MOST:
                 self._resolved.clear()
-            self._resolved[key] = FL.resolve(self.catalogue, filters)
+            self._resolved[key] = FL.resolve_among(self._values, filters) if self._values is not None else FL.resolve(self.catalogue, filters)
         return self._resolved[key]
 
     def kind_for(self, resolved: FL.Resolved) -> str:

@@ -310,6 +310,9 @@ class StateTable:
         self._mark(upto)
 
     def records(self) -> DataFrame:
+        fs, path = self._path("records")
+        if not fs.exists(path):  # no batch yet
+            return self.spark.createDataFrame([], OUTPUT_SCHEMA + ", batch long")
         return (self.spark.read.schema(OUTPUT_SCHEMA + ", batch long").option("basePath", f"{self.folder}/records")
                 .parquet(f"{self.folder}/records"))
 
@@ -380,6 +383,8 @@ def land_slices(raw: DataFrame, folder: str, slice_of, slices: int, files: int =
 def time_slices(raw: DataFrame, slices: int):
     """The slice of an event when the whole time range is cut into equal parts."""
     lo, hi = raw.agg(F.min("t_ms"), F.max("t_ms")).first()
+    if lo is None:  # no events
+        return F.lit(0)
     width = max(1, (hi - lo) // slices + 1)
     return X.floor_div(F.col("t_ms") - F.lit(lo), width)
 

@@ -136,9 +136,9 @@ def test_a_small_ask_needs_no_shuffle(spark):
 
 
 def test_old_versions_are_deleted_in_order(spark):
-    _, path, store = _stored(spark, keep=2, times=4)
+    _, path, store = _stored(spark, keep=1, times=2)
     names = ST._names(spark, f"{path}/versions")
-    assert len(names) == 2 and [int(n.split("-")[0]) for n in names] == [2, 3]
+    assert [int(n.split("-")[0]) for n in names] == [1]
     assert ST._names(spark, f"{path}/data") == names
     assert store.version.endswith(names[-1])
 

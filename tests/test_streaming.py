@@ -52,13 +52,13 @@ def test_late_and_repeated_points_are_told_apart():
 
 def test_live_equals_batch_on_hand_worked_sessions(spark):
     raw = raw_df(spark, case_rows())
-    table = LS.replay(spark, raw, C.TELEMETRY, _scratch(spark, "replay-test"), slices=3)
+    table = LS.replay(spark, raw, C.TELEMETRY, _scratch(spark, "replay-test"), slices=2, state_partitions=2)
     assert _same(LS.intervals_with_predictions(table, C.TELEMETRY), _batch(spark, raw, C.TELEMETRY))
 
 
 def test_live_equals_batch_on_driver_events_with_compaction(spark):
     b = P.driver_build(spark, SF0001, C.DRIVER)
-    table = LS.replay(spark, b.raw, C.DRIVER, _scratch(spark, "replay-test"), slices=4, files=2, compact_every=2, retention_ms=RETENTION)
+    table = LS.replay(spark, b.raw, C.DRIVER, _scratch(spark, "replay-test"), slices=4, files=2, compact_every=2, state_partitions=2, retention_ms=RETENTION)
     assert _same(LS.intervals_with_predictions(table, C.DRIVER), b.intervals.select("video_session_id", "ts_start_ms", "ts_end_ms"))
     assert table.compacted() is not None
     base = spark.read.parquet(f"{table.folder}/base/upto={table.compacted()}")
@@ -72,7 +72,7 @@ def test_seeded_stream_goes_on_where_the_batch_stopped(spark):
     cut = BASE_MS + 55_000
     before = P.build(raw.filter(F.col("t_ms") < cut), content_df(spark), th)
     seed = LS.session_state(before.states)
-    table = LS.replay(spark, raw.filter(F.col("t_ms") >= cut), th, _scratch(spark, "seeded"), slices=2, seed=seed)
+    table = LS.replay(spark, raw.filter(F.col("t_ms") >= cut), th, _scratch(spark, "seeded"), slices=2, seed=seed, state_partitions=2)
     going = {(r.video_session_id, r.seg_start) for r in seed.filter("seg_start IS NOT NULL").collect()}
     done = {tuple(r) for r in before.intervals.select("video_session_id", "ts_start_ms", "ts_end_ms").collect()}
     live = {tuple(r) for r in LS.intervals_with_predictions(table, th).collect()}
@@ -148,3 +148,9 @@ def test_current_state_takes_the_latest_version(spark):
     table.compact(1)
     assert {r.video_session_id for r in table.open_now().collect()} == {"a"}
     assert table.open_now(as_of_ms=BASE_MS + 200_000, gap_ms=th.gap_ms).count() == 0
+
+
+def test_nothing_to_stream(spark):
+    table = LS.replay(spark, raw_df(spark, []), C.TELEMETRY, _scratch(spark, "nothing"), slices=1, state_partitions=1)
+    assert LS.intervals_with_predictions(table, C.TELEMETRY).count() == 0
+    assert LS.StateTable(spark, _scratch(spark, "unwritten")).open_now().count() == 0
