@@ -85,40 +85,25 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return masked.select(*docs.columns)
 
 
-def mix_positions(docs: DataFrame) -> DataFrame:
-    """(mix_key, mix_source, position): the place of every row in the Pfair mix of the sources.
-
-    A row is known by the hash of id and text, so rows without an id are mixed like others; equal rows of a source
-    share the first of their places.
-    """
-    rows = docs.select(pii.row_key().alias("mix_key"), "source")
-    plan = mixing.schedule(rows, block=MIX_BLOCK, id_col="mix_key")
-    return plan.groupBy(F.col("doc_id").alias("mix_key"), F.col("source").alias("mix_source")).agg(F.min("position").alias("position"))
-
-
-def with_position(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """`rows` (with mix_key and source) and their position among `docs`."""
-    plan = mix_positions(docs).withColumnRenamed("mix_key", "placed_key")
-    return (rows.join(plan, F.expr("mix_key = placed_key") & F.col("source").cast("string").eqNullSafe(F.col("mix_source")))
-            .drop("placed_key", "mix_source", "mix_key"))
-
-
 @carrying
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the Pfair mix: the files, and the rows in each, follow the schedule.
 
-    The columns of documents hold no place, so the last stage, which sees the same rows, returns it again.
+    A row is known by the hash of id and text, so rows without an id are mixed like others; equal rows of a source
+    share the first of their places.
     """
-    placed = with_position(docs.withColumn("mix_key", pii.row_key()), docs)
+    keyed = docs.withColumn("mix_key", pii.row_key())
+    plan = mixing.schedule(keyed.select("mix_key", "source"), block=MIX_BLOCK, id_col="mix_key")
+    plan = plan.groupBy(F.col("doc_id").alias("placed_key"), F.col("source").alias("mix_source")).agg(F.min("position").alias("position"))
+    placed = keyed.join(plan, F.expr("mix_key = placed_key") & F.col("source").cast("string").eqNullSafe(F.col("mix_source")))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return placed.repartitionByRange(parts, "position").sortWithinPartitions("position").select(*docs.columns)
 
 
 @carrying
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the position in the mix, n_tokens, and the digests of the ids and of the text decoded from them."""
-    keyed = docs.withColumn("mix_key", pii.row_key())
-    return with_position(bpe.digests(keyed, public_vocabulary(), keep=("lang", "source", "mix_key")), docs)
+    """doc_id, lang, source, n_tokens, and the digests of the ids and of the text decoded from them."""
+    return bpe.digests(docs, public_vocabulary(), keep=("lang", "source"))
 
 
 STAGES = [
