@@ -14,7 +14,8 @@ split, and the quoting is worked out per split:
    they are put together by a small grouping.
 
 A quote counts only at the start of a field, as CSV has it; a stray quote
-inside an unquoted field is text. Headers are taken per file, and files of
+inside an unquoted field is text. A task reads many splits where the session
+says so (`spark.sql.files.maxPartitionNum`); the state is still told per split. Headers are taken per file, and files of
 one folder may have different ones: each distinct header has a number, and
 records carry their file's. Compressed files are one split each.
 """
@@ -152,13 +153,17 @@ def split_states(effects: DataFrame) -> DataFrame:
                        F.when(inside, F.col("from_inside")).otherwise(F.col("from_outside")).alias("after"))
 
 
-def _assembled(lines: DataFrame, seps: list[str]) -> DataFrame:
-    """(shape, file, start, kind, text, fields) of every record, and of every fragment at the edge of a split."""
+def _assembled(lines: DataFrame, seps: list[str], edges: bool = False) -> DataFrame:
+    """(shape, file, start, kind, text, fields) of every whole record; with `edges`, of every fragment at the edge of a split."""
     names = ["shape", "file", "start", "kind", "text", "fields"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, shape, inside, begun, open_kind = None, 0, False, [], TAIL
 
+        def left() -> Iterator[pa.RecordBatch]:
+            if begun and edges:
+                yield rows([(open_kind, "\n".join(begun), None)], split, shape)
+
         def rows(which: list[tuple[int, str | None, list[str] | None]], key, shape) -> pa.RecordBatch:
             n = len(which)
             return pa.RecordBatch.from_arrays([
@@ -179,14 +184,15 @@ def _assembled(lines: DataFrame, seps: list[str]) -> DataFrame:
                 values = batch.column(0).slice(a, b - a)
                 first = 0
                 if key != split:
-                    if begun:
-                        yield rows([(open_kind, "\n".join(begun), None)], split, shape)
+                    yield from left()
                     split, shape, begun = key, batch.column(3)[a].as_py(), []
                     inside = bool(batch.column(4)[a].as_py())
                     open_kind = MIDDLE if inside else TAIL
                     first = 1 if key[1] == 0 else 0  # the header
                 quoted = set(_with_quote(values))
                 if not quoted and not inside and not begun:
+                    if edges:
+                        continue
                     plain = pc.replace_substring_regex(values.slice(first), "\r$", "")
                     plain = plain.filter(pc.not_equal(plain, ""))
                     if len(plain):
@@ -200,16 +206,16 @@ def _assembled(lines: DataFrame, seps: list[str]) -> DataFrame:
                         begun.append(text)
                     elif begun or inside:
                         begun.append(text)
-                        whole = "\n".join(begun)
-                        done.append((HEAD, whole, None) if open_kind == MIDDLE else (WHOLE, None, fields_of(whole, seps[shape])))
+                        if (open_kind == MIDDLE) == edges:
+                            whole = "\n".join(begun)
+                            done.append((HEAD, whole, None) if edges else (WHOLE, None, fields_of(whole, seps[shape])))
                         begun, open_kind = [], TAIL
-                    elif text and text != "\r":
+                    elif not edges and text and text != "\r":
                         done.append((WHOLE, None, fields_of(text, seps[shape]) if i in quoted else text.removesuffix("\r").split(seps[shape])))
                     inside = after
                 if done:
                     yield rows(done, split, shape)
-        if begun:
-            yield rows([(open_kind, "\n".join(begun), None)], split, shape)
+        yield from left()
 
     keyed = lines.select("value", "file", "start", "shape", F.coalesce("inside", F.lit(False)).alias("inside"))
     _session.ship_package(lines.sparkSession)
@@ -253,9 +259,8 @@ def read_records(spark: SparkSession, path: str, bind: Callable[[str], str]) ->
     inside = states.filter("inside").select("file", "start", "inside")
     across = not inside.isEmpty()
     marked = _tagged(lines, inside, ["file", "start"], "left") if across else lines.withColumn("inside", F.lit(False))
-    pieces = _assembled(marked, seps)
-    records = pieces.filter(F.col("kind") == WHOLE).select("shape", "fields")
+    records = _assembled(marked, seps).select("shape", "fields")
     if not across and states.groupBy("file").agg(F.max_by("after", "start").alias("open")).filter("open").isEmpty():
         return records, list(known)
-    edges = pieces.filter(F.col("kind") != WHOLE).select("shape", "file", "start", "kind", "text")
+    edges = _assembled(marked, seps, edges=True).select("shape", "file", "start", "kind", "text")
     return records.unionByName(_glued(edges, seps)), list(known)
