@@ -7,12 +7,12 @@ Three streaming pieces, each restartable from its own checkpoint:
   less the allowed delay) go to the `late` side of the landed table, all others
   to the `on_time` side. Nothing is dropped: late + on time = input, per batch,
   in `marks`. The side table is what the next batch rebuild picks up.
-* **Sessions** (T1, T6): `transformWithState` over the on-time events keyed by
-  session, state in RocksDB. An on-point after an off-point, or more than `gap`
+* **Sessions** (T1, T6): `transformWithStateInPandas` over the on-time events,
+  keyed by bucket of sessions, state in RocksDB. An on-point after an off-point, or more than `gap`
   after the previous point, opens a segment; it closes at the next point when
   that point switches off, or at last + grace when the next point is further
-  than `gap` away. One event-time timer per session closes a segment whose
-  session went quiet, and removes the session's state `retention` after its
+  than `gap` away. One event-time timer per bucket closes the segments whose
+  sessions went quiet, and removes a session's state `retention` after its
   last event, so state shrinks. The stream starts from the batch build's
   session state (T3, J7), handed over as the operator's initial state.
 * **Current state** (T2): every micro-batch writes one versioned state row per
@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -53,7 +54,11 @@ _RECORD = Row(*[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
 
 # what a session carries from one micro-batch to the next; the batch build seeds the same columns
 SEED_COLUMNS = ("last_t", "last_ord", "on_last", "play", "fg", "seg_start")
-STATE_SCHEMA = ("last_t long, last_ord long, on_last boolean, play int, fg int, seg_start long, timer boolean")
+# without nulls: -1 is no signal yet, seg_start counts where is_open
+STATE_SCHEMA = ("video_session_id string, last_t long, last_ord long, on_last boolean, play int, fg int, is_open boolean, seg_start long")
+
+#: buckets the sessions are dealt into, fixed when a stream first starts; a bucket is one key of the state store
+BUCKETS = 1024
 
 _NONE = -1
 _PLAY = np.full(7, _NONE)
@@ -101,63 +106,102 @@ def advance(state: tuple, t: np.ndarray, kind: np.ndarray, gap: int, grace: int)
 
 
 class Sessions(StatefulProcessor):
-    """Per-session state, one timer per session, initial state from the batch build."""
+    """The sessions of one bucket: their states in one list, one timer for the earliest that needs attention.
+
+    A call to the state store costs the same for one session as for the
+    hundreds of a bucket, so a bucket's states are read and written together.
+    """
 
     def __init__(self, gap_ms: int, grace_ms: int, retention_ms: int):
         self.gap, self.grace, self.retention = gap_ms, grace_ms, retention_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", STATE_SCHEMA)
+        self.state = handle.getListState("session", STATE_SCHEMA)
 
     def _due(self, s: tuple) -> int:
         """When the session next needs attention if nothing arrives: to close its segment, or to be forgotten."""
         return s[0] + (self.gap if s[5] is not None else self.retention) + 1
 
+    def _held(self) -> dict[str | None, tuple]:
+        return {sid: (t, o, on, None if play == _NONE else play, None if fg == _NONE else fg, seg if is_open else None)
+                for sid, t, o, on, play, fg, is_open, seg in self.state.get()}
+
+    def _keep(self, held: dict[str | None, tuple]) -> None:
+        if held:
+            self.state.put([(sid, t, o, on, _NONE if play is None else play, _NONE if fg is None else fg, seg is not None, seg or 0)
+                            for sid, (t, o, on, play, fg, seg) in held.items()])
+        else:
+            self.state.clear()
+
+    def _arrange(self, held: dict[str | None, tuple]) -> None:
+        """One timer, at or before the first session that is due."""
+        due, timers = min(map(self._due, held.values())), list(self.handle.listTimers())
+        if not timers or due < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(due)
+
     def _row(self, sid: str, s: tuple, applied: int = 0, late: int = 0, repeated: int = 0) -> Row:
         return _RECORD("state", sid, s[5], None, s[0], s[1], s[5] is not None, applied, late, repeated)
 
     def _interval(self, sid: str, start: int, end: int) -> Row:
         return _RECORD("interval", sid, start, end, None, None, None, None, None, None)
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        s = tuple(initialState[c] for c in SEED_COLUMNS)
-        self.handle.registerTimer(self._due(s))
-        self.state.update((*s, True))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        sid = key[0]
-        s, timer = (None,) * 6, False
-        if self.state.exists():
-            *s, timer = self.state.get()
-        points = np.array([(r.t, r.kind) for r in rows], np.int64).reshape(-1, 2)
-        s, closed, applied, late, repeated = advance(tuple(s), points[:, 0], points[:, 1], self.gap, self.grace)
-        if not timer:
-            self.handle.registerTimer(self._due(s))
-        self.state.update((*s, True))
-        for start, end in closed:
-            yield self._interval(sid, start, end)
-        yield self._row(sid, s, applied, late, repeated)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.state.exists():
-            return
-        sid, now = key[0], timerValues.getCurrentWatermarkInMs()
-        *s, _ = self.state.get()
-        if s[5] is not None and s[0] + self.gap < now:  # quiet for longer than gap: it ended at last + grace
-            start, s[5] = s[5], None
-            if s[0] + self.grace > start:
-                yield self._interval(sid, start, s[0] + self.grace)
-            yield self._row(sid, s)
-        if s[5] is None and s[0] + self.retention < now:
-            self.state.clear()
-            return
-        self.handle.registerTimer(self._due(s))
-        self.state.update((*s, True))
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        held = self._held()
+        for sid, *s in initialState[[S, *SEED_COLUMNS]].astype(object).itertuples(index=False):
+            t, o, on, play, fg, seg = (None if pd.isna(x) else x for x in s)
+            held[_name(sid)] = (int(t), int(o), bool(on), *(None if x is None else int(x) for x in (play, fg, seg)))
+        self._arrange(held)
+        self._keep(held)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        points = pd.concat(list(rows), ignore_index=True)
+        if points["t"].isna().any():
+            raise ValueError("an event without a time reached the sessions")
+        which, names = pd.factorize(points[S], use_na_sentinel=False)
+        order = np.argsort(which, kind="stable")
+        t, kind = (points[c].to_numpy(np.int64)[order] for c in ("t", "kind"))
+        edges = np.cumsum(np.bincount(which, minlength=len(names)))
+        held, out = self._held(), []
+        for sid, a, b in zip(map(_name, names), [0, *edges], edges):
+            s, closed, *counts = advance(held.get(sid, (None,) * 6), t[a:b], kind[a:b], self.gap, self.grace)
+            held[sid] = s
+            out += [self._interval(sid, start, end) for start, end in closed]
+            out.append(self._row(sid, s, *counts))
+        self._arrange(held)
+        self._keep(held)
+        yield _frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, held, out = timerValues.getCurrentWatermarkInMs(), self._held(), []
+        for sid, s in list(held.items()):
+            if s[5] is not None and s[0] + self.gap < now:  # quiet for longer than gap: it ended at last + grace
+                start, s = s[5], (*s[:5], None)
+                held[sid] = s
+                if s[0] + self.grace > start:
+                    out.append(self._interval(sid, start, s[0] + self.grace))
+                out.append(self._row(sid, s))
+            if s[5] is None and s[0] + self.retention < now:
+                del held[sid]
+        if held:  # the timer that expired is still listed, and goes after this call
+            self.handle.registerTimer(min(map(self._due, held.values())))
+        self._keep(held)
+        if out:
+            yield _frame(out)
+
+
+def _name(sid) -> str | None:
+    return None if pd.isna(sid) else sid
+
+
+def _frame(records: list[Row]) -> pd.DataFrame:
+    return pd.DataFrame(records, columns=_RECORD, dtype=object)
 
 
 def live_records(events: DataFrame, th: C.Thresholds, watermark_ms: int | None = None, seed: DataFrame | None = None,
-                 retention_ms: int | None = None) -> DataFrame:
+                 retention_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Streaming: raw events -> interval / state records.
 
     `seed` (session and SEED_COLUMNS) is where the sessions start; `retention_ms`
@@ -170,9 +214,10 @@ def live_records(events: DataFrame, th: C.Thresholds, watermark_ms: int | None =
     delay = watermark_ms if watermark_ms is not None else th.gap_ms
     spark = events.sparkSession
     _session.ship_package(spark)
-    start = None if seed is None else seed.select(S, *SEED_COLUMNS).groupBy(S)
-    return (pts.withWatermark("event_time", f"{delay} milliseconds").groupBy(S)
-            .transformWithState(Sessions(th.gap_ms, th.grace_ms, retention_ms or 30 * C.DAY_MS), OUTPUT_SCHEMA, "Append", "EventTime", start))
+    bucket = F.pmod(F.xxhash64(S), F.lit(buckets)).alias("bucket")
+    start = None if seed is None else seed.select(bucket, S, *SEED_COLUMNS).groupBy("bucket")
+    return (pts.select(bucket, "*").withWatermark("event_time", f"{delay} milliseconds").groupBy("bucket")
+            .transformWithStateInPandas(Sessions(th.gap_ms, th.grace_ms, retention_ms or 30 * C.DAY_MS), OUTPUT_SCHEMA, "Append", "EventTime", start))
 
 
 def session_state(states: DataFrame) -> DataFrame:
