@@ -45,12 +45,13 @@ _ODD_NAMES = "'v ' || chr(34) || 'x' || chr(34) || chr(10) || app_version || ',
 SELECT {_ODD_NAMES} AS app_version, video_session_id, count(*) AS rows, CAST(sum(t_ms) AS DECIMAL(38, 0)) AS times
 FROM raw GROUP BY 1, 2""", TH))
 def q_quoted_splits(spark, sf):
-    # every row holds a quoted line end, quotes and delimiters; files are read in splits of 64 KB
+    # every row holds a quoted line end, quotes and delimiters; files are read in splits of 64 KB, many splits to a task
     path = _scratch(spark, "csv-quoted")
     odd = _b(spark, sf).raw.withColumn("app_version", F.concat(F.lit('v "x"\n'), F.col("app_version"), F.lit(", y")))
     CE.write_events_csv(odd, path)
     splits = spark.newSession()
-    for key, value in (("spark.sql.files.maxPartitionBytes", "64k"), ("spark.sql.session.timeZone", "UTC")):
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    for key, value in (("spark.sql.files.maxPartitionBytes", "64k"), ("spark.sql.files.maxPartitionNum", str(tasks)), ("spark.sql.session.timeZone", "UTC")):
         splits.conf.set(key, value)
     events, _, _ = CE.events_from_csv(splits, path)
     return events.groupBy("app_version", "video_session_id").agg(
@@ -248,6 +249,7 @@ def q_replicated(spark, sf):
     b = _b(spark, sf)
     lo, hi = b.raw.agg(F.min("t_ms"), F.max("t_ms")).first()
     span = ((hi - lo) // C.DAY_MS + 1) * C.DAY_MS
+    _session.sized(spark, _REP * driver.event_rows(spark, sf))
     rep = SK.replicate(b.raw, _REP, span)
     built = P.build(rep, b.content, TH)
     peak = SV.occupancy(built.rollup, SV.FL.Resolved()).agg(F.max("concurrency")).scalar()
